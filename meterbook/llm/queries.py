@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm import cascade, mixing, pii
+from meterbook.llm import ann, cascade, mixing, packing, pii, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,3 +68,31 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = [k.name for k in pii.BASE_KINDS]
     counts = [F.size(c).cast("long").alias(f"n_{c}") for c in plain]
     return found.select("doc_id", *counts, F.sha2(pii.listed(*plain), 256).alias("base_sha256"), pii.listed(*[k.name for k in pii.KINDS]).alias("spans"))
+
+
+@_query
+def op4_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learnt from labelled rows outside the held-out fifth."""
+    fold = lambda: F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    documents = _read(spark, sf_dir, "documents")
+    model = toxicity.train(documents, _read(spark, sf_dir, "labels"), ~fold())
+    return toxicity.scored(documents, model).select("doc_id", F.coalesce(fold(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    index = ann.build_index(_read(spark, sf_dir, "embeddings"))
+    return ann.nearest(index, F.col("vec_id") % 50 == 0)
+
+
+@_query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens that hold all documents."""
+    return packing.pack(packing.document_pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@_query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of each document."""
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), token_counts.rank_scores(public_tokenizers.path("piece_bpe_32k.model")))

@@ -20,6 +20,8 @@ CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Every ASCII byte that is neither a letter nor a digit.
+NOT_ALPHANUMERIC = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
 
@@ -80,8 +82,8 @@ class Words:
         return mix(h[at]), at, document[at]
 
 
-def words_of(texts: pa.Array, fold_case: bool = False) -> Words:
-    """Words of each text; null counts as empty. fold_case lower-cases A-Z."""
+def words_of(texts: pa.Array, fold_case: bool = False, separators: np.ndarray = _SPACE) -> Words:
+    """Words of each text; null counts as empty. fold_case lower-cases A-Z; separators marks the bytes between words."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if texts.offset:
         texts = pa.concat_arrays([texts, texts.slice(0, 0)]) if len(texts) else texts
@@ -90,7 +92,7 @@ def words_of(texts: pa.Array, fold_case: bool = False) -> Words:
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[lo:hi]
     bounds = offsets - lo
     ink = np.zeros(len(data) + 1, bool)
-    ink[:-1] = ~_SPACE[data]
+    ink[:-1] = ~separators[data]
     before = np.zeros(len(data) + 1, bool)
     before[1:] = ink[:-1]
     edge = np.zeros(len(data) + 1, bool)
