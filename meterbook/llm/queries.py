@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm import ann, cascade, mixing, packing, pii, token_counts, toxicity
+from meterbook.llm import ann, cascade, mixing, packing, pii, substring, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,3 +96,26 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and unigram tokens of each document."""
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), token_counts.rank_scores(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@_query
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of each document without passages of 13 words that an earlier document holds."""
+    return substring.without_duplicates(_read(spark, sf_dir, "documents"), with_text=False)
+
+
+ORACLE_SQL["op7_repeated_passages"] = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM t),
+win AS (
+  SELECT doc_id, i, lead(word, 12) OVER o AS last,
+    concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o, lead(word, 5) OVER o, lead(word, 6) OVER o,
+      lead(word, 7) OVER o, lead(word, 8) OVER o, lead(word, 9) OVER o, lead(word, 10) OVER o, lead(word, 11) OVER o, lead(word, 12) OVER o) AS g
+  FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+least AS (SELECT g, min(doc_id) AS first_id FROM win WHERE last IS NOT NULL GROUP BY g),
+held AS (SELECT win.doc_id, win.i FROM win JOIN least ON win.g = least.g WHERE win.last IS NOT NULL AND least.first_id < win.doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM held, (SELECT unnest(range(13)) AS k) ks),
+left_over AS (SELECT word.doc_id, string_agg(word.word, ' ' ORDER BY word.i) AS kept, count(*) AS n_kept FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i WHERE gone.i IS NULL GROUP BY word.doc_id)
+SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, CAST(len(t.w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN left_over ON t.doc_id = left_over.doc_id
+"""
