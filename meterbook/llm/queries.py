@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm import ann, cascade, mixing, packing, pii, substring, token_counts, toxicity
+from meterbook.llm import ann, cascade, mixing, ngram_join, packing, pii, substring, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -119,3 +119,9 @@ left_over AS (SELECT word.doc_id, string_agg(word.word, ' ' ORDER BY word.i) AS
 SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, CAST(len(t.w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM t LEFT JOIN left_over ON t.doc_id = left_over.doc_id
 """
+
+
+@_query
+def op5_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-shingle sets have a Jaccard similarity of at least 0.9."""
+    return ngram_join.ngram_components(_read(spark, sf_dir, "documents"), ngram_join.Similarity(3, 90, 100)).select("doc_id", "n_shingles", "component_id")
