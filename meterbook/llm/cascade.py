@@ -68,11 +68,11 @@ def measures(text: Column) -> dict[str, Column]:
     return columns
 
 
-def measured(documents: DataFrame) -> DataFrame:
-    """doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+def measured(documents: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the columns named in more."""
     m = measures(F.col("text"))
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), m["__words"].alias("w"), *[m[c].cast("long").alias(c) for c in ("word_chars", "n_symbols", "n_dup_lines")])
-    return rows.select("doc_id", "text", F.col("w.n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.r").cast("long").alias("n_repeat_words"))
+    rows = documents.select(*more, "doc_id", F.coalesce("text", F.lit("")).alias("text"), m["__words"].alias("w"), *[m[c].cast("long").alias(c) for c in ("word_chars", "n_symbols", "n_dup_lines")])
+    return rows.select(*more, "doc_id", "text", F.col("w.n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.r").cast("long").alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -135,3 +135,12 @@ def judged(documents: DataFrame, rules: list[Rule] | None = None, sample_rows: i
     rules = default_rules() if rules is None else rules
     rows = cascade(rows, [Rule(r.name, ~F.col("base_failed") & r.rejects) for r in rules], sample_rows)
     return rows.drop("text").withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+
+
+def filter_quality(documents: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id", "text")
+    m = measured(rows, "row").withColumn("base_failed", base_failed())
+    rules = default_rules() if rules is None else rules
+    m = cascade(m, [Rule("base", F.col("base_failed")), *[Rule(r.name, ~F.col("base_failed") & r.rejects) for r in rules]], sample_rows)
+    return m.where(F.col("rejected_by").isNull()).select("row.*")

@@ -238,7 +238,11 @@ def _with_component(df: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def ngram_components(documents: DataFrame, like: Similarity = Similarity(), frequent: int = FREQUENT, rounds: int = LEADER_ROUNDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:  # noqa: B008
-    """doc_id, mark (hash of the text), n_shingles, component_id (smallest doc_id reachable by links) of every document."""
+    """doc_id, mark (hash of the text), n_shingles, component, component_id of every document.
+
+    component numbers the components (null for texts without words);
+    component_id is the smallest doc_id of each.
+    """
     rows = _rows(documents)
     features = stored(_features(rows, like), "features")
     classes = features.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("one"), F.first("n_shingles").alias("n"))
@@ -272,9 +276,27 @@ def ngram_components(documents: DataFrame, like: Similarity = Similarity(), freq
 
     named = _with_component(classes, found)
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = stored(named.join(stored(least, "least"), "component").select("key", "component_id"), "named")
-    some = features.where("n_shingles > 0").join(named, "key").select("doc_id", "mark", "n_shingles", "component_id")
-    return some.unionByName(features.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = stored(named.join(stored(least, "least"), "component").select("key", "component", "component_id"), "named")
+    some = features.where("n_shingles > 0").join(named, "key").select("doc_id", "mark", "n_shingles", "component", "component_id")
+    return some.unionByName(features.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(documents: DataFrame, like: Similarity = Similarity(), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:  # noqa: B008
+    """documents with one row of each component, with all its columns: that of the smallest doc_id (null last).
+
+    Texts without words all stay.
+    """
+    members = stored(ngram_components(documents, like, broadcast_bytes=broadcast_bytes).where("component is not null").groupBy("component", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows")), "members")
+    first = stored(members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")).select("component", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark")), "first")
+    judged = members.join(first, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark")))
+    judged = stored(judged.where("not stays or rows > 1").select(F.col("doc_id").alias("j_id"), F.col("mark").alias("j_mark"), "stays"), "judged")
+    small = 17 * judged.count() <= broadcast_bytes
+    judged = F.broadcast(judged) if small else judged.hint("merge")
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    rows = documents.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("m"))
+    rows = rows.join(judged, (F.col("m") == F.col("j_mark")) & F.col("i").eqNullSafe(F.col("j_id")), "left")
+    again = rows.where("stays").groupBy("i", "m").agg(F.first("row").alias("row"))
+    return rows.where("stays is null").select("row.*").unionByName(again.select("row.*"))
 
 
 def _matrix_cells(placed: DataFrame, classes: DataFrame, like: Similarity) -> DataFrame:

@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm import ann, cascade, mixing, ngram_join, packing, pii, substring, token_counts, toxicity
+from meterbook.llm import ann, cascade, fixity, mixing, ngram_join, packing, pii, substring, token_counts, toxicity
+from meterbook.llm.workspace import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -125,3 +126,30 @@ FROM t LEFT JOIN left_over ON t.doc_id = left_over.doc_id
 def op5_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-shingle sets have a Jaccard similarity of at least 0.9."""
     return ngram_join.ngram_components(_read(spark, sf_dir, "documents"), ngram_join.Similarity(3, 90, 100)).select("doc_id", "n_shingles", "component_id")
+
+
+@_query
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's WARC record, and whether a replica in which about one record in a hundred has decayed still holds it.
+
+    The decay is part of the case, not of the operator: in pages whose URL has
+    a digest below 03, the first letter of the text is overwritten.
+    """
+    pages = _read(spark, sf_dir, "pages")
+    decayed = F.when((F.md5("url") < "03") & (F.octet_length("html") > 0), F.concat(F.lit("~"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
+    records = stored(fixity.laid_out(pages), "records")
+    replica = stored(fixity.laid_out(pages.withColumn("html", decayed)), "replica")
+    return fixity.audit(records, replica).select("page_id", "file", "number", "offset", "length", "digest", "intact")
+
+
+ORACLE_SQL["op2_warc_fixity"] = r"""
+WITH r AS (
+  SELECT page_id, coalesce(CAST(floor(page_id / 1000) AS BIGINT), -1) AS file, coalesce(md5(url) < '03' AND length(html) > 0 AND html[1] <> '~', false) AS decayed,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR)
+    || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS whole
+  FROM pages),
+d AS (SELECT page_id, file, decayed, CAST(strlen(whole) AS BIGINT) AS length, sha256(whole) AS digest FROM r)
+SELECT page_id, file, CAST(row_number() OVER o - 1 AS BIGINT) AS number, CAST(sum(length) OVER o - length AS BIGINT) AS "offset", length, digest, NOT decayed AS intact
+FROM d WINDOW o AS (PARTITION BY file ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""
