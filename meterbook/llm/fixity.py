@@ -45,8 +45,9 @@ def laid_out(pages: DataFrame, file_ids: int = FILE_IDS) -> DataFrame:
 def write_warc(pages: DataFrame, path: str, file_ids: int = FILE_IDS) -> None:
     """Uncompressed WARC files, one folder file=N for each, records in offset order."""
     rows = pages.select(F.coalesce(F.floor(F.col("page_id") / file_ids), F.lit(-1)).cast("long").alias("file"), "page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("value"))
-    rows = rows.repartition("file").sortWithinPartitions("file", "page_id", F.sha2(F.col("value").cast("binary"), 256)).select("file", "value")
-    rows.write.partitionBy("file").option("lineSep", "").text(path)
+    rows = rows.repartition("file").sortWithinPartitions("file", "page_id", F.sha2(F.col("value").cast("binary"), 256))
+    # A record's last line feed is what Spark's writer puts after each row.
+    rows.select("file", F.substring("value", F.lit(1), F.length("value") - 1).alias("value")).write.partitionBy("file").text(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -56,7 +57,7 @@ def read_warc(spark, path: str) -> DataFrame:
     doesn't begin with a WARC header belongs to the record before it.
     """
     version = "WARC/1.0\r\n"
-    rows = spark.read.option("lineSep", version).text(path).select(F.col("file").cast("long"), F.col("value").cast("binary").alias("piece"), F.monotonically_increasing_id().alias("place"))
+    rows = spark.read.option("lineSep", version).text(path).select(F.col("file").cast("long"), F.col("value").cast("binary").alias("piece"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
     rows = rows.where(F.octet_length("piece") > 0)
     starts = F.when(F.col("piece").cast("string").startswith("WARC-Type:"), 1).otherwise(0)
     rows = rows.withColumn("number", F.sum(starts).over(Window.partitionBy("file").orderBy("place")) - 1)
@@ -78,8 +79,13 @@ def merkle_levels(records: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
         levels.append(stored(_parents(levels[-1], top[1] > 0, fanout), "level"))
 
 
+def _parent(column: str, fanout: int) -> Column:
+    """The quotient rounded towards 0, so that negative file numbers reach the root too."""
+    return F.expr(f"{column} div {fanout}")
+
+
 def _parents(level: DataFrame, inside: bool, fanout: int) -> DataFrame:
-    key = ["file", F.floor(F.col("number") / fanout).alias("number")] if inside else [F.floor(F.col("file") / fanout).alias("file"), "number"]
+    key = ["file", _parent("number", fanout)] if inside else [_parent("file", fanout), "number"]
     children = F.sort_array(F.collect_list(F.struct("file", "number", "hash")))
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["file"].cast("string"), x["number"].cast("string"), x["hash"])), ",")
     return level.select(*[F.col(k).alias(f"k{i}") if isinstance(k, str) else k.alias(f"k{i}") for i, k in enumerate(key)], "file", "number", "hash").groupBy(F.col("k0").alias("file"), F.col("k1").alias("number")).agg(F.sha2(joined(children), 256).alias("hash"))
@@ -100,8 +106,8 @@ def mismatches(first: list[DataFrame], second: list[DataFrame], fanout: int = FA
         if wrong.isEmpty():
             return wrong
         inside = not first[level].where("number > 0").isEmpty() or not second[level].where("number > 0").isEmpty()
-        parent_file = F.col("file") if inside else F.floor(F.col("file") / fanout)
-        parent_number = F.floor(F.col("number") / fanout) if inside else F.col("number")
+        parent_file = F.col("file") if inside else _parent("file", fanout)
+        parent_number = _parent("number", fanout) if inside else F.col("number")
         wanted = wrong.select(F.col("file").alias("pf"), F.col("number").alias("pn"))
         below = [x[level].withColumn("pf", parent_file).withColumn("pn", parent_number).join(wanted, ["pf", "pn"], "left_semi") for x in (first, second)]
         wrong = stored(differing(*below), "wrong") if level else differing(*below)

@@ -170,16 +170,19 @@ def mixed_documents(documents: DataFrame, mixture: Mixture) -> DataFrame:
     """
     ranges = mixture.pieces.groupBy("doc_id", "source", "mark", "copy", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "n_words"))).alias("ranges"), F.sum("n_words").alias("n_taken"))
     counted = mixture.documents.select("doc_id", "source", "mark", "copies", "size")
-    same = lambda x, y: [x[c].eqNullSafe(y[c]) for c in ("doc_id", "source", "mark")]
-    wanted = ranges.join(counted, same(ranges, counted)).select(ranges["doc_id"].alias("w_id"), ranges["source"].alias("w_source"), ranges["mark"].alias("w_mark"), "ranges", "n_taken", "size", "copies")
-    rows = documents.withColumn("__mark", F.xxhash64("text"))
-    joined = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["w_id"]) & rows["source"].eqNullSafe(wanted["w_source"]) & (rows["__mark"] == wanted["w_mark"]))
-    # Repeated rows match every copy's pieces: one of them is enough.
-    again = joined.where("copies > 1").groupBy([F.col(f"`{c}`") for c in documents.columns if c != "text"] + ["__mark", "ranges", "n_taken", "size", "copies"]).agg(F.first("text").alias("text"), F.count("*").alias("__n"))
-    again = again.withColumn("__n", F.expr("__n div copies")).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
-    kept = [F.col(f"`{c}`") for c in documents.columns] + [F.col(c) for c in ("ranges", "n_taken", "size")]
-    both = joined.where("copies = 1").select(kept).unionByName(again.select(kept))
-    tokens = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    same = [ranges[c].eqNullSafe(counted[c]) for c in ("doc_id", "source", "mark")]
+    wanted = ranges.join(counted, same).select(ranges["doc_id"].alias("w_id"), ranges["source"].alias("w_source"), ranges["mark"].alias("w_mark"), "copy", "ranges", "n_taken", "size", "copies")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.xxhash64("text").alias("row_mark"))
+    own = lambda t: t["row"]["doc_id"].eqNullSafe(F.col("w_id")) & t["row"]["source"].eqNullSafe(F.col("w_source")) & (t["row_mark"] == F.col("w_mark"))
+    picked = rows.join(wanted.where("copies = 1"), own(rows)).select("row", "ranges", "n_taken", "size")
+    repeated = counted.where("copies > 1 and size > 0").select(F.col("doc_id").alias("w_id"), F.col("source").alias("w_source"), F.col("mark").alias("w_mark"))
+    if not repeated.isEmpty():
+        # Rows with one doc_id, source and text are numbered as copies, after equal rows are counted.
+        equal = rows.join(repeated, own(rows), "left_semi").groupBy("row", "row_mark").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("row.doc_id", "row.source", "row_mark").orderBy(F.xxhash64("row"), F.to_json("row")))
+        equal = equal.withColumn("lo", upto - F.col("n")).withColumn("number", F.explode(F.sequence("lo", F.col("lo") + F.col("n") - 1)))
+        picked = picked.unionByName(equal.join(wanted.where("copies > 1"), own(equal) & (F.col("number") == F.col("copy"))).select("row", "ranges", "n_taken", "size"))
+    tokens = F.regexp_extract_all(F.col("row.text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     part = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(tokens, (r["first"] + 1).cast("int"), r["n_words"].cast("int")))), "")
-    text = F.when(F.col("n_taken") == F.col("size"), F.col("text")).otherwise(part)
-    return both.withColumn("text", text).select([F.col(f"`{c}`") for c in documents.columns])
+    text = F.when(F.col("n_taken") == F.col("size"), F.col("row.text")).otherwise(part)
+    return picked.select(F.col("row").withField("text", text).alias("row")).select("row.*")

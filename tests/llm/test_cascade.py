@@ -1,0 +1,62 @@
+from __future__ import annotations
+
+import re
+from collections import Counter
+
+import corpus_cases as cases
+from meterbook.llm import cascade
+from pyspark.sql import functions as F
+
+
+def _measures(text: str | None) -> tuple:
+    text = text or ""
+    w = cases.words(text)
+    lines = [x for x in text.split("\n") if cases.words(x)]
+    windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def _kept(text: str | None) -> tuple[bool, bool]:
+    text = text or ""
+    n, chars, symbols, dup, rep = _measures(text)
+    base = n < 50 or 100 * rep > 50 * n
+    letters = sum(c.isalpha() for c in text)
+    capitals = sum(c.isupper() for c in text)
+    bad = 10 * symbols > n or chars < 2 * n or chars > 15 * n or 2 * dup > len(text.split("\n")) or 2 * letters < chars or 2 * capitals > letters
+    return base, not base and not bad
+
+
+def test_measures_and_verdicts(spark):
+    found = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in cascade.judged(cases.documents(spark)).collect())
+    assert found == Counter((i, *_measures(t), *_kept(t)) for i, t, _ in cases.texts())
+
+
+def test_filter_keeps_rows_whole(spark):
+    docs = cases.documents(spark)
+    kept = cascade.filter_quality(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((i, t) for i, t, _ in cases.texts() if _kept(t)[1])
+
+
+def test_order_is_rejection_per_cost(spark):
+    sample = spark.range(1000).select(F.col("id").alias("doc_id"))
+    slow = F.exists(F.sequence(F.lit(1), F.lit(20000)), lambda x: F.xxhash64(x, F.col("doc_id")) == 1) | (F.col("doc_id") < 500)
+    rules = [cascade.Rule("never", F.col("doc_id") < 0), cascade.Rule("slow", slow), cascade.Rule("half", F.col("doc_id") < 500)]
+    order = cascade.measured_order(sample, rules)
+    assert [r.name for r, _, _ in order] == ["half", "slow", "never"]
+    assert [round(s, 3) for _, _, s in order] == [0.5, 0.5, 0.0]
+
+
+def test_verdict_in_any_order(spark):
+    docs = cases.documents(spark)
+    rules = cascade.default_rules()
+    a = {(r.doc_id, r.n_words): r.kept for r in cascade.judged(docs, rules).collect()}
+    b = {(r.doc_id, r.n_words): r.kept for r in cascade.judged(docs, rules[::-1], sample_rows=3).collect()}
+    assert a == b
+    assert all(r.rejected_by is None for r in cascade.judged(docs, []).collect())
+
+
+def test_empty(spark):
+    assert cascade.judged(cases.empty(spark)).count() == 0
+    assert cascade.filter_quality(cases.empty(spark)).count() == 0
