@@ -1,8 +1,7 @@
 """Model prices: resolving (provider, model) pairs, costs, and upkeep of the price table.
 
-Prices are resolved once for each distinct pair, as ranked candidates from
-equi-joins and one prefix join against the price table, and then joined to the
-events by an equi-join.
+Prices are resolved once for each distinct pair: one join ranks the offers that
+cover it, and the best one is joined to the events by an equi-join.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterbook.schema import MODEL_PRICING
@@ -158,35 +157,36 @@ def resolve_pairs(pairs: DataFrame, prices: DataFrame, estimate: bool = False) -
     """
     spark = pairs.sparkSession
     pairs = pairs.select("provider", "model").where(F.col("provider").isNotNull() & F.col("model").isNotNull()).distinct()
-    pairs = pairs.withColumn("plain", plain_model(F.col("model"))).withColumn("resold", F.col("provider").isin(AGGREGATORS))
+    # Grouping again keeps the name's expression from being repeated in each that uses it.
+    pairs = pairs.withColumn("plain", plain_model(F.col("model"))).distinct()
     alias_vendor, alias_model = family_alias(F.col("plain"))
-    pairs = pairs.withColumn("alias_vendor", alias_vendor).withColumn("alias_model", alias_model).withColumn("vendor", vendor_of(F.col("plain"))).withColumn("builtin", builtin_name(F.col("plain")))
-    price = prices.select(F.col("provider").alias("p_provider"), F.col("model").alias("p_model"), *_CARRIED)
-    direct = ~F.col("p_provider").isin(AGGREGATORS)
+    pairs = pairs.select("*", F.col("provider").isin(AGGREGATORS).alias("resold"), alias_vendor.alias("alias_vendor"), alias_model.alias("alias_model"), vendor_of(F.col("plain")).alias("vendor"), builtin_name(F.col("plain")).alias("builtin"))
+    offer = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), F.col("provider").alias("p_provider"), F.col("model").alias("p_model"), *_CARRIED)
+    offers = offer(prices, "row").unionByName(offer(_builtin_prices(spark), "builtin"))
+    if estimate:
+        offers = offers.unionByName(offer(average_prices(prices).withColumn("model", F.lit("average")), "average"))
+    offers = offers.select("*", F.col("p_provider").isin(AGGREGATORS).alias("reseller"))
+    own, resold, named = F.col("p_provider") == F.col("provider"), F.col("resold"), F.col("p_model") == F.col("plain")
     local = (F.col("p_provider") == "local") & (F.col("p_model") == "any")
-
-    def candidates(rows: DataFrame, condition: Column, rank: int, table: DataFrame = price) -> DataFrame:
-        return rows.join(F.broadcast(table), condition).select("provider", "model", F.lit(rank).alias("rank"), "p_provider", "p_model", *_CARRIED)
-
-    resold = pairs.where("resold")
-    builtin = _builtin_prices(spark).select(F.col("provider").alias("p_provider"), F.col("model").alias("p_model"), *_CARRIED)
-    found = [
-        candidates(pairs, (F.col("p_provider") == F.col("provider")) & (F.col("p_model") == F.col("model")), 1),
-        candidates(pairs, (F.col("p_provider") == F.col("provider")) & (F.col("p_model") == "any"), 2),
-        candidates(resold.where(F.col("plain").isin(FREE_MODELS)), local, 3),
-        candidates(resold, F.col("p_model") == F.col("builtin"), 4, builtin),
-        candidates(resold, (F.col("p_provider") == F.col("alias_vendor")) & (F.col("p_model") == F.col("alias_model")), 5),
-        candidates(resold, (F.col("p_provider") == F.col("vendor")) & (F.col("p_model") == F.col("plain")), 6),
-        candidates(resold, direct & (F.col("p_model") == F.col("plain")), 7),
-        candidates(resold, direct & F.col("plain").startswith(F.col("p_model")), 8),
-        candidates(pairs.where(F.col("provider").isin(LOCAL_PROVIDERS)), local, 9),
+    row = F.col("kind") == "row"
+    steps = [
+        (row & own & (F.col("p_model") == F.col("model")), 1),
+        (row & own & (F.col("p_model") == "any"), 2),
+        (row & resold & local & F.col("plain").isin(FREE_MODELS), 3),
+        ((F.col("kind") == "builtin") & resold & (F.col("p_model") == F.col("builtin")), 4),
+        (row & resold & (F.col("p_provider") == F.col("alias_vendor")) & (F.col("p_model") == F.col("alias_model")), 5),
+        (row & resold & (F.col("p_provider") == F.col("vendor")) & named, 6),
+        (row & resold & ~F.col("reseller") & named, 7),
+        (row & resold & ~F.col("reseller") & F.col("plain").startswith(F.col("p_model")), 8),
+        (row & local & F.col("provider").isin(LOCAL_PROVIDERS), 9),
     ]
     if estimate:
-        close = (F.col("p_model") == F.col("model")) | F.col("model").startswith(F.col("p_model")) | F.col("p_model").startswith(F.col("model"))
-        found.append(candidates(pairs, (F.col("p_provider") == F.col("provider")) & ~F.col("is_local") & close, 10))
-        found.append(candidates(pairs, F.col("p_provider") == F.col("provider"), 11, average_prices(prices).withColumnRenamed("provider", "p_provider").withColumn("p_model", F.lit("average"))))
-    best = Window.partitionBy("provider", "model").orderBy("rank", F.length("p_model").desc(), "p_provider", "p_model")
-    return reduce(DataFrame.unionByName, found).withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
+        close = F.col("model").startswith(F.col("p_model")) | F.col("p_model").startswith(F.col("model"))
+        steps += [(row & own & ~F.col("is_local") & close, 10), ((F.col("kind") == "average") & own, 11)]
+    # Pairs and offers are both few, whatever the number of events.
+    found = pairs.join(F.broadcast(offers), reduce(lambda a, b: a | b, [c for c, _ in steps])).select("provider", "model", _ladder([(c, F.lit(rank)) for c, rank in steps]).alias("rank"), "p_provider", "p_model", *_CARRIED)
+    order = F.struct("rank", (-F.length("p_model")).alias("shorter"), "p_provider", "p_model", *_CARRIED)
+    return found.groupBy("provider", "model").agg(F.min(order).alias("best")).select("provider", "model", *[f"best.{c}" for c in ("rank", "p_provider", "p_model", *_CARRIED)])
 
 
 def average_prices(prices: DataFrame) -> DataFrame:
@@ -243,11 +243,11 @@ def context_windows(spark: SparkSession) -> DataFrame:
 def context_limits(pairs: DataFrame, prices: DataFrame) -> DataFrame:
     """provider, model, context_limit (null if unknown) of distinct pairs: the price's window, else the first prefix that fits."""
     pairs = pairs.select("provider", "model").where(F.col("model").isNotNull()).distinct()
-    known = resolve_pairs(pairs, prices).select("provider", "model", "context_window_tokens")
-    first = pairs.join(F.broadcast(context_windows(pairs.sparkSession)), F.lower("model").startswith(F.col("prefix"))).groupBy("provider", "model").agg(F.min_by("window", "ord").alias("fallback"))
-    rows = pairs.join(known, (pairs["provider"].eqNullSafe(known["provider"])) & (pairs["model"] == known["model"]), "left").select(pairs["provider"], pairs["model"], "context_window_tokens")
-    joined = rows.join(first, rows["provider"].eqNullSafe(first["provider"]) & (rows["model"] == first["model"]), "left")
-    return joined.select(rows["provider"], rows["model"], F.coalesce("context_window_tokens", "fallback").alias("context_limit"))
+    known = resolve_pairs(pairs, prices).select(F.col("provider").alias("k_provider"), F.col("model").alias("k_model"), "context_window_tokens")
+    rows = pairs.join(F.broadcast(known), F.col("provider").eqNullSafe(F.col("k_provider")) & (F.col("model") == F.col("k_model")), "left")
+    rows = rows.join(F.broadcast(context_windows(pairs.sparkSession)), F.lower("model").startswith(F.col("prefix")), "left")
+    rows = rows.groupBy("provider", "model").agg(F.coalesce(F.first("context_window_tokens"), F.min_by("window", "ord")).alias("context_limit"))
+    return rows
 
 
 def upsert_prices(prices: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
