@@ -20,8 +20,10 @@ from meterbook.sources.logs import json_lines
 
 
 def ingest(lines: DataFrame, prices: DataFrame, ingest_time: Column, redact: bool = True, missing: str = "warn") -> DataFrame:
-    """Lines as priced, redacted events, one of each hash."""
+    """Lines as priced, redacted events, one of each hash; sessions and projects are numbered by hashes of their names."""
     rows = priced(first_of_each(normalized(json_lines(lines), ingest_time)), prices, missing)
+    for number, name in (("session_id", "source_session_id"), ("project_id", "project_path")):
+        rows = rows.withColumn(number, F.when(F.col(name).isNotNull(), F.xxhash64(name)))
     estimated = F.col("cost_status") == "Estimated"
     return private(rows.withColumn("exactness", F.when(estimated, "estimated").otherwise(F.col("exactness"))).drop("cost_status"), redact)
 
