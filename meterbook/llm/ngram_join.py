@@ -7,17 +7,16 @@ form a class, and everything below works on classes.
    frequent ones; the others count as rare), then by hash. Two sets that are
    similar enough share a shingle among the first `n - ceil(t * n) + 1` of
    each, whatever the order; in this order these are rare ones.
-2. Groups. Each class is compared with one leader, the first class in the list
-   of some of its leading shingles, and verified links give groups of similar
-   classes. This is done for some rounds with leaders drawn anew, so that
-   families of near copies are connected without comparing all their pairs.
+2. Leaders. Each class is compared with the leader of some of its leading
+   shingles: first the class whose shingles are the most common ones, then one
+   drawn at random. Verified links connect families of near copies without
+   comparing all their pairs.
 3. Matrix. What is left are leading shingles shared by classes of different
-   components. There, classes of one side are queries and groups (components
-   cut into slices of bounded size) are the columns of the token-group matrix:
-   a cell holds the union of its group's shingles, the overlap of a query with
-   the union bounds the overlap with each member, and only groups that reach
-   the bound are opened. Pairs inside one component need no comparison, as
-   only components are asked for.
+   components. Similar classes are put into groups of bounded size, the
+   columns of the token-group matrix: a cell holds the union of its group's
+   shingles, the overlap of a query with the union bounds the overlap with each
+   member, and only groups that reach the bound are opened. Pairs inside one
+   component need no comparison, as only components are asked for.
 
 Every pair of classes that could link is either compared exactly or already in
 one component, so the components are those of all links.
@@ -38,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterbook.llm import text as texts
@@ -48,8 +47,10 @@ from meterbook.llm.workspace import release, stored
 #: Most frequent shingles whose frequency is used for the order (16 bytes each in every task).
 FREQUENT = 1 << 20
 LEADER_ROUNDS = 2
+#: Classes of a group and queries of a cell; one with more than GROUP_SHINGLES shingles counts as several.
 GROUP_CLASSES = 64
 CELL_QUERIES = 256
+GROUP_SHINGLES = 1024
 #: Assignments of classes to cells are broadcast up to this size and joined by shuffle beyond.
 BROADCAST_BYTES = 32 << 20
 
@@ -130,7 +131,7 @@ def _features(rows: DataFrame, like: Similarity) -> DataFrame:
 
 
 def _frequent(rows: DataFrame, like: Similarity, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of all documents' heads (half as many again as can lead) by frequency: at most limit of them."""
+    """Shingles by frequency, at most limit of them: those of all documents' heads (half as many again as can lead), and those that a task finds twice at once."""
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,8 +140,10 @@ def _frequent(rows: DataFrame, like: Similarity, limit: int) -> tuple[np.ndarray
                 sizes, owner = sets.sizes, sets.owner()
                 head = (sizes - like.least(sizes) + 1) * 3 // 2 + 8
                 rank = np.arange(len(owner)) - sets.first[owner]
-                taken = (rank < head[owner]) & _once(sets.keys())[owner]
-                values, counts = np.unique(sets.codes[taken], return_counts=True)
+                once = _once(sets.keys())[owner]
+                values, counts = np.unique(sets.codes[once], return_counts=True)
+                taken = (counts > 1) | np.isin(values, sets.codes[once & (rank < head[owner])], assume_unique=False)
+                values, counts = values[taken], counts[taken]
                 yield pa.record_batch([pa.array(texts.signed(values)), pa.array(counts)], ["shingle", "n"])
 
     counts = rows.select("text").mapInArrow(heads, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 8")
@@ -159,7 +162,7 @@ def _frequent(rows: DataFrame, like: Similarity, limit: int) -> tuple[np.ndarray
 
 
 def _leading(rows: DataFrame, like: Similarity, limit: int) -> DataFrame:
-    """(shingle, key): the leading shingles of every class."""
+    """(shingle, key, n, common): the leading shingles of every class, its size, and how common its shingles are (the mean logarithm of their frequencies, in hundredths)."""
     shared = rows.sparkSession.sparkContext.broadcast(_frequent(rows, like, limit))
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,17 +177,18 @@ def _leading(rows: DataFrame, like: Similarity, limit: int) -> DataFrame:
                 if len(values):
                     at = np.minimum(np.searchsorted(values, codes), len(values) - 1)
                     weight = np.where(values[at] == codes, weights[at], 0)
+                common = np.bincount(owner, np.log2(1 + weight), len(sizes)) * 100 / np.maximum(sizes, 1)
                 order = np.lexsort((codes, weight, owner))
                 codes, owner = codes[order], owner[order]
                 rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
                 lead = rank < (sizes - like.least(sizes) + 1)[owner]
-                yield pa.record_batch([pa.array(texts.signed(codes[lead])), pa.array(texts.signed(keys[owner[lead]]))], ["shingle", "key"])
+                yield pa.record_batch([pa.array(texts.signed(codes[lead])), pa.array(texts.signed(keys[owner[lead]])), pa.array(sizes.astype(np.int32)[owner[lead]]), pa.array(common.astype(np.int32)[owner[lead]])], ["shingle", "key", "n", "common"])
 
-    return rows.select("text").mapInArrow(leading, "shingle long, key long")
+    return rows.select("text").mapInArrow(leading, "shingle long, key long, n int, common int")
 
 
-def compare_cell(keys: np.ndarray, query: np.ndarray, sets: list[np.ndarray], like: Similarity) -> list[tuple[int, int]]:
-    """(query's key, member's key): one link, if there is any, for each query of a cell.
+def compare_cell(keys: np.ndarray, query: np.ndarray, part: np.ndarray, sets: list[np.ndarray], like: Similarity) -> list[tuple[int, int]]:
+    """(query's key, member's key): for each query of a cell, one link to each part in which it has any; parts are known to be connected.
 
     The matrix has a row for each shingle of the group's union and a column for each member.
     """
@@ -203,19 +207,19 @@ def compare_cell(keys: np.ndarray, query: np.ndarray, sets: list[np.ndarray], li
         if len(hits) < like.least(sizes[q : q + 1])[0]:
             continue  # the bound: no member can hold more of the query than the union does
         overlap = matrix[hits].sum(axis=0, dtype=np.int64)
-        linked = np.flatnonzero((like.whole * overlap >= like.part * (sizes[q] + sizes[members] - overlap)) & (keys[members] != keys[q]))
-        if len(linked):
-            links.append((int(keys[q]), int(keys[members[linked[0]]])))
+        linked = members[(like.whole * overlap >= like.part * (sizes[q] + sizes[members] - overlap)) & (part[members] != part[q])]
+        linked = linked[np.unique(part[linked], return_index=True)[1]]
+        links += [(int(keys[q]), k) for k in keys[linked].tolist()]
     return links
 
 
 def _verified(rows: DataFrame, classes: DataFrame, cells: DataFrame, like: Similarity, broadcast_bytes: int) -> DataFrame:
-    """Links (a, b) found in cells (cell, key, query); the sets are computed from one document of each class."""
-    wanted = stored(cells.groupBy("key").agg(F.collect_set(F.struct("cell", "query")).alias("cells")).join(classes.select("key", "doc_id", "mark"), "key"), "cells")
-    size = wanted.agg(F.sum(48 + 12 * F.size("cells"))).first()[0] or 0
-    chosen = wanted.select(F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark"), "key", "cells")
+    """Links (a, b) found in cells (cell, key, part, query); the sets are computed from one document of each class."""
+    wanted = stored(cells.groupBy("key").agg(F.first("part").alias("part"), F.collect_set(F.struct("cell", "query")).alias("cells")).join(classes.select("key", "doc_id", "mark"), "key"), "cells")
+    size = wanted.agg(F.sum(56 + 12 * F.size("cells"))).first()[0] or 0
+    chosen = wanted.select(F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark"), "key", "part", "cells")
     chosen = F.broadcast(chosen) if size <= broadcast_bytes else chosen.hint("merge")
-    picked = rows.join(chosen, (F.col("mark") == F.col("w_mark")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("key", "cells.cell", "cells.query", "text")
+    picked = rows.join(chosen, (F.col("mark") == F.col("w_mark")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("key", "part", "cells.cell", "cells.query", "text")
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,14 +227,19 @@ def _verified(rows: DataFrame, classes: DataFrame, cells: DataFrame, like: Simil
                 sets = sets_of(part.column("text"), like.width)
                 bodies = [sets.codes[a:b].tobytes() for a, b in zip(sets.first[:-1].tolist(), sets.first[1:].tolist(), strict=True)]
                 of = np.repeat(np.arange(part.num_rows), part.column("cell").value_lengths().to_numpy())
-                yield pa.record_batch([part.column("cell").flatten(), part.column("query").flatten(), part.column("key").take(pa.array(of)), pa.array([bodies[i] for i in of.tolist()], pa.binary())], ["cell", "query", "key", "body"])
+                yield pa.record_batch([part.column("cell").flatten(), part.column("query").flatten(), part.column("key").take(pa.array(of)), part.column("part").take(pa.array(of)), pa.array([bodies[i] for i in of.tolist()], pa.binary())], ["cell", "query", "key", "part", "body"])
 
     def compare(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("body")]
-        links = compare_cell(table.column("key").to_numpy(), table.column("query").to_numpy(), sets, like)
+        links = compare_cell(table.column("key").to_numpy(), table.column("query").to_numpy(), table.column("part").to_numpy(), sets, like)
         return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
 
-    return stored(picked.mapInArrow(ship, "cell long, query boolean, key long, body binary").groupBy("cell").applyInArrow(compare, "a long, b long"), "links")
+    return stored(picked.mapInArrow(ship, "cell long, query boolean, key long, part long, body binary").groupBy("cell").applyInArrow(compare, "a long, b long"), "links")
+
+
+def _sizes_fit(like: Similarity, a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.lit(like.whole) * F.least(a, b).cast("long") >= F.lit(like.part) * F.greatest(a, b).cast("long")
 
 
 def _with_component(df: DataFrame, found: DataFrame) -> DataFrame:
@@ -258,20 +267,21 @@ def ngram_components(documents: DataFrame, like: Similarity = Similarity(), freq
     found = spark.createDataFrame([], "node long, component long")
     for turn in range(rounds):
         placed = stored(_with_component(lists, found), "placed")
-        order = F.xxhash64(F.lit(turn), "component", "key")
-        leaders = stored(placed.groupBy("shingle").agg(F.min(F.struct(order.alias("h"), "component", "key")).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle", F.col("l.key").alias("leader"), F.col("l.component").alias("at")), "leaders")
-        pairs = placed.join(leaders, "shingle").where("component <> at").groupBy("key", "leader").agg(F.count(F.lit(1)).alias("n"))
-        pairs = stored(pairs.groupBy("key").agg(F.max(F.struct("n", "leader")).alias("best")).select("key", F.col("best.leader").alias("leader")), "pairs")
+        # First the class whose shingles are the most common ones, as an original is among its copies; then one at random.
+        order = F.struct(-F.col("common"), F.xxhash64("key")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "component", "key"))
+        leaders = stored(placed.groupBy("shingle").agg(F.min(F.struct(order.alias("h"), "component", "key", "n")).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle", F.col("l.key").alias("leader"), F.col("l.component").alias("at"), F.col("l.n").alias("leader_n")), "leaders")
+        pairs = placed.join(leaders, "shingle").where("component <> at").where(_sizes_fit(like, F.col("n"), F.col("leader_n"))).groupBy("key", "leader").agg(F.count(F.lit(1)).alias("shared"))
+        pairs = stored(pairs.groupBy("key").agg(F.max(F.struct("shared", "leader")).alias("best")).select("key", F.col("best.leader").alias("leader")), "pairs")
         release(placed)
         release(leaders)
         slices = pairs.groupBy("leader").agg(F.expr(f"(count(1) + {CELL_QUERIES - 1}) div {CELL_QUERIES}").alias("slices"))
         slices = stored(slices, "slices")
-        asked = pairs.join(slices, "leader").select(F.xxhash64("leader", F.pmod(F.xxhash64("key"), "slices")).alias("cell"), "key", F.lit(True).alias("query"))
-        given = slices.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("s"), "leader").select(F.xxhash64("leader", "s").alias("cell"), F.col("leader").alias("key"), F.lit(False).alias("query"))
+        asked = pairs.join(slices, "leader").select(F.xxhash64("leader", F.pmod(F.xxhash64("key"), "slices")).alias("cell"), "key", F.col("key").alias("part"), F.lit(True).alias("query"))
+        given = slices.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("s"), "leader").select(F.xxhash64("leader", "s").alias("cell"), F.col("leader").alias("key"), F.col("leader").alias("part"), F.lit(False).alias("query"))
         links = links.unionByName(_verified(rows, classes, asked.unionByName(given), like, broadcast_bytes))
         found = components(links)
 
-    cells = _matrix_cells(stored(_with_component(lists, found), "placed"), classes, like)
+    cells = _matrix_cells(stored(_with_component(lists, found), "placed"), like)
     found = components(links.unionByName(_verified(rows, classes, cells, like, broadcast_bytes)))
 
     named = _with_component(classes, found)
@@ -299,18 +309,31 @@ def one_of_each(documents: DataFrame, like: Similarity = Similarity(), broadcast
     return rows.where("stays is null").select("row.*").unionByName(again.select("row.*"))
 
 
-def _matrix_cells(placed: DataFrame, classes: DataFrame, like: Similarity) -> DataFrame:
-    """(cell, key, query) for all pairs of a class and a group of another component that share a leading shingle."""
-    across = stored(placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle"), "across")
-    open_lists = placed.join(across, "shingle").join(classes.select("key", "n"), "key")
-    counts = stored(placed.select("component", "key").distinct().groupBy("component").agg(F.expr(f"(count(1) + {GROUP_CLASSES - 1}) div {GROUP_CLASSES}").alias("slices")), "counts")
-    open_lists = stored(open_lists.join(counts, "component").withColumn("group", F.xxhash64("component", F.pmod(F.xxhash64("key"), "slices"))), "open")
-    groups = open_lists.groupBy("shingle", "group", F.col("component").alias("c")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    # The side with the greater component asks; sizes must allow the similarity.
-    fits = (F.lit(like.whole) * F.col("hi") >= F.lit(like.part) * F.col("n")) & (F.lit(like.whole) * F.col("n") >= F.lit(like.part) * F.col("lo"))
-    asked = stored(open_lists.select("shingle", "key", "component", "n").join(groups, "shingle").where((F.col("component") > F.col("c")) & fits).select("key", F.col("group").alias("g")).distinct(), "asked")
-    slices = stored(asked.groupBy("g").agg(F.expr(f"(count(1) + {CELL_QUERIES - 1}) div {CELL_QUERIES}").alias("slices")), "slices")
-    queries = asked.join(slices, "g").select(F.xxhash64("g", F.pmod(F.xxhash64("key"), "slices")).alias("cell"), "key", F.lit(True).alias("query"))
-    members = open_lists.select("key", F.col("group").alias("g")).distinct().join(slices, "g")
-    members = members.select("key", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("s")).select(F.xxhash64("g", "s").alias("cell"), "key", F.lit(False).alias("query"))
-    return queries.unionByName(members)
+def _matrix_cells(placed: DataFrame, like: Similarity) -> DataFrame:
+    """(cell, key, part, query) for all pairs of a class and a group that holds another component and shares a leading shingle with it.
+
+    Large components are cut into groups; other classes are grouped with those
+    that share their longest list. Long lists that start with the same class
+    count as one list, so that near copies don't meet once for each shingle.
+    """
+    across = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("key").alias("first"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    across = stored(across.select("shingle", "size", F.when(F.col("size") >= GROUP_CLASSES, F.xxhash64(F.lit("list"), "first")).otherwise(F.col("shingle")).alias("list")), "across")
+    lists = placed.join(across, "shingle").groupBy("list", "key", "component", "n").agg(F.max("size").alias("size"))
+    lists = stored(lists.withColumn("weight", F.greatest(F.lit(1.0), F.col("n") / GROUP_SHINGLES)), "lists")
+    members = lists.groupBy("key", "component", "weight").agg(F.max(F.struct("size", "list"))["list"].alias("longest"))
+    large = stored(placed.select("component", "key").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") >= GROUP_CLASSES), "large")
+    members = members.join(large, "component", "left").withColumn("family", F.when(F.col("classes").isNull(), F.xxhash64(F.lit("list"), "longest")).otherwise(F.xxhash64(F.lit("component"), "component")))
+    members = stored(members.select("key", "component", "weight", "family"), "members")
+    families = stored(members.groupBy("family").agg(F.ceil(F.sum("weight") / GROUP_CLASSES).alias("slices")), "families")
+    grouped = members.join(families, "family").select("key", "component", "weight", F.xxhash64("family", F.pmod(F.xxhash64("key"), "slices")).alias("group"))
+    grouped = stored(grouped, "grouped")
+    placed_groups = lists.join(grouped.select("key", "group"), "key")
+    groups = stored(placed_groups.groupBy("list", "group").agg(F.min("component").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi")), "groups")
+    # Of two components the greater one asks; sizes must allow the similarity.
+    fits = (F.lit(like.whole) * F.col("hi").cast("long") >= F.lit(like.part) * F.col("n").cast("long")) & (F.lit(like.whole) * F.col("n").cast("long") >= F.lit(like.part) * F.col("lo").cast("long"))
+    asked = lists.join(groups, "list").where((F.col("component") > F.col("c")) & fits).select("key", F.col("component").alias("part"), "weight", "group").distinct()
+    asked = stored(asked, "asked")
+    slices = stored(asked.groupBy("group").agg(F.ceil(F.sum("weight") / CELL_QUERIES).alias("slices")), "slices")
+    queries = asked.join(slices, "group").select(F.xxhash64("group", F.pmod(F.xxhash64("key"), "slices")).alias("cell"), "key", "part", F.lit(True).alias("query"))
+    opened = grouped.join(slices, "group").select("key", F.col("component").alias("part"), "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("s"))
+    return queries.unionByName(opened.select(F.xxhash64("group", "s").alias("cell"), "key", "part", F.lit(False).alias("query")))
