@@ -3,8 +3,10 @@
 Records are laid out in files; a leaf is the hash of one record's offset,
 length and content digest. Every FANOUT leaves of a file, in offset order,
 make a node, and so on up to the file; files make nodes in the same way up to
-the replica's root. Equal roots end the audit. Otherwise only the children of
-mismatching nodes are compared, level by level, down to the records.
+the root. Both replicas get trees of one shape, as high as the longest file
+and the span of file numbers of the two need. Equal roots end the audit.
+Otherwise only the children of mismatching nodes are compared, level by level,
+down to the records.
 
 Defined results: null html and url count as empty; a record is identified by
 its file and its number in offset order; records without page_id lie in file
@@ -68,15 +70,26 @@ def read_warc(spark, path: str) -> DataFrame:
     return rows.select("file", "number", (F.sum("length").over(order) - F.col("length")).alias("offset"), "length", "digest")
 
 
-def merkle_levels(records: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
-    """Tables (file, number, hash) from leaves to root; the parent of a node divides its number, or in a file's single node its file, by fanout."""
+def agreed_shape(first: DataFrame, second: DataFrame, fanout: int = FANOUT) -> list[str]:
+    """The column that each level above the records divides, alike for both replicas: number until every file is one node, then file up to a common root."""
+    both = first.select("file", "number").unionByName(second.select("file", "number"))
+    ends = both.agg(*[f(c).alias(f"{name}_{c}") for c in ("number", "file") for name, f in (("low", F.min), ("high", F.max))]).first()
+    shape = []
+    for column in ("number", "file"):
+        low, high = ends[f"low_{column}"], ends[f"high_{column}"]
+        while low != high:
+            shape.append(column)
+            low, high = (x // fanout if x >= 0 else -(-x // fanout) for x in (low, high))
+    return shape
+
+
+def merkle_levels(records: DataFrame, shape: list[str], fanout: int = FANOUT) -> list[DataFrame]:
+    """Tables (file, number, hash) from leaves to root; the parent of a node divides the level's column of the shape by fanout."""
     leaf = F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256)
     levels = [stored(records.select("file", "number", leaf.alias("hash")), "level")]
-    while True:
-        top = levels[-1].agg(F.count(F.lit(1)), F.max("number")).first()
-        if top[0] <= 1:
-            return levels
-        levels.append(stored(_parents(levels[-1], top[1] > 0, fanout), "level"))
+    for column in shape:
+        levels.append(stored(_parents(levels[-1], column, fanout), "level"))
+    return levels
 
 
 def _parent(column: str, fanout: int) -> Column:
@@ -84,30 +97,29 @@ def _parent(column: str, fanout: int) -> Column:
     return F.expr(f"{column} div {fanout}")
 
 
-def _parents(level: DataFrame, inside: bool, fanout: int) -> DataFrame:
-    key = ["file", _parent("number", fanout)] if inside else [_parent("file", fanout), "number"]
+def _parent_key(column: str, fanout: int) -> list[Column]:
+    """File and number of a node's parent."""
+    return [_parent(c, fanout) if c == column else F.col(c) for c in ("file", "number")]
+
+
+def _parents(level: DataFrame, column: str, fanout: int) -> DataFrame:
     children = F.sort_array(F.collect_list(F.struct("file", "number", "hash")))
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["file"].cast("string"), x["number"].cast("string"), x["hash"])), ",")
-    return level.select(*[F.col(k).alias(f"k{i}") if isinstance(k, str) else k.alias(f"k{i}") for i, k in enumerate(key)], "file", "number", "hash").groupBy(F.col("k0").alias("file"), F.col("k1").alias("number")).agg(F.sha2(joined(children), 256).alias("hash"))
+    return level.select(*[k.alias(f"k{i}") for i, k in enumerate(_parent_key(column, fanout))], "file", "number", "hash").groupBy(F.col("k0").alias("file"), F.col("k1").alias("number")).agg(F.sha2(joined(children), 256).alias("hash"))
 
 
-def mismatches(first: list[DataFrame], second: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """(file, number) of the records whose leaves differ or that one replica lacks."""
+def mismatches(first: list[DataFrame], second: list[DataFrame], shape: list[str], fanout: int = FANOUT) -> DataFrame:
+    """(file, number) of the records whose leaves differ or that one replica lacks. Both trees have the shape."""
 
     def differing(a: DataFrame, b: DataFrame) -> DataFrame:
         both = a.select("file", "number", F.col("hash").alias("ours")).join(b.select("file", "number", F.col("hash").alias("theirs")), ["file", "number"], "full")
         return both.where(~F.col("ours").eqNullSafe(F.col("theirs"))).select("file", "number")
 
-    # Trees of unequal height have no common node to start from.
-    if len(first) != len(second):
-        return differing(first[0], second[0])
     wrong = differing(first[-1], second[-1])
-    for level in range(len(first) - 2, -1, -1):
+    for level in range(len(shape) - 1, -1, -1):
         if wrong.isEmpty():
             return wrong
-        inside = not first[level].where("number > 0").isEmpty() or not second[level].where("number > 0").isEmpty()
-        parent_file = F.col("file") if inside else _parent("file", fanout)
-        parent_number = _parent("number", fanout) if inside else F.col("number")
+        parent_file, parent_number = _parent_key(shape[level], fanout)
         wanted = wrong.select(F.col("file").alias("pf"), F.col("number").alias("pn"))
         below = [x[level].withColumn("pf", parent_file).withColumn("pn", parent_number).join(wanted, ["pf", "pn"], "left_semi") for x in (first, second)]
         wrong = stored(differing(*below), "wrong") if level else differing(*below)
@@ -116,5 +128,6 @@ def mismatches(first: list[DataFrame], second: list[DataFrame], fanout: int = FA
 
 def audit(records: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """records with intact: whether the replica holds the same bytes at the same place."""
-    wrong = mismatches(merkle_levels(records, fanout), merkle_levels(replica, fanout), fanout)
+    shape = agreed_shape(records, replica, fanout)
+    wrong = mismatches(merkle_levels(records, shape, fanout), merkle_levels(replica, shape, fanout), shape, fanout)
     return records.join(wrong.withColumn("wrong", F.lit(True)), ["file", "number"], "left").withColumn("intact", F.col("wrong").isNull()).drop("wrong")

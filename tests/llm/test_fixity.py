@@ -47,6 +47,17 @@ def test_missing_records(spark):
     assert fixity.audit(_laid(pages.limit(0)), ours, 4).count() == 0
 
 
+def test_trees_of_equal_height_and_unequal_shape(spark):
+    """Fewer files, of which one is longer, once made a tree as high as that of more and shorter files."""
+
+    def held(sizes):
+        return stored(spark.createDataFrame([(f, n, n * 9, 9, f"{f}-{n}") for f, size in enumerate(sizes) for n in range(size)], "file long, number long, offset long, length long, digest string"), "held")
+
+    for ours, theirs in (([5] * 6, [17, 5, 5, 5]), ([17, 5, 5, 5], [5] * 6), ([1], [9] * 9), ([3] * 5, [3] * 5)):
+        found = {(r.file, r.number) for r in fixity.audit(held(ours), held(theirs), 4).where("intact").collect()}
+        assert found == {(f, n) for f, size in enumerate(ours) for n in range(size) if f < len(theirs) and n < theirs[f]}
+
+
 def test_files_round_trip(spark, tmp_path):
     pages = _pages(spark)
     fixity.write_warc(pages, f"{tmp_path}/warc", 10)
