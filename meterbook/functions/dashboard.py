@@ -78,7 +78,7 @@ def from_api(lines: DataFrame, prices: DataFrame, missing: str = "warn") -> Data
 
 
 def from_csv(table: DataFrame, prices: DataFrame, missing: str = "warn") -> DataFrame:
-    """Events of an export's rows (text columns); a table that lacks the required columns gives none."""
+    """Events of an export's rows (text columns, and optionally path); a table that lacks the required columns gives none."""
     if not set(CSV_REQUIRED) <= set(table.columns):
         table = table.limit(0)
     c = {name: F.coalesce(F.col(f"`{name}`"), F.lit("")) if name in table.columns else F.lit("") for name in CSV_COLUMNS}
@@ -89,6 +89,7 @@ def from_csv(table: DataFrame, prices: DataFrame, missing: str = "warn") -> Data
         number("Input (w/o Cache Write)").alias("input_tokens"), number("Output Tokens").alias("output_tokens"), number("Input (w/ Cache Write)").alias("cache_write_tokens"), number("Cache Read").alias("cache_read_tokens"), number("Total Tokens").alias("given_total"),
         F.coalesce(blank(c["Cloud Agent ID"]), blank(c["Automation ID"])).alias("source_session_id"), cost_cents(c["Cost"]).alias("charged_cents"), F.lit(None).cast("double").alias("model_cents"), F.lit(True).alias("counted"),
         F.to_json(F.struct(date.alias("date"), c["Kind"].alias("kind"), c["Model"].alias("model"), c["Cost"].alias("cost"))).alias("raw_json"),
+        *([F.col("path").alias("raw_source_path")] if "path" in table.columns else []),
     ).where(F.col("timestamp").isNotNull())
     rows = rows.withColumn("event_type", event_type(F.col("kind"))).withColumn("total_tokens", _total(F.col("given_total"))).drop("given_total")
     return _costed(rows, prices, missing)

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
+import io
+import json
+import sys
+from collections.abc import Callable, Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterbook.functions.dashboard import CSV_COLUMNS, CSV_REQUIRED
 from meterbook.functions.normalize import detected_provider, instant, with_hash
 
-EXTENSIONS = ("jsonl", "json", "log", "ndjson", "txt", "csv")
+LINES, DOCUMENTS, EXPORTS = ("jsonl", "log", "ndjson", "txt"), ("json",), ("csv",)
+EXTENSIONS = (*LINES, *DOCUMENTS, *EXPORTS)
+EXPORT_BATCH = 4096
 LARGEST_FILE = 500 << 20
 # Models of the generated sample, by provider.
 SAMPLE_MODELS = {
@@ -43,12 +53,57 @@ def json_lines(lines: DataFrame) -> DataFrame:
     return opened.where(F.try_parse_json("value").isNotNull())
 
 
+def _glob(extensions: tuple[str, ...]) -> str:
+    """Files with one of the extensions, in any case."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in extensions) + "}"
+
+
+def _export_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of whole CSV exports, by the names in each one's header; files without the required columns give none."""
+    csv.field_size_limit(sys.maxsize)
+    for batch in batches:
+        for text, path in zip(batch["value"], batch["path"], strict=True):
+            rows = filter(None, csv.reader(io.StringIO(text.as_py(), newline="")))
+            header = next(rows, [])
+            if not set(CSV_REQUIRED) <= set(header):
+                continue
+            at = {name: header.index(name) for name in CSV_COLUMNS if name in header}
+            objects = (json.dumps({name: row[i] for name, i in at.items() if i < len(row)}) for row in rows)
+            while some := list(islice(objects, EXPORT_BATCH)):
+                yield pa.RecordBatch.from_pydict({"value": some, "path": [path.as_py()] * len(some)})
+
+
+def log_values(text: Callable[[str, bool], DataFrame]) -> DataFrame:
+    """value and path of all files in EXTENSIONS: lines, .json documents, and one JSON object a row of a CSV export. text: reads the files of a glob by lines or whole.
+
+    A .json file whose first line is a document of its own, or that isn't JSON as a whole, is taken by lines.
+    """
+
+    def read(extensions: tuple[str, ...], whole: bool) -> DataFrame:
+        return text(_glob(extensions), whole).select(F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("path"))
+
+    # The parser stops at the end of the first document, so lines must be told by the first one.
+    first = F.regexp_extract("value", r"^\s*([^\r\n]*)", 1)
+    whole = F.try_parse_json("value").isNotNull() & F.try_parse_json(first).isNull()
+    parts = F.when(whole, F.array("value")).otherwise(F.split("value", "\r?\n"))
+    documents = read(DOCUMENTS, True).select(F.explode(parts).alias("value"), "path")
+    return read(LINES, False).unionByName(documents).unionByName(read(EXPORTS, True).mapInArrow(_export_rows, "value string, path string"))
+
+
+def of_export(path: Column) -> Column:
+    """Whether a value is a row of a CSV export."""
+    return F.coalesce(F.lower(F.substring_index(path, ".", -1)).isin(*EXPORTS), F.lit(False))
+
+
+def export_table(values: DataFrame) -> DataFrame:
+    """The rows of CSV exports, as text columns, with their path."""
+    row = F.from_json("value", ", ".join(f"`{c}` string" for c in CSV_COLUMNS))
+    return values.where(of_export(F.col("path"))).select(row.alias("row"), "path").select("row.*", "path")
+
+
 def read_logs(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """value and path of the JSON objects in log files: a .json file holds one document, others one object a line."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jsonl,log,ndjson,txt}").text(paths)
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(paths, wholetext=True)
-    both = text.select("value", F.col("_metadata.file_path").alias("path")).unionByName(whole.select("value", F.col("_metadata.file_path").alias("path")))
-    return json_lines(both)
+    """value and path of the JSON objects in log files: a .json file holds one document, others one object a line; a row of a CSV export is an object of its columns."""
+    return json_lines(log_values(lambda glob, whole: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(paths, wholetext=whole)))
 
 
 def _field(data: Column, *keys: str) -> Column:

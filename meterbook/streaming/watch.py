@@ -12,28 +12,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from meterbook.functions.dashboard import from_csv
 from meterbook.functions.normalize import first_of_each, normalized
 from meterbook.functions.text import private
 from meterbook.operators import store
 from meterbook.operators.pricing import priced
-from meterbook.sources.logs import json_lines
+from meterbook.sources.logs import export_table, json_lines, log_values, of_export
 
 
 def ingest(lines: DataFrame, prices: DataFrame, ingest_time: Column, redact: bool = True, missing: str = "warn") -> DataFrame:
-    """Lines as priced, redacted events, one of each hash; sessions and projects are numbered by hashes of their names."""
-    rows = priced(first_of_each(normalized(json_lines(lines), ingest_time)), prices, missing)
+    """Lines (value, and optionally path; rows of CSV exports as log_values gives them) as priced, redacted events, one of each hash; sessions and projects are numbered by hashes of their names."""
+    exports = "path" in lines.columns
+    logged = lines.where(~of_export(F.col("path"))) if exports else lines
+    rows = priced(first_of_each(normalized(json_lines(logged), ingest_time)), prices, missing)
+    rows = rows.withColumn("exactness", F.when(F.col("cost_status") == "Estimated", "estimated").otherwise(F.col("exactness"))).drop("cost_status")
+    if exports:
+        rows = first_of_each(rows.unionByName(from_csv(export_table(lines), prices, missing), allowMissingColumns=True))
     for number, name in (("session_id", "source_session_id"), ("project_id", "project_path")):
         rows = rows.withColumn(number, F.when(F.col(name).isNotNull(), F.xxhash64(name)))
-    estimated = F.col("cost_status") == "Estimated"
-    return private(rows.withColumn("exactness", F.when(estimated, "estimated").otherwise(F.col("exactness"))).drop("cost_status"), redact)
+    return private(rows, redact)
 
 
 def lines_of(spark: SparkSession, folder: str, files_per_batch: int = 100, archive: str | None = None) -> DataFrame:
-    """A stream of the lines of new files; read files are moved to the archive, if there is one."""
-    reader = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jsonl,ndjson,log,txt}").option("maxFilesPerTrigger", files_per_batch)
-    if archive:
-        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return reader.text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    """A stream of the lines, documents and CSV rows of new files (at most files_per_batch of each of the three); read files are moved to the archive, if there is one."""
+
+    def text(glob: str, whole: bool) -> DataFrame:
+        reader = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch)
+        if archive:
+            reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+        return reader.text(folder, wholetext=whole)
+
+    return log_values(text)
 
 
 def watch(lines: DataFrame, prices: DataFrame, events: str, rollup: str, checkpoint: str, name: str = "watch", every: str | None = None) -> StreamingQuery:
@@ -44,7 +53,12 @@ def watch(lines: DataFrame, prices: DataFrame, events: str, rollup: str, checkpo
             return query
 
     def batch(rows: DataFrame, _: int) -> None:
-        done = store.append(ingest(rows, prices, F.current_timestamp()), events).first()
+        # Logs and exports are two branches over the same files.
+        rows = rows.persist()
+        try:
+            done = store.append(ingest(rows, prices, F.current_timestamp()), events).first()
+        finally:
+            rows.unpersist()
         if done["inserted"]:
             store.refresh_rollup(rows.sparkSession, events, rollup, done["days"])
 

@@ -199,6 +199,43 @@ def test_stream(spark, tmp_path):
     assert not watch.stop(spark)
 
 
+EXPORT = '\ufeffModel,Date,"Total Tokens",Kind,Cost\r\n"composer\n2.5",2024-01-02T03:04:05Z,7,Included,Included\r\nx,1704164646123,5,usage,$1.50\r\n'
+
+
+def _mixed_folder(folder):
+    """Nine events in files of all extensions, in either case."""
+    (folder / "Deep").mkdir(parents=True)
+    for i, name in enumerate(("a.jsonl", "B.JSONL", "c.Log", "d.TXT", "e.ndjson")):
+        (folder / name).write_text(json.dumps({**LINES[2], "total_tokens": i, "model": f"m{i}"}) + "\n")
+    (folder / "f.JSON").write_text(json.dumps([LINES[0]], indent=1))
+    (folder / "Deep" / "g.json").write_text(json.dumps(LINES[1]) + "\n" + json.dumps({"foo": "bar"}) + "\n")
+    (folder / "Deep" / "h.CSV").write_text(EXPORT)
+    (folder / "i.csv").write_text("a,b\n1,2\n")
+    (folder / "k.bin").write_text(json.dumps(LINES[3]))
+
+
+def test_every_listed_file_is_read(spark, tmp_path):
+    _mixed_folder(tmp_path / "in")
+    found = logs.read_logs(spark, str(tmp_path / "in"))
+    assert found.count() == 10
+    listed = {r.path.rpartition("/")[2] for r in logs.listed_files(spark, str(tmp_path / "in")).collect()}
+    # The file without an export's columns holds no objects.
+    assert {r.path.rpartition("/")[2] for r in found.collect()} == listed - {"i.csv"}
+    events = {r.model: r for r in watch.ingest(found, pricing.seed_prices(spark), F.lit(NOW).cast("timestamp")).collect()}
+    assert set(events) == {"m0", "m1", "m2", "m3", "m4", "gpt-4o", "claude-x", "composer\n2.5", "x"}
+    assert (events["x"].cost_usd, events["x"].total_tokens, events["x"].provider, events["x"].raw_source_path.rpartition("/")[2]) == (1.5, 5, "cursor", "h.CSV")
+
+
+def test_stream_of_every_kind(spark, tmp_path):
+    _mixed_folder(tmp_path / "in")
+    paths = [f"{tmp_path}/{x}" for x in ("events", "daily", "checkpoint")]
+    query = watch.watch(watch.lines_of(spark, str(tmp_path / "in"), archive=f"{tmp_path}/read"), pricing.seed_prices(spark), *paths, name="kinds")
+    assert query.awaitTermination(240)
+    held = spark.read.parquet(paths[0])
+    assert {r.model for r in held.collect()} == {"m0", "m1", "m2", "m3", "m4", "gpt-4o", "claude-x", "composer\n2.5", "x"}
+    assert held.agg(F.sum("total_tokens")).first() == spark.read.parquet(paths[1]).agg(F.sum("total_tokens")).first()
+
+
 def test_baseline_in_chunks(spark):
     values = [(i * 37) % 101 for i in range(100)]
     rows = spark.createDataFrame([(i, i // 9, v) for i, v in enumerate(values)], "i long, slot_of long, v long").repartition(4)
