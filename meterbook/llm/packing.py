@@ -6,9 +6,10 @@ the first one takes the rest. Full pieces are sequences of their own. The
 others are dealt into groups of bounded size, and each group is packed by a
 branch-and-bound search: around the largest piece left, the undominated
 fillings of the rest of its sequence are tried by growing waste; a branch is
-left when its waste shows that it can't beat the incumbent. The first incumbent
+left when its waste shows that it can't beat the incumbent. Fillings of any
+number of pieces are enumerated, as they are asked for. The first incumbent
 is the best-fit decreasing packing; the search ends at the lower bound on the
-number of sequences or at its node budget and returns the incumbent.
+number of sequences or at its budget (NODES, STEPS) and returns the incumbent.
 
 Defined results: null text counts as empty; an empty text is the end token
 alone; repeated rows and null doc_ids are packed row by row; an empty table
@@ -36,6 +37,8 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 GROUP_PIECES = 4096
 #: Search nodes for each group, besides one descent.
 NODES = 4000
+#: Pieces placed while looking for fillings, for each search node of the budget.
+STEPS = 100
 
 _encoders: dict[int, object] = {}
 
@@ -98,40 +101,78 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _fillings(left: np.ndarray, rest: int, most: int) -> list[tuple[int, list[int]]]:
-    """Undominated fillings of rest from the multiset left (counts by length), by waste: (waste, lengths).
+def _reachable(lengths: np.ndarray, capacity: int) -> list[int]:
+    """For each length, the sums (as bits) that pieces of at most that length make."""
+    counts, full = np.bincount(lengths, minlength=capacity + 1).tolist(), (1 << capacity + 1) - 1
+    sums, found = 1, []
+    for x, n in enumerate(counts):
+        k = 1
+        while x and n:
+            k = min(k, n)
+            sums |= sums << x * k & full
+            n, k = n - k, 2 * k
+        found.append(sums)
+    return found
 
-    For each first length the largest second one that fits is the only
-    undominated choice; what then remains is filled with the largest that fits.
+
+def _spread(bits: int, width: int) -> int:
+    """The bits moved up by 0, 1 and so on to width."""
+    done = 1
+    while done <= width:
+        step = min(done, width + 1 - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def _fillings(left: np.ndarray, rest: int, most_waste: int, reach: list[int], steps: list[int]) -> Iterator[tuple[int, list[int]]]:
+    """All undominated fillings of rest from the multiset left (counts by length), by waste and then number of pieces: (waste, lengths).
+
+    A filling is dominated if a piece left out fits instead of some of its
+    pieces and is no smaller than their sum; equal single pieces don't count.
+    Pieces are placed in falling order, so whatever can replace placed ones is
+    already left out, and a dominated beginning is not gone on with.
+    steps[0] falls with every piece placed; at 0 there are no more fillings.
     """
+    counts = left[: rest + 1].tolist()
     sizes = np.flatnonzero(left[: rest + 1])
-    if not len(sizes):
-        return [(rest, [])]
     largest = np.zeros(rest + 1, np.int64)
     largest[sizes] = sizes
-    largest = np.maximum.accumulate(largest)
-    second = largest[np.minimum(sizes, rest - sizes)]
-    same = (second == sizes) & (left[sizes] < 2)
-    second[same] = largest[np.maximum(np.minimum(sizes[same] - 1, rest - sizes[same]), 0)]
-    waste = rest - sizes - second
-    # A pair is dominated by one that is no smaller in both lengths.
-    best_so_far = np.maximum.accumulate(np.concatenate([[-1], second[::-1][:-1]]))[::-1]
-    order = np.flatnonzero(second > best_so_far)
-    order = order[np.argsort(waste[order], kind="stable")][: 4 * most]
-    found = []
-    for i in order.tolist():
-        filling, room = [int(sizes[i])], int(rest - sizes[i])
-        used = {filling[0]: 1}
-        x = int(second[i])
-        while x:
+    largest = np.maximum.accumulate(largest).tolist()
+    free = sum(1 << x for x in sizes.tolist())
+    smallest, at_most = (int(sizes[0]), int(left[sizes].sum())) if len(sizes) else (1, 0)
+    for waste, n in ((w, n) for w in range(min(rest, most_waste) + 1) for n in range(min((rest - w) // smallest, at_most) + 1)):
+        # Next length to try, room, and the sums of one and of several placed pieces.
+        room = rest - waste
+        frames, filling = [[largest[room], room, 0, 0]], []
+        while frames:
+            x, room, one, many = frames[-1]
+            more = n - len(filling)
+            if room == more == 0 and not free & (2 << waste) - 2:
+                yield waste, filling.copy()
+            # What pieces of at most this length can't make, shorter ones can't either.
+            if not room or not more or not x or more * x < room or not reach[x] >> room & 1:
+                frames.pop()
+                if filling:
+                    x = filling.pop()
+                    counts[x] += 1
+                    free |= 1 << x
+                continue
+            frames[-1][0] = largest[x - 1]
+            if not counts[x] or room - x < (more - 1) * smallest:
+                continue
+            if steps[0] <= 0:
+                return
+            steps[0] -= 1
+            one, many = one | 1 << x, many | (one | many) << x
+            others = free if counts[x] > 1 else free ^ 1 << x
+            if (_spread(many, waste) | (_spread(one << 1, waste - 1) if waste else 0)) & others:
+                continue
+            counts[x] -= 1
+            free = others
             filling.append(x)
-            used[x] = used.get(x, 0) + 1
             room -= x
-            x = int(largest[min(x, room)])
-            while x and used.get(x, 0) >= left[x]:
-                x = int(largest[x - 1])
-        found.append((room, filling))
-    return sorted(found, key=lambda f: (f[0], len(f[1])))[:most]
+            frames.append([largest[min(x, room)], room, one, many])
 
 
 def bin_completion(lengths: np.ndarray, capacity: int, nodes: int = NODES) -> list[list[int]]:
@@ -141,20 +182,22 @@ def bin_completion(lengths: np.ndarray, capacity: int, nodes: int = NODES) -> li
     least = max(-(-total // capacity), int((lengths * 2 > capacity).sum()))
     left = np.bincount(lengths, minlength=capacity + 1)
     budget = nodes + len(incumbent)
+    steps = [STEPS * budget]
+    reach = _reachable(lengths, capacity) if len(incumbent) > least else []
 
-    def fillings(wasted: int) -> Iterator[tuple[int, list[int]]]:
+    def fillings(most_waste: int) -> Iterator[tuple[int, list[int]]]:
         top = int(np.flatnonzero(left)[-1])
         left[top] -= 1
-        options = _fillings(left, capacity - top, 8)
+        rest = left.copy()
         left[top] += 1
-        return iter([(w, [top, *f]) for w, f in options])
+        return ((w, [top, *f]) for w, f in _fillings(rest, capacity - top, most_waste, reach, steps))
 
     while len(incumbent) > least and budget > 0:
         # Look for a packing with one sequence less: its waste in all is known.
         allowed = (len(incumbent) - 1) * capacity - total
         path: list[tuple[int, list[int]]] = []
         wasted, packed = 0, 0
-        choices = [fillings(0)]
+        choices = [fillings(allowed)]
         improved = False
         while choices and budget > 0:
             option = next(choices[-1], None)
@@ -178,7 +221,7 @@ def bin_completion(lengths: np.ndarray, capacity: int, nodes: int = NODES) -> li
             if capacity * (len(incumbent) - 1 - len(path)) < total + wasted - capacity * len(path):
                 choices.append(iter(()))
             else:
-                choices.append(fillings(wasted))
+                choices.append(fillings(allowed - wasted))
         for _, f in path:
             np.add.at(left, f, 1)
         if not improved:

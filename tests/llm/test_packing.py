@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter, defaultdict
 
@@ -72,5 +73,51 @@ def test_search_beats_best_fit():
     assert won > 10
 
 
+def _plain_fillings(pieces: list[int], rest: int) -> set[tuple[int, tuple[int, ...]]]:
+    """Undominated fillings, from all subsets and all exchanges."""
+    subsets = lambda xs: {c for n in range(len(xs) + 1) for c in itertools.combinations(sorted(xs, reverse=True), n)}
+    found = set()
+    for filling in subsets(pieces):
+        waste = rest - sum(filling)
+        out = Counter(pieces) - Counter(filling)
+        if waste >= 0 and not any(x >= sum(part) and x - sum(part) <= waste and part != (x,) for part in subsets(filling) for x in out):
+            found.add((waste, filling))
+    return found
+
+
+def test_all_undominated_fillings():
+    rng = np.random.default_rng(3)
+    pieces_of = 0
+    for _ in range(60):
+        rest = int(rng.integers(10, 80))
+        pieces = rng.integers(1, rest + 1, 9).tolist() if rng.random() < 0.3 else (1 + rng.integers(0, rest // 2, 9)).tolist()
+        lengths = np.array(pieces)
+        found = list(packing._fillings(np.bincount(lengths, minlength=rest + 1), rest, rest, packing._reachable(lengths, rest), [10**6]))
+        assert [w for w, _ in found] == sorted(w for w, _ in found)
+        assert sorted((w, tuple(f)) for w, f in found) == sorted(_plain_fillings(pieces, rest))
+        pieces_of = max(pieces_of, *[len(f) for _, f in found])
+    assert pieces_of >= 5
+    lengths = np.array([*range(51, 71, 2), *range(31, 51, 2)])
+    found = packing._fillings(np.bincount(lengths, minlength=101), 100, 0, packing._reachable(lengths, 100), [10**6])
+    assert sum(len(f) == 2 for _, f in found) == 10
+
+
+def test_fillings_of_more_than_two_pieces():
+    lengths = np.array([90, 45, 43, 9, 6, 3, 2, 2])
+    assert sorted(sorted(f) for f in packing.bin_completion(lengths, 100)) == [[2, 2, 6, 90], [3, 9, 43, 45]]
+    # Perfect packings of 4 to 6 pieces a sequence.
+    rng = np.random.default_rng(4)
+    won = perfect = 0
+    for i in range(30):
+        cut = lambda: np.diff([0, *np.sort(rng.choice(np.arange(1, 1000), 3 + i % 3, replace=False)), 1000])  # noqa: B023, E731
+        lengths = np.concatenate([cut() for _ in range(6)])
+        found, plain = packing.bin_completion(lengths, 1000), packing.best_fit(lengths, 1000)
+        assert sorted(x for f in found for x in f) == sorted(lengths.tolist())
+        assert all(sum(f) <= 1000 for f in found)
+        assert len(found) <= len(plain)
+        won, perfect = won + (len(found) < len(plain)), perfect + (len(found) == 6)
+    assert won == perfect == 30
+
+
 def test_empty(spark):
     assert packing.pack(packing.document_pieces(cases.empty(spark), PATH)).count() == 0
