@@ -1,14 +1,15 @@
-"""Removal of passages that an earlier document already holds, by parsing documents against reference blocks.
-
-A phrase is `width` consecutive words. All phrases of the corpus are dealt by
-hash into reference blocks of bounded size; a block knows, for each of its
-phrases, the smallest doc_id that holds it. A document's phrases are looked up
-in every block they belong to. Its text is then parsed greedily from left to
-right: a factor starts at a phrase that an earlier document holds and grows
-word by word as long as the next phrase is held too. Each position's own
-phrase is looked up, so a passage that crosses from one earlier document into
-another, where greedy factors against one document would break, is found as
-well. Every word of a factor is a duplicate.
+"""Removal of passages that an earlier document already holds, by grouping the hashes of word windows.
+
+This is not a relative Lempel-Ziv parsing: there is no reference text, no
+index of one, no longest match and no factor boundary. A phrase is `width`
+consecutive words. All phrases of the corpus are dealt by hash into blocks of
+bounded size; a block knows, for each of its phrases, the smallest doc_id that
+holds it, and reports the positions of the others. Every word of a phrase that
+an earlier document holds is a duplicate; overlapping and adjoining phrases of
+a document are merged into one span, which the code calls a factor. Grouping
+was taken instead of a parse because greedy factors against one document break
+where a passage crosses from one earlier document into another, and phrases
+there would be missed; here each position's own phrase is looked up.
 
 Blocks get each phrase once from each run of about `RUN_PHRASES` phrases, from
 the smallest doc_id in it, so a phrase that a third of all documents hold
@@ -141,7 +142,7 @@ def _held(texts_in: DataFrame, width: int, n_blocks: int) -> DataFrame:
 
 
 def factors(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, mark (hash of the text), starts and ends (packed int32 word numbers): every document's duplicate factors."""
+    """doc_id, mark (hash of the text), starts and ends (packed int32 word numbers): every document's merged duplicate spans."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     held = _held(rows, width, max(1, -(-n_bytes // BLOCK_BYTES)))
