@@ -40,6 +40,12 @@ def test_against_plain_forward_pass(spark):
     assert len(rows) == len(cases.texts())
 
 
+def test_long_words_against_plain_forward_pass():
+    scores = token_counts.rank_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    words = ["a" * 150, "international" * 20, "x1y2é" * 40, "你好" * 60, "international" * 20 + "ly", "\U0001f600" * 100]
+    assert dict(token_counts.TrieCounter(scores).counts(words)) == {w: _plain(w, scores) for w in words}
+
+
 def test_prefixes_are_shared():
     counter = token_counts.TrieCounter({token_counts.MARK: -1.0, "ab": -1.0, "a": -2.0, "b": -2.0, "c": -2.0})
     assert dict(counter.counts(["abc", "abb", "ab"])) == {"ab": 2, "abb": 3, "abc": 3}
