@@ -175,21 +175,62 @@ def _fillings(left: np.ndarray, rest: int, most_waste: int, reach: list[int], st
             frames.append([largest[min(x, room)], room, one, many])
 
 
+def _quick_fillings(left: np.ndarray, rest: int, most: int) -> list[tuple[int, list[int]]]:
+    """Some fillings of rest from the multiset left (counts by length), by waste: (waste, lengths).
+
+    For each first length only the largest second one that fits is taken; what
+    then remains is filled with the largest that fits.
+    """
+    sizes = np.flatnonzero(left[: rest + 1])
+    if not len(sizes):
+        return [(rest, [])]
+    largest = np.zeros(rest + 1, np.int64)
+    largest[sizes] = sizes
+    largest = np.maximum.accumulate(largest)
+    second = largest[np.minimum(sizes, rest - sizes)]
+    same = (second == sizes) & (left[sizes] < 2)
+    second[same] = largest[np.maximum(np.minimum(sizes[same] - 1, rest - sizes[same]), 0)]
+    waste = rest - sizes - second
+    # A pair is dominated by one that is no smaller in both lengths.
+    best_so_far = np.maximum.accumulate(np.concatenate([[-1], second[::-1][:-1]]))[::-1]
+    order = np.flatnonzero(second > best_so_far)
+    order = order[np.argsort(waste[order], kind="stable")][: 4 * most]
+    found = []
+    for i in order.tolist():
+        filling, room = [int(sizes[i])], int(rest - sizes[i])
+        used = {filling[0]: 1}
+        x = int(second[i])
+        while x:
+            filling.append(x)
+            used[x] = used.get(x, 0) + 1
+            room -= x
+            x = int(largest[min(x, room)])
+            while x and used.get(x, 0) >= left[x]:
+                x = int(largest[x - 1])
+        found.append((room, filling))
+    return sorted(found, key=lambda f: (f[0], len(f[1])))[:most]
+
+
 def bin_completion(lengths: np.ndarray, capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Sequences (lists of lengths) of the best packing found."""
-    incumbent = best_fit(lengths, capacity)
+    """Sequences (lists of lengths) of the best packing found: a quick search improves best fit, then the search over all undominated fillings goes on from there."""
+    return _search(lengths, capacity, nodes, _search(lengths, capacity, nodes, best_fit(lengths, capacity), True), False)
+
+
+def _search(lengths: np.ndarray, capacity: int, nodes: int, incumbent: list[list[int]], quick: bool) -> list[list[int]]:
     total = int(lengths.sum())
     least = max(-(-total // capacity), int((lengths * 2 > capacity).sum()))
     left = np.bincount(lengths, minlength=capacity + 1)
     budget = nodes + len(incumbent)
     steps = [STEPS * budget]
-    reach = _reachable(lengths, capacity) if len(incumbent) > least else []
+    reach = _reachable(lengths, capacity) if len(incumbent) > least and not quick else []
 
     def fillings(most_waste: int) -> Iterator[tuple[int, list[int]]]:
         top = int(np.flatnonzero(left)[-1])
         left[top] -= 1
         rest = left.copy()
         left[top] += 1
+        if quick:
+            return iter([(w, [top, *f]) for w, f in _quick_fillings(rest, capacity - top, 8)])
         return ((w, [top, *f]) for w, f in _fillings(rest, capacity - top, most_waste, reach, steps))
 
     while len(incumbent) > least and budget > 0:
