@@ -1,30 +1,42 @@
-"""Removal of passages that an earlier document already holds, by grouping the hashes of word windows.
-
-This is not a relative Lempel-Ziv parsing: there is no reference text, no
-index of one, no longest match and no factor boundary. A phrase is `width`
-consecutive words. All phrases of the corpus are dealt by hash into blocks of
-bounded size; a block knows, for each of its phrases, the smallest doc_id that
-holds it, and reports the positions of the others. Every word of a phrase that
-an earlier document holds is a duplicate; overlapping and adjoining phrases of
-a document are merged into one span, which the code calls a factor. Grouping
-was taken instead of a parse because greedy factors against one document break
-where a passage crosses from one earlier document into another, and phrases
-there would be missed; here each position's own phrase is looked up.
-
-Blocks get each phrase once from each run of about `RUN_PHRASES` phrases, from
-the smallest doc_id in it, so a phrase that a third of all documents hold
-costs a block no more than others.
+"""Removal of passages that an earlier document already holds, by parsing documents against indexed reference blocks.
+
+The parse is that of relative Lempel-Ziv: a document is read from left to
+right, and where the reference holds the next `width` words in an earlier
+document, the factor is extended greedily, word by word, as long as both texts
+agree. The parse goes on with the last window that crosses the factor's end,
+so a window that lies in one earlier document on its left and in another on its
+right is looked up by itself. Factors of at least `width` words are the
+duplicate spans; whatever they leave has no window that an earlier document
+holds.
+
+The reference is the corpus itself. Its texts are cut into segments, and every
+segment goes to one block by its anchor: the first word triple of the rarest
+kind (by its corpus count) with the smallest hash among the triples of a
+window. Equal windows have equal anchors, so a window's only block holds every
+other window of the same words, and a document meets the blocks that hold its
+own anchors instead of all of them: the work is linear in the text. Segments
+overlap by `width - 1` words; an anchor stands for about six windows, so a word
+travels three times, as a number into its record's word list.
+
+Words are compared as words everywhere. Hashes only choose blocks and propose
+equal windows; a window that shares a hash but not its words is told apart.
+
+Hot text costs a block no more than other text: equal segments of one run of
+about RUN_WORDS words are sent once, from their smallest doc_id, and a passage's
+own triples, which are frequent, stand for windows inside the passage only, as
+a window that crosses its edge has rarer ones.
 
 Defined results: null text has no words; documents of fewer than `width` words
 lose nothing; rows with the same doc_id don't take words from each other; null
-doc_ids come after all others; an empty table gives an empty result. Columns
-other than doc_id and text are ignored.
+doc_ids come after all others (2**63 - 1 counts as one of them); an empty table
+gives an empty result. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,137 +44,329 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterbook.llm import text as texts
+from meterbook.llm.frequent import Weights, most_frequent
 from meterbook.llm.workspace import stored
 
 WIDTH = 13
-RUN_PHRASES = 1 << 22
-#: Bytes of text for each reference block, about two million phrases.
-BLOCK_BYTES = 12 << 20
+#: Words of an anchor.
+ANCHOR = 3
+#: Words that a task deals at once; a longer document is dealt alone.
+RUN_WORDS = 1 << 21
+#: Bytes of text for each reference block.
+BLOCK_BYTES = 8 << 20
+#: Most frequent anchors whose counts are used for the order (16 bytes each in every task).
+FREQUENT = 1 << 20
 #: Factors are broadcast up to this size and joined by shuffle beyond.
 BROADCAST_BYTES = 32 << 20
 _LAST = np.iinfo(np.int64).max
 
 
-def _pack(owner: np.ndarray, mark: np.ndarray, at: np.ndarray, codes: np.ndarray | None) -> bytes:
-    """Phrases sorted by (owner, mark, at), as runs of one document with gaps between positions in byte planes."""
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (mark[1:] != mark[:-1])
-    first = np.flatnonzero(new)
-    gaps = at.astype(np.int32)
-    gaps[1:] -= np.where(new[1:], 0, at[:-1]).astype(np.int32)
-    counts = np.diff(np.append(first, len(owner))).astype(np.int32)
-    planes = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-    head = np.array([len(first), len(owner)], np.int64).tobytes()
-    return head + planes(owner[first]) + mark[first].tobytes() + planes(counts) + planes(gaps) + (codes.tobytes() if codes is not None else b"")
-
-
-def _unpack(body: bytes, with_codes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    n_docs, n = np.frombuffer(body, np.int64, 2).tolist()
-    at = 16
-
-    def planes(kind: type, count: int) -> np.ndarray:
-        nonlocal at
-        width = np.dtype(kind).itemsize
-        x = np.frombuffer(body, np.uint8, width * count, at).reshape(width, count)
-        at += width * count
-        return np.ascontiguousarray(x.T).view(kind).reshape(count)
-
-    owner = planes(np.int64, n_docs)
-    mark = np.frombuffer(body, np.int64, n_docs, at)
-    at += 8 * n_docs
-    counts, gaps = planes(np.int32, n_docs), planes(np.int32, n)
-    total = np.cumsum(gaps, dtype=np.int64)
-    first = np.cumsum(counts) - counts
-    base = total[first] - gaps[first] if n_docs else total[:0]
-    codes = np.frombuffer(body, np.uint64, n, at) if with_codes else None
-    return np.repeat(owner, counts), np.repeat(mark, counts), (total - np.repeat(base, counts)).astype(np.int32), codes
-
-
-def _held(texts_in: DataFrame, width: int, n_blocks: int) -> DataFrame:
-    """doc_id, mark, at (packed positions): phrases that a smaller doc_id holds."""
+def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of each `width` entries in a row."""
+    size = 1
+    while 2 * size <= width:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    rest = width - size
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, ...]] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            codes, owner, mark, at = (np.concatenate(x) for x in zip(*kept, strict=True))
+@dataclass
+class Segments:
+    """Runs of windows with one anchor: word numbers of the first word, length in words, document's number, anchor's hash."""
+
+    first: np.ndarray
+    length: np.ndarray
+    document: np.ndarray
+    anchor: np.ndarray
+
+
+def _grams(words: texts.Words, size: int) -> np.ndarray:
+    """The hash of the words from each word on, `size` of them, across documents too."""
+    n = len(words.codes) - size + 1
+    h = np.zeros(max(0, n), np.uint64)
+    for k in range(size if n > 0 else 0):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words.codes[k : k + n]
+    return texts.mix(h)
+
+
+def segments_of(words: texts.Words, width: int, weights: Weights) -> Segments:
+    size = min(ANCHOR, width)
+    n = len(words.codes) - width + 1
+    if n <= 0:
+        none = np.zeros(0, np.int64)
+        return Segments(none, none, none, none.astype(np.uint64))
+    grams = _grams(words, size)
+    # Rarest kind first, then the smallest hash, then the leftmost place.
+    bits = np.uint64(int(len(grams)).bit_length())
+    kind = np.minimum(31, np.ceil(np.log2(1 + weights.of(grams)))).astype(np.uint64)
+    rank = kind << np.uint64(59) | (grams >> np.uint64(5) >> bits) << bits | np.arange(len(grams), dtype=np.uint64)
+    place = (_sliding_least(rank, width - size + 1)[:n] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    document = words.document()
+    at = np.flatnonzero(document[:n] == document[width - 1 :])
+    place = place[at]
+    edges = np.flatnonzero(np.diff(place, prepend=-1))
+    last = np.append(edges[1:], len(at)) - 1
+    first = at[edges]
+    return Segments(first, at[last] + width - first, document[first], grams[place[edges]])
+
+
+def _anchor_weights(documents: DataFrame, width: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word triples that occur most often: a run of RUN_WORDS words reports those that it holds more than once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(kept), return_counts=True)
             kept.clear()
-            # By code and owner: the first of a code stands for it, the others of larger documents are held.
-            order = np.lexsort((owner, codes))
-            codes, owner, mark, at = codes[order], owner[order], mark[order], at[order]
-            new = np.ones(len(codes), bool)
-            new[1:] = codes[1:] != codes[:-1]
-            least = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
-            held = owner > least
-            # Equal phrases of the smallest document itself all go on, as they may be held elsewhere.
-            block = (codes % np.uint64(n_blocks)).astype(np.int64)
-            block[held] = n_blocks + owner[held] % n_blocks
-            order = np.lexsort((at, mark, owner, block))
-            codes, owner, mark, at, block = codes[order], owner[order], mark[order], at[order], block[order]
-            edges = np.flatnonzero(np.diff(block, prepend=-1))
-            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(block)], strict=True):
-                body = _pack(owner[a:b], mark[a:b], at[a:b], codes[a:b] if block[a] < n_blocks else None)
-                yield pa.record_batch([pa.array([int(block[a])]), pa.array([body], pa.binary())], ["block", "body"])
-
-        n = 0
+            return pa.record_batch([pa.array(texts.signed(values[counts > 1])), pa.array(counts[counts > 1])], ["value", "n"])
+
         for batch in batches:
             for part in texts.chunks(batch):
-                codes, first, document = (words := texts.words_of(part.column("text"))).windows(width)
-                if len(codes):
-                    ids = part.column("doc_id").fill_null(int(_LAST)).to_numpy()
-                    kept.append((codes, ids[document], part.column("mark").to_numpy()[document], (first - words.first[document]).astype(np.int32)))
-                    n += len(codes)
-                if n >= RUN_PHRASES:
-                    yield from flush()
-                    n = 0
+                words = texts.words_of(part.column("text"))
+                grams = _grams(words, min(ANCHOR, width))
+                kept.append(grams[words.document()[: len(grams)] == words.document()[len(words.codes) - len(grams) :]])
+                if sum(map(len, kept)) >= RUN_WORDS:
+                    yield flush()
         if kept:
-            yield from flush()
-
-    def look_up(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        own = key[0].as_py() < n_blocks
-        owner, mark, at, codes = zip(*[_unpack(b.as_py(), own) for b in rows.column("body")], strict=True)
-        owner, mark, at = np.concatenate(owner), np.concatenate(mark), np.concatenate(at)
-        if own:
-            codes = np.concatenate(codes)
-            order = np.argsort(codes)
-            edges = np.flatnonzero(np.diff(codes[order], prepend=codes[order[:1]] + np.uint64(1)))
-            least = np.minimum.reduceat(owner[order], edges)
-            held = np.empty(len(codes), bool)
-            held[order] = owner[order] > np.repeat(least, np.diff(np.append(edges, len(codes))))
-            owner, mark, at = owner[held], mark[held], at[held]
-        order = np.lexsort((at, mark, owner))
-        owner, mark, at = owner[order], mark[order], at[order]
-        new = np.ones(len(owner), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (mark[1:] != mark[:-1])
-        first = np.flatnonzero(new)
-        bodies = [at[a:b].tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=False)]
-        return pa.table([pa.array(owner[first]), pa.array(mark[first]), pa.array(bodies, pa.binary())], names=["doc_id", "mark", "at"])
+            yield flush()
+
+    return most_frequent(documents.select("text").mapInArrow(count, "value long, n long"), 64, limit)
+
+
+def _flat(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for `length[0]` numbers, then the same from first[1], and so on."""
+    start = np.cumsum(length) - length
+    return np.arange(int(length.sum())) + np.repeat(first - start, length)
+
+
+def _equal(ids: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the words from a on equal those from b on, `length` of each."""
+    same = np.ones(len(a), bool)
+    for k in range(int(length.max(initial=0))):
+        at = np.flatnonzero(same & (length > k))
+        same[at] = ids[a[at] + k] == ids[b[at] + k]
+    return same
+
+
+def _leaders(codes: np.ndarray, equal) -> np.ndarray:
+    """For each place the first place that equals it; codes propose, equal(places, others) decides."""
+    leader = np.arange(len(codes))
+    order = np.argsort(codes, kind="stable")
+    group = np.cumsum(np.diff(codes[order], prepend=codes[order[:1]] ^ np.uint64(1)) != 0)
+    while len(order):
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        head = order[first][np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))]
+        others = head != order
+        order, head, group = order[others], head[others], group[others]
+        same = equal(order, head)
+        leader[order[same]] = head[same]
+        # Places that only share a code are grouped among themselves.
+        order, group = order[~same], group[~same]
+    return leader
+
+
+def _substring_codes(codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    up, down = texts.power_tables(len(codes) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)], dtype=np.uint64)])
+    return texts.mix((total[first + length] - total[first]) * down[first] + length.astype(np.uint64))
+
 
-    return texts_in.mapInArrow(deal, "block long, body binary").groupBy("block").applyInArrow(look_up, "doc_id long, mark long, at binary")
+def merged(owner: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of each document that overlap or touch as one, by document and place."""
+    if not len(owner):
+        return owner, mark, start, end
+    order = np.lexsort((start, mark, owner))
+    owner, mark, start, end = owner[order], mark[order], start[order].astype(np.int64), end[order].astype(np.int64)
+    other = np.ones(len(owner), bool)
+    other[1:] = (owner[1:] != owner[:-1]) | (mark[1:] != mark[:-1])
+    base = np.cumsum(other) * (int(end.max()) + 2)
+    reach = np.maximum.accumulate(end + base)
+    new = np.ones(len(owner), bool)
+    new[1:] = start[1:] + base[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(owner)) - 1
+    return owner[first], mark[first], start[first].astype(np.int32), (reach[last] - base[last]).astype(np.int32)
+
+
+def _buckets(owner: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> tuple[list[int], list[bytes]]:
+    """Merged spans packed by bucket of their document."""
+    owner, mark, start, end = merged(owner, mark, start, end)
+    bucket = (texts.mix(owner.view(np.uint64) ^ texts.mix(mark.view(np.uint64))) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+    parts = [order[a:b] for a, b in zip(edges, [*edges[1:], len(order)], strict=False)]
+    return [int(bucket[p[0]]) for p in parts], [b"".join(x[p].tobytes() for x in (owner, mark, start, end)) for p in parts]
+
+
+def _unbucket(bodies: list[bytes]) -> tuple[np.ndarray, ...]:
+    columns: tuple[list, ...] = ([], [], [], [])
+    for body in bodies:
+        n, at = len(body) // 24, 0
+        for column, kind in zip(columns, (np.int64, np.int64, np.int32, np.int32), strict=True):
+            column.append(np.frombuffer(body, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return tuple(np.concatenate(c) for c in columns)
+
+
+_RECORD = "block long, owner binary, mark binary, at binary, length binary, ids binary, words binary, ends binary"
+
+
+def _record(block: int, owner: np.ndarray, mark: np.ndarray, at: np.ndarray, length: np.ndarray, ids: np.ndarray, dictionary: pa.Array) -> list:
+    """Segments with their words as numbers into the words that they use."""
+    if len(ids) * 16 > len(dictionary):
+        used = np.zeros(len(dictionary), bool)
+        used[ids] = True
+        ids, used = (np.cumsum(used) - 1)[ids], np.flatnonzero(used)
+    else:
+        used, ids = np.unique(ids, return_inverse=True)
+    own = dictionary.take(pa.array(used))
+    ends = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1]
+    body = own.buffers()[2].to_pybytes()[ends[0] : ends[-1]] if len(own) else b""
+    kind = np.uint16 if len(used) <= 1 << 16 else np.int32
+    return [block, owner.tobytes(), mark.tobytes(), at.astype(np.int32).tobytes(), length.astype(np.int32).tobytes(), ids.astype(kind).tobytes(), body, (ends[1:] - ends[0]).astype(np.int32).tobytes()]
+
+
+def _batch(rows: list[list]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 8)]], ["block", "owner", "mark", "at", "length", "ids", "words", "ends"])
+
+
+class _Run:
+    """The words and segments of about RUN_WORDS words of documents."""
+
+    def __init__(self, width: int, weights: Weights):
+        self.width, self.weights, self.n = width, weights, 0
+        self.parts: list[tuple] = []
+
+    def add(self, part: pa.RecordBatch) -> None:
+        words = texts.words_of(part.column("text"))
+        found = segments_of(words, self.width, self.weights)
+        body = words.data[~texts.SPACE[words.data]]
+        ends = np.concatenate([[0], np.cumsum(words.end - words.start)])
+        listed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.codes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body.tobytes())])
+        owner = part.column("doc_id").fill_null(int(_LAST)).to_numpy()[found.document]
+        mark = part.column("mark").to_numpy()[found.document]
+        self.parts.append((listed, words.codes, found.first + self.n, found.length, found.first - words.first[found.document], owner, mark, found.anchor))
+        self.n += len(words.codes)
+
+    def dealt(self, n_blocks: int) -> Iterator[pa.RecordBatch]:
+        coded = pa.concat_arrays([p[0] for p in self.parts]).dictionary_encode()
+        ids, dictionary = coded.indices.to_numpy(), coded.dictionary
+        codes, first, length, at, owner, mark, anchor = (np.concatenate([p[i] for p in self.parts]) for i in range(1, 8))
+        self.parts.clear()
+        self.n = 0
+        order = np.argsort(owner, kind="stable")
+        first, length, at, owner, mark, anchor = (x[order] for x in (first, length, at, owner, mark, anchor))
+        # A segment whose words an earlier document of the run holds as a segment is a factor already.
+        leader = _leaders(_substring_codes(codes, first, length), lambda a, b: (length[a] == length[b]) & _equal(ids, first[a], first[b], np.minimum(length[a], length[b])))
+        held = owner[leader] < owner
+        rows = [[n_blocks + b, body, *[b""] * 6] for b, body in zip(*_buckets(owner[held], mark[held], at[held], (at + length)[held], n_blocks), strict=True)]
+        first, length, at, owner, mark, anchor = (x[~held] for x in (first, length, at, owner, mark, anchor))
+        block = (texts.mix(anchor) % np.uint64(n_blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        edges = np.flatnonzero(np.diff(block[order], prepend=-1)).tolist()
+        for a, b in zip(edges, [*edges[1:], len(order)], strict=False):
+            s = order[a:b]
+            rows.append(_record(int(block[s[0]]), owner[s], mark[s], at[s], length[s], ids[_flat(first[s], length[s])], dictionary))
+        if rows:
+            yield _batch(rows)
+
+
+def parsed(ids: np.ndarray, length: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, start, end) of the factors of at least `width` words, for the segments of a block in order of their owners.
+
+    The block's text is that of all segments one after the other; its index
+    tells for each window the first place that holds the same words.
+    """
+    first = np.cumsum(length) - length
+    count = np.maximum(0, length - width + 1)
+    window = _flat(first, count)
+    segment = np.repeat(np.arange(len(length)), count)
+    n = max(0, len(ids) - width + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(width):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n].astype(np.uint64)
+    index = _leaders(texts.mix(h)[window], lambda a, b: _equal(ids, window[a], window[b], np.full(len(a), width)))
+    held = owner[segment[index]] < owner[segment]
+    # The next held window from each window on.
+    following = np.minimum.accumulate(np.where(held, np.arange(len(held)), len(held))[::-1])[::-1]
+    following = np.append(following, len(held))
+    stop = np.cumsum(count)
+    found: list[tuple[np.ndarray, ...]] = []
+    at, of = following[stop - count], np.arange(len(length))
+    while True:
+        going = at < stop[of]
+        at, of = at[going], of[going]
+        if not len(at):
+            break
+        own, other = window[at], window[index[at]]
+        room = np.minimum(first[of] + length[of] - own, (first + length)[segment[index[at]]] - other)
+        size = np.full(len(at), width)
+        growing = np.flatnonzero(size < room)
+        while len(growing):
+            growing = growing[ids[own[growing] + size[growing]] == ids[other[growing] + size[growing]]]
+            size[growing] += 1
+            growing = growing[size[growing] < room[growing]]
+        found.append((of, own - first[of], own - first[of] + size))
+        at = following[np.minimum(at + size - width + 1, len(held))]
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none)
+
+
+def _block_factors(table: pa.Table, width: int, n_buckets: int) -> pa.Table:
+    """Parses the segments of one block: packed factors by bucket of their document."""
+    listed, ids, base = [], [], 0
+    columns = {c: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)]) for c, kind in (("owner", np.int64), ("mark", np.int64), ("at", np.int32), ("length", np.int32))}
+    for body, words, ends in zip(table.column("ids"), table.column("words"), table.column("ends"), strict=True):
+        ends = np.concatenate([[0], np.frombuffer(ends.as_py(), np.int32)]).astype(np.int64)
+        listed.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(words.as_py())]))
+        ids.append(np.frombuffer(body.as_py(), np.uint16 if len(ends) - 1 <= 1 << 16 else np.int32).astype(np.int64) + base)
+        base += len(ends) - 1
+    number = pa.concat_arrays(listed).dictionary_encode().indices.to_numpy()
+    ids = number[np.concatenate(ids)]
+    length = columns["length"].astype(np.int64)
+    order = np.argsort(columns["owner"], kind="stable")
+    ids = ids[_flat((np.cumsum(length) - length)[order], length[order])]
+    owner, mark, at = (columns[c][order] for c in ("owner", "mark", "at"))
+    segment, start, end = parsed(ids, length[order], owner, width)
+    buckets, bodies = _buckets(owner[segment], mark[segment], at[segment] + start, at[segment] + end, n_buckets)
+    return pa.table([pa.array(buckets, pa.int64()), pa.array(bodies, pa.binary())], names=["bucket", "body"])
 
 
 def factors(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, mark (hash of the text), starts and ends (packed int32 word numbers): every document's merged duplicate spans."""
+    """doc_id, mark (hash of the text), starts and ends (packed int32 word numbers): every document's merged factors; doc_id is 2**63 - 1 where it is null."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    held = _held(rows, width, max(1, -(-n_bytes // BLOCK_BYTES)))
+    n_blocks = max(1, -(-n_bytes // BLOCK_BYTES))
+    shared = documents.sparkSession.sparkContext.broadcast(_anchor_weights(rows, width, FREQUENT))
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = _Run(width, Weights(*shared.value))
         for batch in batches:
-            starts, ends = [], []
-            for bodies in batch.column("at"):
-                at = np.unique(np.frombuffer(b"".join(bodies.as_py()), np.int32))
-                new = np.ones(len(at), bool)
-                new[1:] = at[1:] > at[:-1] + width
-                first = np.flatnonzero(new)
-                starts.append(at[first].tobytes())
-                ends.append((at[np.append(first[1:], len(at)) - 1] + np.int32(width)).tobytes())
-            ids = np.where(batch.column("doc_id").to_numpy() == _LAST, 0, batch.column("doc_id").to_numpy())
-            ids = pa.array(ids, mask=batch.column("doc_id").to_numpy() == _LAST)
-            yield pa.record_batch([ids, batch.column("mark"), pa.array(starts, pa.binary()), pa.array(ends, pa.binary())], ["doc_id", "mark", "starts", "ends"])
-
-    gathered = held.groupBy("doc_id", "mark").agg(F.collect_list("at").alias("at"))
-    return gathered.mapInArrow(parse, "doc_id long, mark long, starts binary, ends binary")
+            for part in texts.chunks(batch):
+                run.add(part)
+                if run.n >= RUN_WORDS:
+                    yield from run.dealt(n_blocks)
+        if run.n:
+            yield from run.dealt(n_blocks)
+
+    def parse(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        if block < n_blocks:
+            return _block_factors(table, width, n_blocks)
+        return pa.table([pa.array([block - n_blocks] * table.num_rows, pa.int64()), table.column("owner")], names=["bucket", "body"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        owner, mark, start, end = merged(*_unbucket(table.column("body").to_pylist()))
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (mark[1:] != mark[:-1])
+        first = np.flatnonzero(new)
+        cut = [(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(owner)], strict=False)]
+        return pa.table([pa.array(owner[first]), pa.array(mark[first]), pa.array([start[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([end[a:b].tobytes() for a, b in cut], pa.binary())], names=["doc_id", "mark", "starts", "ends"])
+
+    found = rows.mapInArrow(deal, _RECORD).groupBy("block").applyInArrow(parse, "bucket long, body binary")
+    return found.groupBy("bucket").applyInArrow(gather, "doc_id long, mark long, starts binary, ends binary")
 
 
 def without_duplicates(documents: DataFrame, width: int = WIDTH, with_text: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -172,7 +376,7 @@ def without_duplicates(documents: DataFrame, width: int = WIDTH, with_text: bool
     marked = found.select(F.col("doc_id").alias("f_id"), F.col("mark").alias("f_mark"), "starts", "ends")
     marked = F.broadcast(marked) if size <= broadcast_bytes else marked.hint("merge")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    rows = rows.join(marked, (F.col("mark") == F.col("f_mark")) & F.col("doc_id").eqNullSafe(F.col("f_id")), "left").select("doc_id", "text", "starts", "ends")
+    rows = rows.join(marked, (F.col("mark") == F.col("f_mark")) & (F.coalesce("doc_id", F.lit(int(_LAST))) == F.col("f_id")), "left").select("doc_id", "text", "starts", "ends")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

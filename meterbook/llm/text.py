@@ -18,8 +18,9 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: The bytes between words.
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Every ASCII byte that is neither a letter nor a digit.
 NOT_ALPHANUMERIC = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _FOLD = np.arange(256)
@@ -39,7 +40,8 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash's base and of its inverse."""
     if not _powers or len(_powers[0]) < n:
         size = 1 << max(20, int(n - 1).bit_length())
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -82,7 +84,7 @@ class Words:
         return mix(h[at]), at, document[at]
 
 
-def words_of(texts: pa.Array, fold_case: bool = False, separators: np.ndarray = _SPACE) -> Words:
+def words_of(texts: pa.Array, fold_case: bool = False, separators: np.ndarray = SPACE) -> Words:
     """Words of each text; null counts as empty. fold_case lower-cases A-Z; separators marks the bytes between words."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if texts.offset:
@@ -99,7 +101,7 @@ def words_of(texts: pa.Array, fold_case: bool = False, separators: np.ndarray =
     edge[bounds] = True
     start = np.flatnonzero(ink & (~before | edge))
     end = np.flatnonzero(before & (~ink | edge))
-    up, down = _power_tables(len(data) + 1)
+    up, down = power_tables(len(data) + 1)
     table = _BYTE[_FOLD] if fold_case else _BYTE
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(table[data] * up[:-1], out=total[1:], dtype=np.uint64)
