@@ -51,9 +51,9 @@ WIDTH = 13
 #: Words of an anchor.
 ANCHOR = 3
 #: Words that a task deals at once; a longer document is dealt alone.
-RUN_WORDS = 1 << 21
+RUN_WORDS = 3 << 20
 #: Bytes of text for each reference block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: Most frequent anchors whose counts are used for the order (16 bytes each in every task).
 FREQUENT = 1 << 20
 #: Factors are broadcast up to this size and joined by shuffle beyond.
@@ -210,26 +210,53 @@ def _unbucket(bodies: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in columns)
 
 
-_RECORD = "block long, owner binary, mark binary, at binary, length binary, ids binary, words binary, ends binary"
+#: The arrays of a record: owners' differences, marks, places, lengths, word numbers, bytes of each listed word, and all of these bytes.
+_KINDS = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.uint8)
 
 
-def _record(block: int, owner: np.ndarray, mark: np.ndarray, at: np.ndarray, length: np.ndarray, ids: np.ndarray, dictionary: pa.Array) -> list:
-    """Segments with their words as numbers into the words that they use."""
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Compressed byte planes of arrays of the kinds of a record."""
+    planes = [np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes() for x, kind in zip(arrays, _KINDS, strict=True)]
+    body = b"".join([np.array([len(x) for x in arrays], np.int64).tobytes(), *planes])
+    return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> list[np.ndarray]:
+    body = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+    at, found = 8 * len(_KINDS), []
+    for n, kind in zip(np.frombuffer(body, np.int64, len(_KINDS)).tolist(), _KINDS, strict=True):
+        size = np.dtype(kind).itemsize
+        found.append(np.ascontiguousarray(np.frombuffer(body, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n))
+        at += n * size
+    return found
+
+
+def _record(owner: np.ndarray, mark: np.ndarray, at: np.ndarray, length: np.ndarray, ids: np.ndarray, dictionary: pa.Array) -> bytes:
+    """Segments with their words as numbers into the words that they use, frequent ones first."""
     if len(ids) * 16 > len(dictionary):
-        used = np.zeros(len(dictionary), bool)
-        used[ids] = True
-        ids, used = (np.cumsum(used) - 1)[ids], np.flatnonzero(used)
+        counts = np.bincount(ids, minlength=len(dictionary))
+        used = np.flatnonzero(counts)
+        counts, place = counts[used], ids
+        number = np.empty(len(dictionary), np.int32)
     else:
-        used, ids = np.unique(ids, return_inverse=True)
-    own = dictionary.take(pa.array(used))
-    ends = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1]
-    body = own.buffers()[2].to_pybytes()[ends[0] : ends[-1]] if len(own) else b""
-    kind = np.uint16 if len(used) <= 1 << 16 else np.int32
-    return [block, owner.tobytes(), mark.tobytes(), at.astype(np.int32).tobytes(), length.astype(np.int32).tobytes(), ids.astype(kind).tobytes(), body, (ends[1:] - ends[0]).astype(np.int32).tobytes()]
+        used, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        number = np.empty(len(used), np.int32)
+    order = np.argsort(-counts, kind="stable")
+    number[used[order] if place is ids else order] = np.arange(len(used), dtype=np.int32)
+    own = dictionary.take(pa.array(used[order]))
+    ends = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1]
+    words = np.frombuffer(own.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return _pack(np.diff(owner, prepend=0), mark, at, length, number[place], np.diff(ends), words)
+
 
+def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["block", "body"])
 
-def _batch(rows: list[list]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 8)]], ["block", "owner", "mark", "at", "length", "ids", "words", "ends"])
+
+def _binaries(lengths: np.ndarray, body: np.ndarray) -> pa.Array:
+    ends = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=ends[1:])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))])
 
 
 class _Run:
@@ -243,8 +270,7 @@ class _Run:
         words = texts.words_of(part.column("text"))
         found = segments_of(words, self.width, self.weights)
         body = words.data[~texts.SPACE[words.data]]
-        ends = np.concatenate([[0], np.cumsum(words.end - words.start)])
-        listed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.codes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body.tobytes())])
+        listed = _binaries(words.end - words.start, body)
         owner = part.column("doc_id").fill_null(int(_LAST)).to_numpy()[found.document]
         mark = part.column("mark").to_numpy()[found.document]
         self.parts.append((listed, words.codes, found.first + self.n, found.length, found.first - words.first[found.document], owner, mark, found.anchor))
@@ -260,17 +286,18 @@ class _Run:
         first, length, at, owner, mark, anchor = (x[order] for x in (first, length, at, owner, mark, anchor))
         # A segment whose words an earlier document of the run holds as a segment is a factor already.
         leader = _leaders(_substring_codes(codes, first, length), lambda a, b: (length[a] == length[b]) & _equal(ids, first[a], first[b], np.minimum(length[a], length[b])))
+        del codes
         held = owner[leader] < owner
-        rows = [[n_blocks + b, body, *[b""] * 6] for b, body in zip(*_buckets(owner[held], mark[held], at[held], (at + length)[held], n_blocks), strict=True)]
+        rows = [(n_blocks + b, body) for b, body in zip(*_buckets(owner[held], mark[held], at[held], (at + length)[held], n_blocks), strict=True)]
+        if rows:
+            yield _batch(rows)
         first, length, at, owner, mark, anchor = (x[~held] for x in (first, length, at, owner, mark, anchor))
         block = (texts.mix(anchor) % np.uint64(n_blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         edges = np.flatnonzero(np.diff(block[order], prepend=-1)).tolist()
         for a, b in zip(edges, [*edges[1:], len(order)], strict=False):
             s = order[a:b]
-            rows.append(_record(int(block[s[0]]), owner[s], mark[s], at[s], length[s], ids[_flat(first[s], length[s])], dictionary))
-        if rows:
-            yield _batch(rows)
+            yield _batch([(int(block[s[0]]), _record(owner[s], mark[s], at[s], length[s], ids[_flat(first[s], length[s])], dictionary))])
 
 
 def parsed(ids: np.ndarray, length: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,19 +343,19 @@ def parsed(ids: np.ndarray, length: np.ndarray, owner: np.ndarray, width: int) -
 
 def _block_factors(table: pa.Table, width: int, n_buckets: int) -> pa.Table:
     """Parses the segments of one block: packed factors by bucket of their document."""
-    listed, ids, base = [], [], 0
-    columns = {c: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)]) for c, kind in (("owner", np.int64), ("mark", np.int64), ("at", np.int32), ("length", np.int32))}
-    for body, words, ends in zip(table.column("ids"), table.column("words"), table.column("ends"), strict=True):
-        ends = np.concatenate([[0], np.frombuffer(ends.as_py(), np.int32)]).astype(np.int64)
-        listed.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(words.as_py())]))
-        ids.append(np.frombuffer(body.as_py(), np.uint16 if len(ends) - 1 <= 1 << 16 else np.int32).astype(np.int64) + base)
-        base += len(ends) - 1
-    number = pa.concat_arrays(listed).dictionary_encode().indices.to_numpy()
-    ids = number[np.concatenate(ids)]
-    length = columns["length"].astype(np.int64)
-    order = np.argsort(columns["owner"], kind="stable")
+    listed, ids, columns, base = [], [], [], 0
+    for body in table.column("body"):
+        owner, mark, at, length, own, sizes, words = _unpack(body.as_py())
+        columns.append((np.cumsum(owner), mark, at, length))
+        listed.append(_binaries(sizes, words))
+        ids.append(own + np.int32(base))
+        base += len(sizes)
+    ids = pa.concat_arrays(listed).dictionary_encode().indices.to_numpy()[np.concatenate(ids)]
+    owner, mark, at, length = (np.concatenate(x) for x in zip(*columns, strict=True))
+    length = length.astype(np.int64)
+    order = np.argsort(owner, kind="stable")
     ids = ids[_flat((np.cumsum(length) - length)[order], length[order])]
-    owner, mark, at = (columns[c][order] for c in ("owner", "mark", "at"))
+    owner, mark, at = owner[order], mark[order], at[order]
     segment, start, end = parsed(ids, length[order], owner, width)
     buckets, bodies = _buckets(owner[segment], mark[segment], at[segment] + start, at[segment] + end, n_buckets)
     return pa.table([pa.array(buckets, pa.int64()), pa.array(bodies, pa.binary())], names=["bucket", "body"])
@@ -355,7 +382,7 @@ def factors(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         block = key[0].as_py()
         if block < n_blocks:
             return _block_factors(table, width, n_blocks)
-        return pa.table([pa.array([block - n_blocks] * table.num_rows, pa.int64()), table.column("owner")], names=["bucket", "body"])
+        return pa.table([pa.array([block - n_blocks] * table.num_rows, pa.int64()), table.column("body")], names=["bucket", "body"])
 
     def gather(table: pa.Table) -> pa.Table:
         owner, mark, start, end = merged(*_unbucket(table.column("body").to_pylist()))
@@ -365,7 +392,7 @@ def factors(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         cut = [(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(owner)], strict=False)]
         return pa.table([pa.array(owner[first]), pa.array(mark[first]), pa.array([start[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([end[a:b].tobytes() for a, b in cut], pa.binary())], names=["doc_id", "mark", "starts", "ends"])
 
-    found = rows.mapInArrow(deal, _RECORD).groupBy("block").applyInArrow(parse, "bucket long, body binary")
+    found = rows.mapInArrow(deal, "block long, body binary").groupBy("block").applyInArrow(parse, "bucket long, body binary")
     return found.groupBy("bucket").applyInArrow(gather, "doc_id long, mark long, starts binary, ends binary")
 
 
