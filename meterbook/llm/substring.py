@@ -51,9 +51,9 @@ WIDTH = 13
 #: Words of an anchor.
 ANCHOR = 3
 #: Words that a task deals at once; a longer document is dealt alone.
-RUN_WORDS = 3 << 20
+RUN_WORDS = 2 << 20
 #: Bytes of text for each reference block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 10 << 20
 #: Most frequent anchors whose counts are used for the order (16 bytes each in every task).
 FREQUENT = 1 << 20
 #: Factors are broadcast up to this size and joined by shuffle beyond.
