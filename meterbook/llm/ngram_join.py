@@ -13,12 +13,17 @@ form a class, and everything below works on classes.
    comparing all their pairs.
 3. Matrix. What is left are leading shingles shared by classes of different
    components. Similar classes are put into groups of bounded size, the
-   columns of the token-group matrix: a cell holds the union of its group's
-   shingles, the overlap of a query with the union bounds the overlap with each
-   member, and only groups that reach the bound are opened. Pairs inside one
-   component need no comparison, as only components are asked for.
-
-Every pair of classes that could link is either compared exactly or already in
+   columns of the token-group matrix. Of every class a fixed part of its
+   shingles is stored as a compact set of 32-bit numbers; a group's cell is the
+   union of these. What a query's compact set lacks in the union, it lacks in
+   every member, which bounds the overlaps; the same is then asked of the single
+   members. Only groups and members that pass are opened, that is, get their
+   whole sets from the texts. Leaders are asked in the same way, as groups of
+   one. Pairs inside one component need no comparison, as only components are
+   asked for.
+
+The bound is exact: shingles outside the fixed part, and different ones with
+one number, count as shared. Every pair of classes that could link is either compared exactly or already in
 one component, so the components are those of all links.
 
 Shingles are 64-bit hashes; classes are 64-bit sums of mixed hashes.
@@ -42,7 +47,8 @@ from pyspark.sql import functions as F
 
 from meterbook.llm import text as texts
 from meterbook.llm.components import components
-from meterbook.llm.workspace import release, stored
+from meterbook.llm.frequent import most_frequent
+from meterbook.llm.workspace import Scratch, scratch, stored
 
 #: Most frequent shingles whose frequency is used for the order (16 bytes each in every task).
 FREQUENT = 1 << 20
@@ -67,6 +73,15 @@ class Similarity:
         """ceil(part / whole * n): the overlap that a set of n shingles needs."""
         return -(-n * self.part // self.whole)
 
+    def link(self, overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.whole * overlap >= self.part * (a + b - overlap)
+
+    @property
+    def compact_bits(self) -> int:
+        """A compact set takes one shingle in 2**bits: twice the share that two similar sets of one size may lack of each other."""
+        lack = 2 * (self.whole - self.part) / (self.whole + self.part)
+        return max(0, int(np.floor(-np.log2(lack)))) if lack > 0 else 6
+
 
 @dataclass
 class Sets:
@@ -88,6 +103,15 @@ class Sets:
         keys = texts.mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.sizes.astype(np.uint64))
         return np.where(self.sizes > 0, np.maximum(keys, np.uint64(1)), np.uint64(0))
 
+    def compact(self, bits: int) -> list[bytes]:
+        """Of each set, the distinct upper halves of the shingles whose lowest bits are 0, in ascending order."""
+        chosen = np.flatnonzero(self.codes & np.uint64((1 << bits) - 1) == 0)
+        codes, owner = (self.codes[chosen] >> np.uint64(32)).astype(np.uint32), self.owner()[chosen]
+        new = np.ones(len(codes), bool)
+        new[1:] = (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])
+        codes, first = codes[new], np.searchsorted(owner[new], np.arange(len(self.first))).tolist()
+        return [codes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+
 
 def sets_of(column: pa.Array, width: int) -> Sets:
     words = texts.words_of(column, fold_case=True)
@@ -125,9 +149,9 @@ def _features(rows: DataFrame, like: Similarity) -> DataFrame:
         for batch in batches:
             for part in texts.chunks(batch):
                 sets = sets_of(part.column("text"), like.width)
-                yield pa.record_batch([part.column("doc_id"), part.column("mark"), pa.array(sets.sizes), pa.array(texts.signed(sets.keys()))], ["doc_id", "mark", "n_shingles", "key"])
+                yield pa.record_batch([part.column("doc_id"), part.column("mark"), pa.array(sets.sizes), pa.array(texts.signed(sets.keys())), pa.array(sets.compact(like.compact_bits), pa.binary())], ["doc_id", "mark", "n_shingles", "key", "compact"])
 
-    return rows.mapInArrow(features, "doc_id long, mark long, n_shingles long, key long")
+    return rows.mapInArrow(features, "doc_id long, mark long, n_shingles long, key long, compact binary")
 
 
 def _frequent(rows: DataFrame, like: Similarity, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,21 +168,9 @@ def _frequent(rows: DataFrame, like: Similarity, limit: int) -> tuple[np.ndarray
                 values, counts = np.unique(sets.codes[once], return_counts=True)
                 taken = (counts > 1) | np.isin(values, sets.codes[once & (rank < head[owner])], assume_unique=False)
                 values, counts = values[taken], counts[taken]
-                yield pa.record_batch([pa.array(texts.signed(values)), pa.array(counts)], ["shingle", "n"])
-
-    counts = rows.select("text").mapInArrow(heads, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 8")
-    counts = stored(counts, "frequent")
-    cut, total = 1 << 62, 0
-    for n, shingles in sorted(((r[0], r[1]) for r in counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.min("n"), F.count(F.lit(1))).select("min(n)", "count(1)").collect()), reverse=True):
-        total += shingles
-        if total > limit:
-            break
-        cut = n
-    chosen = counts.where(F.col("n") >= cut).toArrow()
-    values, weights = chosen.column("shingle").to_numpy().view(np.uint64), chosen.column("n").to_numpy()
-    order = np.argsort(values)
-    release(counts)
-    return values[order], weights[order]
+                yield pa.record_batch([pa.array(texts.signed(values)), pa.array(counts)], ["value", "n"])
+
+    return most_frequent(rows.select("text").mapInArrow(heads, "value long, n long"), 8, limit)
 
 
 def _leading(rows: DataFrame, like: Similarity, limit: int) -> DataFrame:
@@ -187,36 +199,77 @@ def _leading(rows: DataFrame, like: Similarity, limit: int) -> DataFrame:
     return rows.select("text").mapInArrow(leading, "shingle long, key long, n int, common int")
 
 
-def compare_cell(keys: np.ndarray, query: np.ndarray, part: np.ndarray, sets: list[np.ndarray], like: Similarity) -> list[tuple[int, int]]:
-    """(query's key, member's key): for each query of a cell, one link to each part in which it has any; parts are known to be connected.
+def _matrix(members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The union of sets in ascending order, and a row for each of its entries with a column for each set."""
+    union, at = np.unique(np.concatenate(members), return_inverse=True)
+    matrix = np.zeros((len(union), len(members)), bool)
+    matrix[at, np.repeat(np.arange(len(members)), [len(s) for s in members])] = True
+    return union, matrix
 
-    The matrix has a row for each shingle of the group's union and a column for each member.
-    """
+
+def _hits(union: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The rows of the union that a set holds."""
+    if not len(union):
+        return np.zeros(0, np.int64)
+    place = np.minimum(np.searchsorted(union, own), len(union) - 1)
+    return place[union[place] == own]
+
+
+def open_cell(query: np.ndarray, part: np.ndarray, sizes: np.ndarray, compact: list[np.ndarray], like: Similarity) -> np.ndarray:
+    """Whether each query and each member of a cell may have a link to one of another part, by their compact sets."""
+    members = np.flatnonzero(~query)
+    may = np.zeros(len(query), bool)
+    if not len(members) or not query.any():
+        return may
+    union, matrix = _matrix([compact[i] for i in members])
+    held = np.array([len(compact[i]) for i in members])
+    for q in np.flatnonzero(query).tolist():
+        own, n = compact[q], int(sizes[q])
+        hits = _hits(union, own)
+        if n - (len(own) - len(hits)) < like.least(sizes[q : q + 1])[0]:
+            continue  # what the query lacks in the union, it lacks in every member
+        shared = matrix[hits].sum(axis=0, dtype=np.int64)
+        overlap = np.minimum(n - len(own) + shared, sizes[members] - held + shared)
+        passed = members[like.link(overlap, n, sizes[members]) & (part[members] != part[q])]
+        may[passed] = True
+        may[q] = len(passed) > 0
+    return may
+
+
+def compare_cell(keys: np.ndarray, query: np.ndarray, part: np.ndarray, sets: list[np.ndarray], like: Similarity) -> list[tuple[int, int]]:
+    """(query's key, member's key): for each query of a cell, one link to each part in which it has any; parts are known to be connected."""
     members = np.flatnonzero(~query)
     if not len(members) or not query.any():
         return []
     sizes = np.array([len(s) for s in sets])
-    union, at = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
-    matrix = np.zeros((len(union), len(members)), bool)
-    matrix[at, np.repeat(np.arange(len(members)), sizes[members])] = True
+    union, matrix = _matrix([sets[i] for i in members])
     links = []
     for q in np.flatnonzero(query).tolist():
-        own = sets[q]
-        place = np.minimum(np.searchsorted(union, own), len(union) - 1)
-        hits = place[union[place] == own]
+        hits = _hits(union, sets[q])
         if len(hits) < like.least(sizes[q : q + 1])[0]:
-            continue  # the bound: no member can hold more of the query than the union does
+            continue
         overlap = matrix[hits].sum(axis=0, dtype=np.int64)
-        linked = members[(like.whole * overlap >= like.part * (sizes[q] + sizes[members] - overlap)) & (part[members] != part[q])]
+        linked = members[like.link(overlap, sizes[q], sizes[members]) & (part[members] != part[q])]
         linked = linked[np.unique(part[linked], return_index=True)[1]]
         links += [(int(keys[q]), k) for k in keys[linked].tolist()]
     return links
 
 
-def _verified(rows: DataFrame, classes: DataFrame, cells: DataFrame, like: Similarity, broadcast_bytes: int) -> DataFrame:
-    """Links (a, b) found in cells (cell, key, part, query); the sets are computed from one document of each class."""
-    wanted = stored(cells.groupBy("key").agg(F.first("part").alias("part"), F.collect_set(F.struct("cell", "query")).alias("cells")).join(classes.select("key", "doc_id", "mark"), "key"), "cells")
-    size = wanted.agg(F.sum(56 + 12 * F.size("cells"))).first()[0] or 0
+def _opened(classes: DataFrame, cells: DataFrame, like: Similarity) -> DataFrame:
+    """The rows of cells (cell, key, part, query) that their compact sets don't rule out."""
+
+    def opened(table: pa.Table) -> pa.Table:
+        compact = [np.frombuffer(b.as_py(), np.uint32) for b in table.column("compact")]
+        may = open_cell(table.column("query").to_numpy(), table.column("part").to_numpy(), table.column("n").to_numpy(), compact, like)
+        return table.select(["cell", "key", "part", "query"]).filter(pa.array(may))
+
+    return cells.join(classes.select("key", "n", "compact"), "key").groupBy("cell").applyInArrow(opened, "cell long, key long, part long, query boolean")
+
+
+def _verified(rows: DataFrame, classes: DataFrame, cells: DataFrame, like: Similarity, broadcast_bytes: int, own: Scratch) -> DataFrame:
+    """Links (a, b) found in cells (cell, key, part, query); whole sets are computed from one document of each class that is still in question."""
+    wanted = own.stored(_opened(classes, cells, like).groupBy("key").agg(F.first("part").alias("part"), F.collect_set(F.struct("cell", "query")).alias("cells")).join(classes.select("key", "doc_id", "mark"), "key"), "cells")
+    size = wanted.agg(F.sum(96 + 40 * F.size("cells"))).first()[0] or 0
     chosen = wanted.select(F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark"), "key", "part", "cells")
     chosen = F.broadcast(chosen) if size <= broadcast_bytes else chosen.hint("merge")
     picked = rows.join(chosen, (F.col("mark") == F.col("w_mark")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("key", "part", "cells.cell", "cells.query", "text")
@@ -234,7 +287,7 @@ def _verified(rows: DataFrame, classes: DataFrame, cells: DataFrame, like: Simil
         links = compare_cell(table.column("key").to_numpy(), table.column("query").to_numpy(), table.column("part").to_numpy(), sets, like)
         return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
 
-    return stored(picked.mapInArrow(ship, "cell long, query boolean, key long, part long, body binary").groupBy("cell").applyInArrow(compare, "a long, b long"), "links")
+    return own.stored(picked.mapInArrow(ship, "cell long, query boolean, key long, part long, body binary").groupBy("cell").applyInArrow(compare, "a long, b long"), "links")
 
 
 def _sizes_fit(like: Similarity, a: Column, b: Column) -> Column:
@@ -253,63 +306,77 @@ def ngram_components(documents: DataFrame, like: Similarity = Similarity(), freq
     component_id is the smallest doc_id of each.
     """
     rows = _rows(documents)
-    features = stored(_features(rows, like), "features")
-    classes = features.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("one"), F.first("n_shingles").alias("n"))
-    classes = stored(classes.select("key", "n", "one.doc_id", "one.mark"), "classes")
-
-    leading = stored(_leading(rows, like, frequent), "leading")
-    held = stored(leading.groupBy("shingle").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("shingle"), "held")
-    lists = stored(leading.join(held, "shingle").distinct(), "lists")
-    release(leading)
-
-    spark = documents.sparkSession
+    with scratch() as own:
+        features = own.stored(_features(rows, like), "features")
+        named = own.stored(_named_classes(rows, features, like, frequent, rounds, broadcast_bytes, own), "named")
+        some = features.where("n_shingles > 0").join(named, "key").select("doc_id", "mark", "n_shingles", "component", "component_id")
+        none = features.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+        return stored(some.unionByName(none), "components")
+
+
+def _named_classes(rows: DataFrame, features: DataFrame, like: Similarity, frequent: int, rounds: int, broadcast_bytes: int, own: Scratch) -> DataFrame:
+    """key, component, component_id of every class."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    classes = features.where("n_shingles > 0").groupBy("key").agg(first.alias("one"), F.first("n_shingles").alias("n"), F.first("compact").alias("compact"))
+    classes = own.stored(classes.select("key", "n", "compact", "one.doc_id", "one.mark"), "classes")
+
+    leading = own.stored(_leading(rows, like, frequent), "leading")
+    held = own.stored(leading.groupBy("shingle").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("shingle"), "held")
+    lists = own.stored(leading.join(held, "shingle").distinct(), "lists")
+    own.release(leading)
+
+    spark = rows.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     found = spark.createDataFrame([], "node long, component long")
     for turn in range(rounds):
-        placed = stored(_with_component(lists, found), "placed")
+        placed = own.stored(_with_component(lists, found), "placed")
         # First the class whose shingles are the most common ones, as an original is among its copies; then one at random.
         order = F.struct(-F.col("common"), F.xxhash64("key")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "component", "key"))
-        leaders = stored(placed.groupBy("shingle").agg(F.min(F.struct(order.alias("h"), "component", "key", "n")).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle", F.col("l.key").alias("leader"), F.col("l.component").alias("at"), F.col("l.n").alias("leader_n")), "leaders")
+        leaders = own.stored(placed.groupBy("shingle").agg(F.min(F.struct(order.alias("h"), "component", "key", "n")).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle", F.col("l.key").alias("leader"), F.col("l.component").alias("at"), F.col("l.n").alias("leader_n")), "leaders")
         pairs = placed.join(leaders, "shingle").where("component <> at").where(_sizes_fit(like, F.col("n"), F.col("leader_n"))).groupBy("key", "leader").agg(F.count(F.lit(1)).alias("shared"))
-        pairs = stored(pairs.groupBy("key").agg(F.max(F.struct("shared", "leader")).alias("best")).select("key", F.col("best.leader").alias("leader")), "pairs")
-        release(placed)
-        release(leaders)
+        pairs = own.stored(pairs.groupBy("key").agg(F.max(F.struct("shared", "leader")).alias("best")).select("key", F.col("best.leader").alias("leader")), "pairs")
+        own.release(placed)
+        own.release(leaders)
         slices = pairs.groupBy("leader").agg(F.expr(f"(count(1) + {CELL_QUERIES - 1}) div {CELL_QUERIES}").alias("slices"))
-        slices = stored(slices, "slices")
+        slices = own.stored(slices, "slices")
         asked = pairs.join(slices, "leader").select(F.xxhash64("leader", F.pmod(F.xxhash64("key"), "slices")).alias("cell"), "key", F.col("key").alias("part"), F.lit(True).alias("query"))
         given = slices.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("s"), "leader").select(F.xxhash64("leader", "s").alias("cell"), F.col("leader").alias("key"), F.col("leader").alias("part"), F.lit(False).alias("query"))
-        links = links.unionByName(_verified(rows, classes, asked.unionByName(given), like, broadcast_bytes))
+        links = links.unionByName(_verified(rows, classes, asked.unionByName(given), like, broadcast_bytes, own))
         found = components(links)
+        own.tables.append(found)
 
-    cells = _matrix_cells(stored(_with_component(lists, found), "placed"), like)
-    found = components(links.unionByName(_verified(rows, classes, cells, like, broadcast_bytes)))
+    placed = own.stored(_with_component(lists, found), "placed")
+    found = components(links.unionByName(_verified(rows, classes, _matrix_cells(placed, like, own), like, broadcast_bytes, own)))
+    own.tables.append(found)
 
-    named = _with_component(classes, found)
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = stored(named.join(stored(least, "least"), "component").select("key", "component", "component_id"), "named")
-    some = features.where("n_shingles > 0").join(named, "key").select("doc_id", "mark", "n_shingles", "component", "component_id")
-    return some.unionByName(features.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
+    named = own.stored(_with_component(classes.select("key", "doc_id"), found), "named")
+    least = own.stored(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    return named.join(least, "component").select("key", "component", "component_id")
 
 
 def one_of_each(documents: DataFrame, like: Similarity = Similarity(), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:  # noqa: B008
     """documents with one row of each component, with all its columns: that of the smallest doc_id (null last).
 
-    Texts without words all stay.
+    Of rows with that doc_id and text, the one whose columns come first as JSON
+    stays. Texts without words all stay.
     """
-    members = stored(ngram_components(documents, like, broadcast_bytes=broadcast_bytes).where("component is not null").groupBy("component", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows")), "members")
-    first = stored(members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")).select("component", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark")), "first")
-    judged = members.join(first, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark")))
-    judged = stored(judged.where("not stays or rows > 1").select(F.col("doc_id").alias("j_id"), F.col("mark").alias("j_mark"), "stays"), "judged")
-    small = 17 * judged.count() <= broadcast_bytes
+    with scratch() as own:
+        found = ngram_components(documents, like, broadcast_bytes=broadcast_bytes)
+        own.tables.append(found)
+        members = own.stored(found.where("component is not null").groupBy("component", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows")), "members")
+        first = own.stored(members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")).select("component", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark")), "first")
+        judged = members.join(first, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark")))
+        judged = stored(judged.where("not stays or rows > 1").select(F.col("doc_id").alias("j_id"), F.col("mark").alias("j_mark"), "stays"), "judged")
+    small = 40 * judged.count() <= broadcast_bytes
     judged = F.broadcast(judged) if small else judged.hint("merge")
     columns = [F.col(f"`{c}`") for c in documents.columns]
     rows = documents.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("m"))
     rows = rows.join(judged, (F.col("m") == F.col("j_mark")) & F.col("i").eqNullSafe(F.col("j_id")), "left")
-    again = rows.where("stays").groupBy("i", "m").agg(F.first("row").alias("row"))
+    again = rows.where("stays").groupBy("i", "m").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return rows.where("stays is null").select("row.*").unionByName(again.select("row.*"))
 
 
-def _matrix_cells(placed: DataFrame, like: Similarity) -> DataFrame:
+def _matrix_cells(placed: DataFrame, like: Similarity, own: Scratch) -> DataFrame:
     """(cell, key, part, query) for all pairs of a class and a group that holds another component and shares a leading shingle with it.
 
     Large components are cut into groups; other classes are grouped with those
@@ -317,23 +384,23 @@ def _matrix_cells(placed: DataFrame, like: Similarity) -> DataFrame:
     count as one list, so that near copies don't meet once for each shingle.
     """
     across = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("key").alias("first"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    across = stored(across.select("shingle", "size", F.when(F.col("size") >= GROUP_CLASSES, F.xxhash64(F.lit("list"), "first")).otherwise(F.col("shingle")).alias("list")), "across")
+    across = own.stored(across.select("shingle", "size", F.when(F.col("size") >= GROUP_CLASSES, F.xxhash64(F.lit("list"), "first")).otherwise(F.col("shingle")).alias("list")), "across")
     lists = placed.join(across, "shingle").groupBy("list", "key", "component", "n").agg(F.max("size").alias("size"))
-    lists = stored(lists.withColumn("weight", F.greatest(F.lit(1.0), F.col("n") / GROUP_SHINGLES)), "lists")
+    lists = own.stored(lists.withColumn("weight", F.greatest(F.lit(1.0), F.col("n") / GROUP_SHINGLES)), "lists")
     members = lists.groupBy("key", "component", "weight").agg(F.max(F.struct("size", "list"))["list"].alias("longest"))
-    large = stored(placed.select("component", "key").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") >= GROUP_CLASSES), "large")
+    large = own.stored(placed.select("component", "key").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") >= GROUP_CLASSES), "large")
     members = members.join(large, "component", "left").withColumn("family", F.when(F.col("classes").isNull(), F.xxhash64(F.lit("list"), "longest")).otherwise(F.xxhash64(F.lit("component"), "component")))
-    members = stored(members.select("key", "component", "weight", "family"), "members")
-    families = stored(members.groupBy("family").agg(F.ceil(F.sum("weight") / GROUP_CLASSES).alias("slices")), "families")
+    members = own.stored(members.select("key", "component", "weight", "family"), "members")
+    families = own.stored(members.groupBy("family").agg(F.ceil(F.sum("weight") / GROUP_CLASSES).alias("slices")), "families")
     grouped = members.join(families, "family").select("key", "component", "weight", F.xxhash64("family", F.pmod(F.xxhash64("key"), "slices")).alias("group"))
-    grouped = stored(grouped, "grouped")
+    grouped = own.stored(grouped, "grouped")
     placed_groups = lists.join(grouped.select("key", "group"), "key")
-    groups = stored(placed_groups.groupBy("list", "group").agg(F.min("component").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi")), "groups")
+    groups = own.stored(placed_groups.groupBy("list", "group").agg(F.min("component").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi")), "groups")
     # Of two components the greater one asks; sizes must allow the similarity.
     fits = (F.lit(like.whole) * F.col("hi").cast("long") >= F.lit(like.part) * F.col("n").cast("long")) & (F.lit(like.whole) * F.col("n").cast("long") >= F.lit(like.part) * F.col("lo").cast("long"))
     asked = lists.join(groups, "list").where((F.col("component") > F.col("c")) & fits).select("key", F.col("component").alias("part"), "weight", "group").distinct()
-    asked = stored(asked, "asked")
-    slices = stored(asked.groupBy("group").agg(F.ceil(F.sum("weight") / CELL_QUERIES).alias("slices")), "slices")
+    asked = own.stored(asked, "asked")
+    slices = own.stored(asked.groupBy("group").agg(F.ceil(F.sum("weight") / CELL_QUERIES).alias("slices")), "slices")
     queries = asked.join(slices, "group").select(F.xxhash64("group", F.pmod(F.xxhash64("key"), "slices")).alias("cell"), "key", "part", F.lit(True).alias("query"))
     opened = grouped.join(slices, "group").select("key", F.col("component").alias("part"), "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("s"))
     return queries.unionByName(opened.select(F.xxhash64("group", "s").alias("cell"), "key", "part", F.lit(False).alias("query")))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="meterbook-"))
@@ -40,3 +43,29 @@ def release(df: DataFrame) -> None:
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Stored tables that are released together."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(stored(df, name))
+        return self.tables[-1]
+
+    def release(self, df: DataFrame) -> None:
+        release(df)
+        self.tables = [t for t in self.tables if t is not df]
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Tables stored through it are deleted at the end, also after a failure. What leaves the block must not read them."""
+    own = Scratch()
+    try:
+        yield own
+    finally:
+        for table in own.tables:
+            release(table)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_cases as cases
 import numpy as np
+import pyarrow as pa
 import pytest
 from meterbook.llm import ngram_join
 from meterbook.llm.components import components
@@ -101,3 +102,30 @@ def test_long_chain(spark):
 def test_empty(spark):
     assert ngram_join.ngram_components(cases.empty(spark)).count() == 0
     assert ngram_join.one_of_each(cases.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("like", [Similarity(3, 90, 100), Similarity(5, 80, 100), Similarity(3, 1, 2)])
+def test_compact_sets_rule_out_no_link(like):
+    """Every link of the whole sets passes the bound, and unrelated sets don't."""
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(rng.choice([4, 40, 400]))] for _ in range(8)]
+    rows = []
+    for w in base:
+        for _ in range(6):
+            x = list(w)
+            for _ in range(rng.randrange(1 + len(x) // 12)):
+                x[rng.randrange(len(x))] = "new"
+            rows.append(" ".join(x))
+    sets = ngram_join.sets_of(pa.array(rows), like.width)
+    whole = [sets.codes[a:b] for a, b in zip(sets.first[:-1], sets.first[1:], strict=True)]
+    compact = [np.frombuffer(b, np.uint32) for b in sets.compact(like.compact_bits)]
+    query = np.array([i % 2 == 0 for i in range(len(rows))])
+    part = keys = np.arange(len(rows))
+    may = ngram_join.open_cell(query, part, sets.sizes, compact, like)
+    links = ngram_join.compare_cell(keys, query, part, whole, like)
+    assert len(links) > 10
+    assert all(may[a] and may[b] for a, b in links)
+    for q in np.flatnonzero(query & (sets.sizes > 100)):
+        others = [i for i in range(len(rows)) if i // 6 != q // 6 and not query[i]]
+        alone = ngram_join.open_cell(np.array([True] + [False] * len(others)), np.arange(1 + len(others)), sets.sizes[[q, *others]], [compact[i] for i in (q, *others)], like)
+        assert not alone.any()
