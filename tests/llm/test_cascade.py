@@ -40,14 +40,24 @@ def test_filter_keeps_rows_whole(spark):
 
 
 def test_order_is_rejection_per_cost(spark):
-    sample = spark.range(1000).select(F.col("id").alias("doc_id"))
-    slow = F.exists(F.sequence(F.lit(1), F.lit(20000)), lambda x: F.xxhash64(x, F.col("doc_id")) == 1) | (F.col("doc_id") < 500)
-    rules = [cascade.Rule("never", F.col("doc_id") < 0), cascade.Rule("slow", slow), cascade.Rule("half", F.col("doc_id") < 500)]
+    sample = spark.range(1000).select(F.col("id").cast("string").alias("text"))
+    number = F.col("text").cast("int")
+    slow = F.exists(F.sequence(F.lit(1), F.lit(20000)), lambda x: F.xxhash64(x, F.col("text")) == 1) | (number < 500)
+    rules = [cascade.Rule("never", lambda m: number < 0), cascade.Rule("slow", lambda m: slow), cascade.Rule("half", lambda m: number < 500)]
     order = cascade.measured_order(sample, rules)
     assert [r.name for r, _, _ in order] == ["half", "slow", "never"]
     assert [round(s, 3) for _, _, s in order] == [0.5, 0.5, 0.0]
 
 
+def test_rejected_texts_skip_later_rules(spark):
+    """A measure that fails is never computed for texts that an earlier rule rejects."""
+    docs = spark.createDataFrame([(1, "bad text"), (2, None)], "doc_id long, text string")
+    failing = cascade.Rule("failing", lambda m: F.raise_error(m["text"]).cast("boolean"))
+    verdict = cascade.cascade(docs, [failing])
+    both = lambda m: F.when(m["n_words"] < 50, "short").otherwise(verdict(m))
+    assert [r.v for r in docs.select(cascade._over_text(both).alias("v")).collect()] == ["short", "short"]
+
+
 def test_verdict_in_any_order(spark):
     docs = cases.documents(spark)
     rules = cascade.default_rules()
