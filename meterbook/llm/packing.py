@@ -10,6 +10,11 @@ left when its waste shows that it can't beat the incumbent. Fillings of any
 number of pieces are enumerated, as they are asked for. The first incumbent
 is the best-fit decreasing packing; the search ends at the lower bound on the
 number of sequences or at its budget (NODES, STEPS) and returns the incumbent.
+The column proved tells whether a piece's group has met the lower bound, so
+that no packing of the group takes fewer sequences.
+
+Added tokens of the vocabulary (such as `<|endoftext|>`) in a text become their
+own id, as `tokenizers` has it with add_special_tokens=False.
 
 Defined results: null text counts as empty; an empty text is the end token
 alone; repeated rows and null doc_ids are packed row by row; an empty table
@@ -32,7 +37,6 @@ from meterbook.llm.workspace import stored
 #: The pre-tokenization pattern of byte-level BPE vocabularies of this family (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Pieces that one task packs together.
 GROUP_PIECES = 4096
 #: Search nodes for each group, besides one descent.
@@ -44,7 +48,7 @@ _encoders: dict[int, object] = {}
 
 
 def byte_level_encoder(vocabulary: bytes):
-    """An encoder of ordinary text for a byte-level BPE vocabulary file in the JSON format of `tokenizers`."""
+    """An encoder for a byte-level BPE vocabulary file in the JSON format of `tokenizers`. Added tokens must be plain ones, which match as they stand."""
     import tiktoken
 
     key = zlib.crc32(vocabulary)
@@ -53,10 +57,13 @@ def byte_level_encoder(vocabulary: bytes):
         hidden = [b for b in range(256) if b not in set(shown)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
         spec = json.loads(vocabulary)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that match by their surroundings are not supported")
+        special = {t["content"]: t["id"] for t in added}
         ranks = {bytes(byte_of[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
-        _encoders[key] = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[key].encode_ordinary
+        _encoders[key] = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: _encoders[key].encode(text, allowed_special="all")
 
 
 def document_pieces(documents: DataFrame, vocabulary_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -211,6 +218,22 @@ def _quick_fillings(left: np.ndarray, rest: int, most: int) -> list[tuple[int, l
     return sorted(found, key=lambda f: (f[0], len(f[1])))[:most]
 
 
+def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    """No packing takes fewer sequences: for each least length k, pieces over capacity - k stand alone, those over half apart, and the others of k and more fill what is left."""
+    if not len(lengths):
+        return 0
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    number = np.concatenate([[0], np.cumsum(counts)])
+    total = np.concatenate([[0], np.cumsum(counts * np.arange(capacity + 1))])
+    k = np.arange(1, capacity // 2 + 1)
+    half = capacity // 2 + 1
+    alone = number[-1] - number[capacity - k + 1]
+    large, filled = number[capacity - k + 1] - number[half], total[capacity - k + 1] - total[half]
+    rest = total[half] - total[k] - (large * capacity - filled)
+    bounds = alone + large + np.maximum(0, -(-rest // capacity))
+    return max(-(-int(total[-1]) // capacity), int(bounds.max(initial=0)))
+
+
 def bin_completion(lengths: np.ndarray, capacity: int, nodes: int = NODES) -> list[list[int]]:
     """Sequences (lists of lengths) of the best packing found: a quick search improves best fit, then the search over all undominated fillings goes on from there."""
     return _search(lengths, capacity, nodes, _search(lengths, capacity, nodes, best_fit(lengths, capacity), True), False)
@@ -218,7 +241,7 @@ def bin_completion(lengths: np.ndarray, capacity: int, nodes: int = NODES) -> li
 
 def _search(lengths: np.ndarray, capacity: int, nodes: int, incumbent: list[list[int]], quick: bool) -> list[list[int]]:
     total = int(lengths.sum())
-    least = max(-(-total // capacity), int((lengths * 2 > capacity).sum()))
+    least = lower_bound(lengths, capacity)
     left = np.bincount(lengths, minlength=capacity + 1)
     budget = nodes + len(incumbent)
     steps = [STEPS * budget]
@@ -271,10 +294,10 @@ def _search(lengths: np.ndarray, capacity: int, nodes: int, incumbent: list[list
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIECES, nodes: int = NODES) -> DataFrame:
-    """pieces with sequence_id and offset."""
+    """pieces with sequence_id, offset and proved."""
     pieces = stored(pieces, "pieces")
     full = pieces.where(F.col("length") >= capacity)
-    full = full.select("*", F.expr("shiftleft(1L, 62) + monotonically_increasing_id()").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = full.select("*", F.expr("shiftleft(1L, 62) + monotonically_increasing_id()").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("proved"))
     loose = pieces.where(F.col("length") < capacity)
     groups = max(1, -(-loose.count() // group_pieces))
     loose = loose.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
@@ -285,13 +308,15 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIEC
         for i, x in enumerate(lengths.tolist()):
             rows.setdefault(x, []).append(i)
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for number, contents in enumerate(bin_completion(lengths, capacity, nodes)):
+        found = bin_completion(lengths, capacity, nodes)
+        proved = pa.array(np.full(len(lengths), len(found) == lower_bound(lengths, capacity)))
+        for number, contents in enumerate(found):
             at = 0
             for x in contents:
                 i = rows[x].pop()
                 sequence[i], offset[i] = key[0].as_py() << 32 | number, at
                 at += x
-        return table.drop_columns(["group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        return table.drop_columns(["group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("proved", proved)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, proved boolean"
     return full.unionByName(loose.groupBy("group").applyInArrow(packed, schema))

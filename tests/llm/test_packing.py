@@ -15,12 +15,11 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def _ids(texts: list[str | None]) -> list[np.ndarray]:
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return [np.array([*e.ids, 0], "<u4") for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def test_ids_match_the_library(spark):
-    texts = [t for _, t, _ in cases.texts()] + ["<|endoftext|> it's  \n\n x\t y 你好 é don't ' 12ab\r\n"]
+    texts = [t for _, t, _ in cases.texts()] + ["a <|endoftext|> b<|endoftext|>", "<|endoftext|><|endoftext", "<|endoftext|> it's  \n\n x\t y 你好 é don't ' 12ab\r\n"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     found = {r.doc_id: [] for r in docs.collect()}
     for r in packing.document_pieces(docs, PATH, with_ids=True).orderBy("doc_id", "piece").collect():
@@ -49,6 +48,7 @@ def test_sequences(spark):
             assert offset == at
             at += length
         assert at <= 2048
+    assert {type(r.proved) for r in rows} == {bool}
     total = sum(r.length for r in rows)
     assert len(by_sequence) <= -(-total // 2048) + 4
 
@@ -119,5 +119,33 @@ def test_fillings_of_more_than_two_pieces():
     assert won == perfect == 30
 
 
+def _fewest(lengths: list[int], capacity: int) -> int:
+    """The least number of sequences, by trying every place of every piece."""
+    best = [len(lengths)]
+
+    def place(i: int, rooms: list[int]) -> None:
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= lengths[i]}.values():
+            place(i + 1, [r - lengths[i] * (j == k) for j, r in enumerate(rooms)])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_small_packings_are_optimal():
+    pieces = np.array([5, 4, 3, 3])
+    assert next(packing._fillings(np.bincount(pieces, minlength=11), 10, 10, packing._reachable(pieces, 10), [10**6])) == (0, [4, 3, 3])
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        lengths = np.sort(rng.integers(1, 60, 9))[::-1]
+        fewest = _fewest(lengths.tolist(), 100)
+        assert packing.lower_bound(lengths, 100) <= fewest == len(packing.bin_completion(lengths, 100))
+
+
 def test_empty(spark):
     assert packing.pack(packing.document_pieces(cases.empty(spark), PATH)).count() == 0

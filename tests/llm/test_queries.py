@@ -24,7 +24,7 @@ def test_every_operator_is_registered():
     ("op4_toxic_sentences", ["doc_id", "held_out", "score", "predicted"]),
     ("op6_personal_data", ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]),
     ("op8_nearest", ["query_id", "rank", "vec_id", "score"]),
-    ("op9_packing", ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]),
+    ("op9_packing", ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "proved"]),
 ])
 def test_columns(spark, name, columns):
     df = queries.QUERIES[name](spark, DATA)
