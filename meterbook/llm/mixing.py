@@ -9,6 +9,10 @@ one for every pass over the source, and joined with the blocks by index.
 Draws beyond a source's target are dropped and what a source still lacks is
 put into closing shards, so that every source meets its target to the word.
 
+Sums over the buckets of a source and over the shards are taken in chunks, so no
+task sees all of them. Only tables with one row a source, and the chunks' sums,
+pass through one task.
+
 Defined results: null text has no words; a null source is one source of its
 own, after all others; documents without words are never taken; repeated rows
 are documents of their own; null doc_id is a value like any other; an empty
@@ -23,11 +27,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterbook.llm.native import words
+from meterbook.llm.native import let, words
 from meterbook.llm.workspace import stored
 
-#: Documents in one bucket of a source's layout.
-BUCKET_ROWS = 4096
+#: Documents in one bucket of the layout, over all sources.
+BUCKET_ROWS = 512
+#: Rows that one task sums up in order.
+CHUNK_ROWS = 4096
+#: Slots that one task makes.
+TASK_SLOTS = 1 << 14
 _ROUNDS = 24
 
 
@@ -75,6 +83,15 @@ def _targets(sizes: DataFrame, weights: DataFrame, share: float, cap: float) ->
     return rows.select("source", "key", "weight", "source_size", target.alias("target"), F.round(target).cast("long").alias("take"))
 
 
+def _sums_before(rows: DataFrame, key: str, place: str, value: Column) -> DataFrame:
+    """rows with before: the sum of the value over rows of the same key at smaller places, which are distinct numbers from 0 on."""
+    rows = rows.withColumn("chunk", F.expr(f"{place} div {CHUNK_ROWS}"))
+    sums = rows.groupBy(key, "chunk").agg(F.sum(value).alias("sum"))
+    sums = sums.select(key, "chunk", (F.sum("sum").over(Window.partitionBy(key).orderBy("chunk")) - F.col("sum")).alias("base"))
+    inside = F.sum(value).over(Window.partitionBy(key, "chunk").orderBy(place)) - value
+    return rows.withColumn("inside", inside).join(sums, [key, "chunk"]).withColumn("before", F.col("base") + F.col("inside")).drop("chunk", "inside", "base")
+
+
 def permuted(index: Column, size: Column, *key: Column) -> Column:
     """A pseudorandom permutation of 0..size-1 by swap-or-not rounds: a bijection for every size and key."""
 
@@ -101,7 +118,7 @@ def mix_sources(documents: DataFrame, weights: DataFrame, share: float = 1.5, ca
     order = F.xxhash64(F.lit(seed), "doc_id", "mark", "size")
     placed = sizes.where("size > 0").withColumn("order", order).withColumn("bucket", F.pmod("order", F.lit(n_buckets)))
     span = F.col("size") * F.col("copies")
-    base = placed.groupBy("key", "bucket").agg(F.sum(span).alias("words")).select("key", "bucket", (F.sum("words").over(Window.partitionBy("key").orderBy("bucket")) - F.col("words")).alias("base"))
+    base = _sums_before(placed.groupBy("key", "bucket").agg(F.sum(span).alias("words")), "key", "bucket", F.col("words")).select("key", "bucket", F.col("before").alias("base"))
     inside = Window.partitionBy("key", "bucket").orderBy("order", "doc_id", "source", "mark", "size")
     laid = placed.withColumn("before", F.sum(span).over(inside) - span).join(base, ["key", "bucket"])
     laid = stored(laid.select("doc_id", "source", "key", "size", "mark", "copies", (F.col("base") + F.col("before")).alias("lo")), "layout")
@@ -135,16 +152,18 @@ def _slots(sources: DataFrame, block_words: int, shard_slots: int, seed: int) ->
     draws = spark.range(n).select(F.expr(f"id div {shard_slots}").alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "id"), F.lit(max(1, n))).alias("v")).withColumn("cell", F.expr(f"v div {cell}"))
     drawn = draws.join(ranges, "cell").where("v >= quota_lo and v < quota_lo + quota")
     counts = stored(drawn.groupBy("shard", "key").agg(F.count("*").alias("n")), "draws")
-    upto = F.sum("n").over(Window.partitionBy("key").orderBy("shard"))
-    counts = counts.withColumn("j_lo", upto - F.col("n")).withColumn("j_hi", upto)
-    runs = counts.select("shard", "key", "j_lo", "j_hi")
-    got = counts.groupBy("key").agg(F.max("j_hi").alias("got"))
+    runs = _sums_before(counts, "key", "shard", F.col("n")).select("shard", "key", F.col("before").alias("j_lo"), (F.col("before") + F.col("n")).alias("j_hi"))
+    got = counts.groupBy("key").agg(F.sum("n").alias("got"))
     closing = plan.join(got, "key", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("quota > got")
     lack = F.col("quota") - F.col("got")
     lack_lo = F.sum(lack).over(Window.orderBy("key")) - lack
     last = (n + shard_slots - 1) // shard_slots
-    closing = closing.select((F.lit(last) + (lack_lo / shard_slots).cast("long")).alias("shard"), "key", F.col("got").alias("j_lo"), F.col("quota").alias("j_hi"))
+    closing = closing.withColumn("lack_lo", lack_lo).withColumn("j_lo", F.explode(F.sequence("got", F.col("quota") - 1, F.lit(shard_slots).cast("long"))))
+    shard = F.lit(last) + ((F.col("lack_lo") + F.col("j_lo") - F.col("got")) / shard_slots).cast("long")
+    closing = closing.select(shard.alias("shard"), "key", "j_lo", F.least(F.col("j_lo") + shard_slots, "quota").alias("j_hi"))
     numbered = runs.unionByName(closing).join(plan, "key").withColumn("j_hi", F.least("j_hi", "quota")).where("j_hi > j_lo")
+    # Runs of at most shard_slots slots become rows of their own, so they are dealt out before.
+    numbered = numbered.repartition(max(1, -(-n // TASK_SLOTS)), "key", "j_lo")
     numbered = numbered.withColumn("j", F.explode(F.sequence("j_lo", F.col("j_hi") - 1))).withColumn("epoch", F.expr("j div blocks")).withColumn("i", F.expr("j % blocks"))
     # A source's short last block comes last in every pass.
     block = F.when(F.col("i") < F.col("whole"), permuted(F.col("i"), F.col("whole"), F.lit(seed), F.col("key"), F.col("epoch"))).otherwise(F.col("i"))
@@ -183,6 +202,6 @@ def mixed_documents(documents: DataFrame, mixture: Mixture) -> DataFrame:
         equal = equal.withColumn("lo", upto - F.col("n")).withColumn("number", F.explode(F.sequence("lo", F.col("lo") + F.col("n") - 1)))
         picked = picked.unionByName(equal.join(wanted.where("copies > 1"), own(equal) & (F.col("number") == F.col("copy"))).select("row", "ranges", "n_taken", "size"))
     tokens = F.regexp_extract_all(F.col("row.text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(tokens, (r["first"] + 1).cast("int"), r["n_words"].cast("int")))), "")
+    part = let(tokens, lambda w: F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(w, (r["first"] + 1).cast("int"), r["n_words"].cast("int")))), ""))
     text = F.when(F.col("n_taken") == F.col("size"), F.col("row.text")).otherwise(part)
     return picked.select(F.col("row").withField("text", text).alias("row")).select("row.*")
