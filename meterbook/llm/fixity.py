@@ -9,62 +9,90 @@ Otherwise only the children of mismatching nodes are compared, level by level,
 down to the records.
 
 Defined results: null html and url count as empty; a record is identified by
-its file and its number in offset order; records without page_id lie in file
--1; repeated rows are records of their own; a replica without records has no
-root, and all records of the other one are reported. Columns other than
+its file and its number in offset order; records without page_id are dealt by
+the digest of their URL to NAMELESS files below 0; repeated rows are records of
+their own; a replica without records has no root, and all records of the other
+one are reported, whichever side it is. Columns other than
 page_id, url and html are ignored.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterbook.llm.workspace import stored
+from meterbook.llm.workspace import Scratch, scratch, stored
 
 FANOUT = 16
 FILE_IDS = 1000
+#: Files for records without page_id.
+NAMELESS = 4096
+#: The date of records whose pages tell none.
+NO_DATE = "1970-01-01T00:00:00Z"
 
 
-def record(page_id: Column, url: Column, html: Column) -> Column:
+def record(page_id: Column, url: Column, html: Column, date: str = NO_DATE) -> Column:
     """A page as the text of a WARC resource record."""
     body = F.coalesce(html, F.lit(""))
     head = F.concat(
-        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
+        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
+def _file(file_ids: int) -> Column:
+    nameless = -1 - F.conv(F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 3), 16, 10).cast("long") % NAMELESS
+    return F.coalesce(F.floor(F.col("page_id") / file_ids).cast("long"), nameless).alias("file")
+
+
 def laid_out(pages: DataFrame, file_ids: int = FILE_IDS) -> DataFrame:
     """page_id, file, number, offset, length, digest (SHA-256) of every page's record; file_ids consecutive ids share a file."""
     whole = record(F.col("page_id"), F.col("url"), F.col("html"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.floor(F.col("page_id") / file_ids), F.lit(-1)).cast("long").alias("file"), F.octet_length(whole).cast("long").alias("length"), F.sha2(whole.cast("binary"), 256).alias("digest"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), _file(file_ids), F.octet_length(whole).cast("long").alias("length"), F.sha2(whole.cast("binary"), 256).alias("digest"))
     order = Window.partitionBy("file").orderBy("page_id", "digest")
     return rows.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("number"), (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "digest")
 
 
 def write_warc(pages: DataFrame, path: str, file_ids: int = FILE_IDS) -> None:
     """Uncompressed WARC files, one folder file=N for each, records in offset order."""
-    rows = pages.select(F.coalesce(F.floor(F.col("page_id") / file_ids), F.lit(-1)).cast("long").alias("file"), "page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("value"))
+    rows = pages.select(_file(file_ids), "page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("value"))
     rows = rows.repartition("file").sortWithinPartitions("file", "page_id", F.sha2(F.col("value").cast("binary"), 256))
     # A record's last line feed is what Spark's writer puts after each row.
     rows.select("file", F.substring("value", F.lit(1), F.length("value") - 1).alias("value")).write.partitionBy("file").text(path)
 
 
+def _record_starts(table: pa.Table) -> pa.Table:
+    """Follows a file's records from one to the next: a piece starts a record where the record before it ends by its declared length, or where none is declared."""
+    table = table.sort_by("piece_number")
+    number, due, numbers = -1, None, []
+    for at, declared in zip(table.column("at").to_pylist(), table.column("declared").to_pylist(), strict=True):
+        if due is None or at >= due:
+            number, due = number + 1, at + declared if declared is not None else None
+        numbers.append(number)
+    return pa.table([table.column("file"), table.column("piece_number"), pa.array(numbers, pa.int64())], names=["file", "piece_number", "number"])
+
+
 def read_warc(spark, path: str) -> DataFrame:
     """file, number, offset, length, digest of the records of files written by write_warc, whatever their content.
 
-    Records are split at their version line, by Spark's reader; a piece that
-    doesn't begin with a WARC header belongs to the record before it.
+    Spark's reader splits files at every version line; a record's declared
+    Content-Length then tells which pieces belong to it. Of a file only the
+    pieces' lengths, not their bytes, go to one task.
     """
     version = "WARC/1.0\r\n"
     rows = spark.read.option("lineSep", version).text(path).select(F.col("file").cast("long"), F.col("value").cast("binary").alias("piece"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
     rows = rows.where(F.octet_length("piece") > 0)
-    starts = F.when(F.col("piece").cast("string").startswith("WARC-Type:"), 1).otherwise(0)
-    rows = rows.withColumn("number", F.sum(starts).over(Window.partitionBy("file").orderBy("place")) - 1)
-    pieces = F.sort_array(F.collect_list(F.struct("place", F.concat(F.lit(version).cast("binary"), F.col("piece")).alias("bytes"))))
-    whole = rows.groupBy("file", "number").agg(F.aggregate(pieces, F.lit(b""), lambda acc, x: F.concat(acc, x["bytes"])).alias("whole"))
+    order = Window.partitionBy("file").orderBy("place")
+    size = (F.octet_length("piece") + len(version)).cast("long")
+    head = F.substring_index(F.col("piece").cast("string"), "\r\n\r\n", 1)
+    content = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*([0-9]+)", 1)
+    declared = F.when(content != "", len(version) + F.octet_length(head) + 8 + content.cast("long"))
+    rows = rows.select("file", "piece", F.row_number().over(order).alias("piece_number"), (F.sum(size).over(order) - size).alias("at"), declared.alias("declared"))
+    starts = rows.select("file", "piece_number", "at", "declared").groupBy("file").applyInArrow(_record_starts, "file long, piece_number int, number long")
+    pieces = F.sort_array(F.collect_list(F.struct("piece_number", F.concat(F.lit(version).cast("binary"), F.col("piece")).alias("bytes"))))
+    whole = rows.join(starts, ["file", "piece_number"]).groupBy("file", "number").agg(F.aggregate(pieces, F.lit(b""), lambda acc, x: F.concat(acc, x["bytes"])).alias("whole"))
     rows = whole.select("file", "number", F.octet_length("whole").cast("long").alias("length"), F.sha2("whole", 256).alias("digest"))
     order = Window.partitionBy("file").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select("file", "number", (F.sum("length").over(order) - F.col("length")).alias("offset"), "length", "digest")
@@ -83,12 +111,12 @@ def agreed_shape(first: DataFrame, second: DataFrame, fanout: int = FANOUT) -> l
     return shape
 
 
-def merkle_levels(records: DataFrame, shape: list[str], fanout: int = FANOUT) -> list[DataFrame]:
+def merkle_levels(records: DataFrame, shape: list[str], fanout: int, own: Scratch) -> list[DataFrame]:
     """Tables (file, number, hash) from leaves to root; the parent of a node divides the level's column of the shape by fanout."""
     leaf = F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256)
-    levels = [stored(records.select("file", "number", leaf.alias("hash")), "level")]
+    levels = [own.stored(records.select("file", "number", leaf.alias("hash")), "level")]
     for column in shape:
-        levels.append(stored(_parents(levels[-1], column, fanout), "level"))
+        levels.append(own.stored(_parents(levels[-1], column, fanout), "level"))
     return levels
 
 
@@ -108,7 +136,7 @@ def _parents(level: DataFrame, column: str, fanout: int) -> DataFrame:
     return level.select(*[k.alias(f"k{i}") for i, k in enumerate(_parent_key(column, fanout))], "file", "number", "hash").groupBy(F.col("k0").alias("file"), F.col("k1").alias("number")).agg(F.sha2(joined(children), 256).alias("hash"))
 
 
-def mismatches(first: list[DataFrame], second: list[DataFrame], shape: list[str], fanout: int = FANOUT) -> DataFrame:
+def mismatches(first: list[DataFrame], second: list[DataFrame], shape: list[str], fanout: int, own: Scratch) -> DataFrame:
     """(file, number) of the records whose leaves differ or that one replica lacks. Both trees have the shape."""
 
     def differing(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -122,12 +150,23 @@ def mismatches(first: list[DataFrame], second: list[DataFrame], shape: list[str]
         parent_file, parent_number = _parent_key(shape[level], fanout)
         wanted = wrong.select(F.col("file").alias("pf"), F.col("number").alias("pn"))
         below = [x[level].withColumn("pf", parent_file).withColumn("pn", parent_number).join(wanted, ["pf", "pn"], "left_semi") for x in (first, second)]
-        wrong = stored(differing(*below), "wrong") if level else differing(*below)
+        wrong = own.stored(differing(*below), "wrong") if level else differing(*below)
     return wrong
 
 
 def audit(records: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """records with intact: whether the replica holds the same bytes at the same place."""
+    """The records of both sides, with side (both, records or replica) and intact: whether both hold the same bytes at the same place.
+
+    Columns are those of records; where only the replica has a record, they are
+    the replica's.
+    """
     shape = agreed_shape(records, replica, fanout)
-    wrong = mismatches(merkle_levels(records, shape, fanout), merkle_levels(replica, shape, fanout), shape, fanout)
-    return records.join(wrong.withColumn("wrong", F.lit(True)), ["file", "number"], "left").withColumn("intact", F.col("wrong").isNull()).drop("wrong")
+    with scratch() as own:
+        ours, theirs = merkle_levels(records, shape, fanout, own), merkle_levels(replica, shape, fanout, own)
+        wrong = stored(mismatches(ours, theirs, shape, fanout, own), "wrong")
+    wrong = wrong.withColumn("wrong", F.lit(True))
+    found = records.join(wrong, ["file", "number"], "left")
+    found = found.join(replica.select("file", "number", F.lit(True).alias("twin")).join(wrong.select("file", "number"), ["file", "number"], "left_semi"), ["file", "number"], "left")
+    found = found.withColumn("side", F.when(F.col("wrong") & F.col("twin").isNull(), "records").otherwise("both")).withColumn("intact", F.col("wrong").isNull()).drop("wrong", "twin")
+    extra = replica.join(wrong.select("file", "number"), ["file", "number"], "left_semi").join(records.select("file", "number"), ["file", "number"], "left_anti")
+    return found.unionByName(extra.withColumn("side", F.lit("replica")).withColumn("intact", F.lit(False)).select(*[c for c in found.columns if c in (*replica.columns, "side", "intact")]), allowMissingColumns=True)

@@ -144,9 +144,9 @@ def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op2_warc_fixity"] = r"""
 WITH r AS (
-  SELECT page_id, coalesce(CAST(floor(page_id / 1000) AS BIGINT), -1) AS file, coalesce(md5(url) < '03' AND length(html) > 0 AND html[1] <> '~', false) AS decayed,
+  SELECT page_id, coalesce(CAST(floor(page_id / 1000) AS BIGINT), -1 - CAST('0x' || md5(coalesce(url, ''))[1:3] AS BIGINT)) AS file, coalesce(md5(url) < '03' AND length(html) > 0 AND html[1] <> '~', false) AS decayed,
     'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
-    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR)
+    || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR)
     || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS whole
   FROM pages),
 d AS (SELECT page_id, file, decayed, CAST(strlen(whole) AS BIGINT) AS length, sha256(whole) AS digest FROM r)

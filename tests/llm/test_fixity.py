@@ -10,7 +10,7 @@ SCHEMA = "page_id long, url string, html string, file string, number string, dig
 
 
 def _pages(spark, n=150):
-    rows = [(i, f"http://x/{i}", f"<p>{i}</p>\r\nWARC/1.0\r\n" * (i % 5), "x", "x", "x") for i in range(n)]
+    rows = [(i, f"http://x/{i}", f"<p>{i}</p>\r\nWARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 2\r\n\r\n" * (i % 5), "x", "x", "x") for i in range(n)]
     rows += [(3, None, None, "x", "x", "x"), (None, "u", "h", "x", "x", "x"), (None, None, None, "x", "x", "x"), (7, "http://x/7", rows[7][2], "x", "x", "x")]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
@@ -25,7 +25,8 @@ def test_layout(spark):
     for r in rows:
         assert r.offset == at.get(r.file, 0)
         at[r.file] = r.offset + r.length
-    whole = "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:11>\r\nWARC-Target-URI: http://x/11\r\nContent-Type: text/html\r\nContent-Length: 22\r\n\r\n<p>11</p>\r\nWARC/1.0\r\n\r\n\r\n".replace("22", str(len("<p>11</p>\r\nWARC/1.0\r\n")))
+    body = "<p>11</p>\r\nWARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 2\r\n\r\n"
+    whole = "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:11>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: http://x/11\r\nContent-Type: text/html\r\nContent-Length: " + str(len(body)) + "\r\n\r\n" + body + "\r\n\r\n"
     assert next(r.digest for r in rows if r.page_id == 11) == hashlib.sha256(whole.encode()).hexdigest()
 
 
@@ -44,7 +45,11 @@ def test_missing_records(spark):
     ours, theirs = _laid(pages), _laid(pages.where("page_id < 100 or page_id is null"))
     assert fixity.audit(ours, theirs, 4).where("not intact").count() == 50
     assert fixity.audit(ours, _laid(pages.limit(0)), 4).where("intact").count() == 0
-    assert fixity.audit(_laid(pages.limit(0)), ours, 4).count() == 0
+    extra = fixity.audit(theirs, ours, 4).where("not intact").collect()
+    assert {r.page_id for r in extra} == set(range(100, 150))
+    assert {r.side for r in extra} == {"replica"}
+    assert {r.side for r in fixity.audit(ours, theirs, 4).where("not intact").collect()} == {"records"}
+    assert fixity.audit(_laid(pages.limit(0)), ours, 4).where("intact or side <> 'replica'").count() == 0
 
 
 def test_trees_of_equal_height_and_unequal_shape(spark):
