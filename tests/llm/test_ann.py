@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import numpy as np
+from conftest import DATA
 from meterbook.llm import ann
+from meterbook.llm.queries import QUERIES
 from pyspark.sql import functions as F
 
 SCHEMA = "vec_id long, embedding array<float>, label int, dim string, code string, block string"
@@ -50,6 +52,17 @@ def test_against_brute_force(spark, monkeypatch):
             assert j != k or abs(s - t) < 1e-9
 
 
+def test_recall_on_embeddings(spark):
+    """Against brute force, over the whole table of the tests."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    expected = {q: {j for j, _ in found} for q, found in _expected(rows, 50, 5).items()}
+    hits = total = 0
+    for r in QUERIES["op8_nearest"](spark, DATA).collect():
+        hits, total = hits + (r.vec_id in expected[r.query_id]), total + 1
+    assert total == sum(map(len, expected.values()))
+    assert hits >= 0.9 * total
+
+
 def test_empty(spark):
     index = ann.build_index(spark.createDataFrame([], SCHEMA))
     assert ann.nearest(index, F.col("vec_id") % 50 == 0).count() == 0
