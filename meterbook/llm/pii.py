@@ -116,7 +116,7 @@ def _before(sizes: Column) -> Column:
 def _score(kind: Kind, gaps: Column, i: Column) -> Column:
     """The score of an accepted match number i, given the text between matches."""
     around = F.lower(F.concat(F.right(F.get(gaps, i), F.lit(40)), F.lit("\n"), F.left(F.get(gaps, i + 1), F.lit(20))))
-    return F.lit(0.8 if kind.checksum else 0.5) + F.when(around.rlike(kind.context), 0.3).otherwise(0.0)
+    return F.lit(0.8 if kind.checksum else 0.5) + F.when(around.rlike(rf"\b(?:{kind.context})s?\b"), 0.3).otherwise(0.0)
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
