@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +49,45 @@ def without_secrets(raw: Column) -> Column:
     return F.to_json(kept)
 
 
-def _costed(rows: DataFrame, prices: DataFrame, missing: str) -> DataFrame:
-    """The bill counts first, then the vendor's own cost of the model, then the price table."""
-    rows = priced(with_hash(rows.withColumn("reasoning_tokens", F.lit(0).cast("long"))), prices, missing)
+def with_bill(rows: DataFrame) -> DataFrame:
+    """Cost and exactness of rows with cost_usd and cost_status: the bill counts first, then the vendor's own cost of the model, then the price table."""
     free, bill, own = included(F.col("kind")), F.col("charged_cents"), F.col("model_cents")
     exactness = F.when(bill > 0, "exact").when(own.isNotNull(), F.when(free, "mixed").otherwise("exact")).when(free, F.when(F.col("counted"), "mixed").otherwise("estimated")).otherwise(exactness_of_status(F.col("cost_status")))
     rows = rows.withColumn("exactness", exactness).withColumn("cost_usd", F.when(bill > 0, bill / 100).when(own.isNotNull(), own / 100).otherwise(F.col("cost_usd")))
+    return rows.drop("cost_status", "charged_cents", "model_cents", "counted", "kind")
+
+
+def _costed(rows: DataFrame, prices: DataFrame, missing: str) -> DataFrame:
+    rows = with_bill(priced(with_hash(rows.withColumn("reasoning_tokens", F.lit(0).cast("long"))), prices, missing))
     rows = rows.withColumn("tool_tokens", F.lit(0).cast("long")).withColumn("confidence", F.lit(1.0)).withColumn("ignored", F.lit(False))
-    return first_of_each(rows.drop("cost_status", "charged_cents", "model_cents", "counted", "kind"))
+    return first_of_each(rows)
+
+
+def recosted(events: DataFrame, prices: DataFrame, missing: str = "warn") -> DataFrame:
+    """Stored events of the dashboard with cost and exactness made anew from their payloads; events whose payload is no object stay as they are."""
+    j = F.from_json("raw_json", API_SCHEMA)
+    u = j["tokenUsage"]
+    own = F.coalesce(F.col("raw_json").startswith("{") & F.try_parse_json("raw_json").isNotNull(), F.lit(False))
+    rows = priced(events.withColumnRenamed("exactness", "old_exactness").withColumnRenamed("cost_usd", "old_cost"), prices, missing)
+    rows = rows.withColumn("has_payload", own).withColumn("kind", F.coalesce(j["kind"], F.lit(""))).withColumn("charged_cents", cents(j["chargedCents"], j["charged_cents"])).withColumn("model_cents", cents(u["totalCents"], u["total_cents"])).withColumn("counted", u.isNotNull())
+    rows = with_bill(rows)
+    rows = rows.withColumn("cost_usd", F.when(F.col("has_payload"), F.col("cost_usd")).otherwise(F.col("old_cost"))).withColumn("exactness", F.when(F.col("has_payload"), F.col("exactness")).otherwise(F.col("old_exactness")))
+    return rows.select(*events.columns)
+
+
+def page_entries(pages: DataFrame, size: int = 100) -> DataFrame:
+    """The entries (value) of saved pages (page, from 1; value: the response) that a paged read takes: up to the first empty page, the page that reaches the stated total, or, without a total, the first short one."""
+    j = F.from_json("value", "totalUsageEventsCount long, usageEventsDisplay array<variant>")
+    rows = pages.select("page", F.coalesce(j["totalUsageEventsCount"], F.lit(0)).alias("total"), F.coalesce(j["usageEventsDisplay"], F.array().cast("array<variant>")).alias("entries"))
+    n = F.size("entries")
+    last = rows.where((n == 0) | F.when(F.col("total") > 0, F.col("page") * size >= F.col("total")).otherwise(n < size)).agg(F.min("page").alias("last"))
+    taken = rows.join(F.broadcast(last), F.coalesce(F.col("page") <= F.col("last"), F.lit(True)))  # one row
+    return taken.select(F.explode("entries").alias("entry")).select(F.to_json("entry").alias("value"))
+
+
+def sync_range(high_water: dt.datetime | None, cycle: tuple[dt.datetime, dt.datetime], now: dt.datetime, full: bool = False) -> tuple[dt.datetime, dt.datetime]:
+    """What a sync asks for: from the latest known event until now, or the billing cycle where nothing is known or all is wanted."""
+    return cycle if full or high_water is None else (high_water, now)
 
 
 def _total(total: Column) -> Column:

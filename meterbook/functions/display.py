@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 EXACTNESS_LABELS = {"exact": "Exact", "estimated": "Estimated", "mixed": "Mixed", "unknown": "Unknown"}
 
 
+def day_label(date: Column) -> Column:
+    """Month and day of a date or of the text of a time."""
+    return F.substring(date.cast("string"), 6, 5)
+
+
 def delta_label(now: Column, before: Column) -> Column:
     """The change in percent: null if both are 0, "new" from 0, else signed with one decimal."""
     change = (now - before) / before * 100

@@ -100,6 +100,33 @@ def detected_by_plugin(model: Column) -> Column:
     return F.when(local, "local").otherwise(detected_provider(model))
 
 
+# Where a producer's plugin looks for its counts, in order.
+PLUGIN_HOLDERS = ["usage", "tokens", "info.tokens", "info.usage"]
+PLUGIN_COUNTS = {
+    "input": ["input_tokens", "prompt_tokens", "input", "inputTokens"],
+    "output": ["output_tokens", "completion_tokens", "output", "outputTokens"],
+    "total": ["total_tokens", "total"],
+    "reasoning": ["reasoning_tokens", "reasoningTokens", "completion_tokens_details.reasoning_tokens", "output_tokens_details.reasoning_tokens"],
+    "cache_read": ["cache_read_input_tokens", "cache_read_tokens", "cacheReadTokens", "prompt_tokens_details.cached_tokens"],
+    "cache_write": ["cache_creation_input_tokens", "cache_write_tokens", "cacheWriteTokens"],
+}
+
+
+def whole_number(text: Column) -> Column:
+    """A number, or the text of one, cut to a whole number; 0 for anything else."""
+    n = F.trim(text).try_cast("double")
+    return F.when(n.isNotNull() & ~F.isnan(n) & (F.abs(n) < float(1 << 63)), n.cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def plugin_usage(payload: Column) -> Column:
+    """The counts that a producer's plugin writes for a JSON payload, as a struct; null without an object of counts."""
+    holder = F.coalesce(*[F.get_json_object(payload, f"$.{h}") for h in PLUGIN_HOLDERS])
+    at = {name: F.coalesce(*[F.get_json_object(holder, f"$.{k}") for k in keys]) for name, keys in PLUGIN_COUNTS.items()}
+    counts = {name: whole_number(text) for name, text in at.items()}
+    counts["total"] = F.when(at["total"].isNotNull(), counts["total"]).otherwise(counts["input"] + counts["output"])
+    return F.when(holder.startswith("{"), F.struct(*[c.alias(name) for name, c in counts.items()]))
+
+
 def instant(number: Column) -> Column:
     """A timestamp from seconds, or from milliseconds where the number is too large for seconds."""
     n = number.cast("long")
@@ -158,5 +185,9 @@ def with_hash(events: DataFrame) -> DataFrame:
 
 
 def first_of_each(events: DataFrame) -> DataFrame:
-    """One event of each hash."""
-    return events.dropDuplicates(["event_hash"])
+    """The first event of each hash: of the smallest path, then payload, so that a rerun takes the same one."""
+    order = [c for c in ("raw_source_path", "raw_json") if c in events.columns]
+    if not order:
+        return events.dropDuplicates(["event_hash"])
+    row = F.struct(*[F.col(f"`{c}`") for c in events.columns])
+    return events.groupBy("event_hash").agg(F.min_by(row, F.struct(*[F.coalesce(F.col(c), F.lit("")) for c in order])).alias("row")).select("row.*")

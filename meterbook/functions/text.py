@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import reduce
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
@@ -57,31 +58,47 @@ def by_length(text: Column) -> Column:
     return F.floor((F.coalesce(F.length(text), F.lit(0)) + 3) / 4).cast("long")
 
 
-def estimated_tokens(text: Column, mode: str = "chars4", vocabulary_path: str | None = None) -> Column:
-    """Tokens of a text. mode: off (0), chars4, or bpe with the path of a file of token ranks."""
-    if mode == "off":
-        return F.lit(0).cast("long")
-    if mode == "chars4":
-        return by_length(text)
-    if mode != "bpe" or vocabulary_path is None:
-        raise ValueError(f"unknown mode {mode!r}, or no vocabulary")
+def wants_older_bpe(model: Column) -> Column:
+    """Whether a model's name tells of the older of two vocabularies."""
+    m = F.lower(F.coalesce(model, F.lit("")))
+    return m.contains("gpt-3.5") | (m.contains("gpt-4-") & ~m.contains("gpt-4o") & ~m.contains("gpt-4.1")) | m.contains("text-embedding")
+
+
+def bpe_tokens(text: Column, model: Column | None, newer_path: str, older_path: str | None = None) -> Column:
+    """Tokens of a text in the vocabulary that the model hints at (files of token ranks, read on the driver). Each batch counts a distinct text once."""
+    spark = SparkSession.getActiveSession()
+    shared = spark.sparkContext.broadcast([Path(p).read_bytes() for p in (newer_path, older_path or newer_path)])
 
     @F.pandas_udf(LongType())
-    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def counted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         import base64
 
         import public_tokenizers
         import tiktoken
 
-        with open(vocabulary_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding("counted", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        for batch in batches:
-            yield batch.map(lambda t: len(encode(t)) if t else 0)
+        encoders = []
+        for i, body in enumerate(shared.value):
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, body.splitlines())}
+            encoders.append(tiktoken.Encoding(f"counted{i}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
+        for texts, older in batches:
+            pairs = pd.DataFrame({"text": texts.fillna(""), "older": older})
+            once = pairs.drop_duplicates()
+            known = {(t, o): len(encoders[o](t)) for t, o in zip(once["text"], once["older"], strict=True)}
+            yield pd.Series([known[p] for p in zip(pairs["text"], pairs["older"], strict=True)], dtype="int64")
 
-    return counted(text)
+    return counted(text, wants_older_bpe(model if model is not None else F.lit("")).cast("int"))
+
+
+def estimated_tokens(text: Column, mode: str = "chars4", vocabulary_path: str | None = None, model: Column | None = None, older_path: str | None = None) -> Column:
+    """Tokens of a text. mode: off (0), bpe with the path of a file of token ranks (and of one for older models); chars4 and any other is a quarter of the characters."""
+    if mode == "off":
+        return F.lit(0).cast("long")
+    if mode == "bpe" and vocabulary_path is not None:
+        return bpe_tokens(text, model, vocabulary_path, older_path)
+    return by_length(text)
 
 
+# Roles and keys of the texts in a JSON event.
 _ROLES = {"system", "user", "assistant", "tool"}
 _TEXT_KEYS = ("content", "text", "prompt", "completion", "input", "output", "messages")
 

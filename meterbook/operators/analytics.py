@@ -75,7 +75,7 @@ def cache_savings_by_key(events: DataFrame, f: QueryFilter, prices: DataFrame) -
     price = prices.select("provider", "model", "input_price_per_million", "cache_read_price_per_million")
     saved = F.greatest(F.lit(0.0), F.coalesce(F.col("input_price_per_million") - F.col("cache_read_price_per_million"), F.lit(0.0)))
     rows = apply_filter(events, f).groupBy("provider", "model").agg(F.sum("cache_read_tokens").alias("read"))
-    return rows.join(F.broadcast(price), ["provider", "model"], "left").agg(F.coalesce(F.sum(F.col("read") * saved / 1e6), F.lit(0.0)).alias("cache_savings_usd"))
+    return rows.join(price, ["provider", "model"], "left").agg(F.coalesce(F.sum(F.col("read") * saved / 1e6), F.lit(0.0)).alias("cache_savings_usd"))
 
 
 def timeseries(events: DataFrame, f: QueryFilter) -> DataFrame:
@@ -101,7 +101,7 @@ def session_aggregates(events: DataFrame, f: QueryFilter, sessions: DataFrame |
         F.max("timestamp").alias("last_seen_at"),
         *_sums(*SUMS),
         F.count(F.lit(1)).alias("event_count"),
-        F.size(F.collect_set("model")).cast("long").alias("model_switches"),
+        F.countDistinct("model").alias("model_switches"),
         F.max(F.col("input_tokens") + F.col("cache_read_tokens") + F.col("tool_tokens")).alias("peak_context_tokens"),
     )
     if sessions is None:
@@ -150,7 +150,7 @@ def resolved_savings(events: DataFrame, f: QueryFilter, prices: DataFrame) -> Da
     """Filtered events with saved: what their cached input saved under resolved prices."""
     rows = apply_filter(events, f)
     covered = resolve_pairs(rows, prices).select("provider", "model", F.greatest(F.lit(0.0), F.col("input_price_per_million") - F.col("cache_read_price_per_million")).alias("gap"))
-    return rows.join(F.broadcast(covered), ["provider", "model"], "left").withColumn("saved", F.col("cache_read_tokens") * F.coalesce("gap", F.lit(0.0)) / 1e6)
+    return rows.join(covered, ["provider", "model"], "left").withColumn("saved", F.col("cache_read_tokens") * F.coalesce("gap", F.lit(0.0)) / 1e6)
 
 
 def cache_efficiency(events: DataFrame, f: QueryFilter, prices: DataFrame) -> DataFrame:
@@ -165,13 +165,21 @@ def cache_efficiency(events: DataFrame, f: QueryFilter, prices: DataFrame) -> Da
     fine = fine.agg(*_sums("cache_read_tokens", "cache_write_tokens", "total_tokens", "cost_usd", "saved"))
     each = F.explode(F.array(*[F.struct(F.lit(g).alias("grouping"), F.col(g).alias("key")) for g in ("day", "provider", "model")]))
     fine = fine.withColumn("g", each).select("g.*", "session_id", "cache_read_tokens", "cache_write_tokens", "total_tokens", "cost_usd", "saved")
-    return fine.groupBy("grouping", "key").agg(*_sums("cache_read_tokens", "cache_write_tokens", "total_tokens", "cost_usd"), F.sum("saved").alias("cache_savings_usd"), F.countDistinct("session_id").alias("sessions"))
+    found = fine.groupBy("grouping", "key").agg(*_sums("cache_read_tokens", "cache_write_tokens", "total_tokens", "cost_usd"), F.sum("saved").alias("cache_savings_usd"), F.countDistinct("session_id").alias("sessions"))
+    # Days by date, providers and models by savings.
+    return found.orderBy("grouping", F.when(F.col("grouping") == "day", F.col("key")), F.desc("cache_savings_usd"), "key")
+
+
+def report_totals(events: DataFrame, f: QueryFilter, prices: DataFrame) -> DataFrame:
+    """One row: savings, cache reads and writes over all days, and sessions that filled four fifths of their context."""
+    days = cache_efficiency(events, f, prices).where(F.col("grouping") == "day").agg(F.coalesce(F.sum("cache_savings_usd"), F.lit(0.0)).alias("cache_savings_usd"), *_sums("cache_read_tokens", "cache_write_tokens"))
+    return days.crossJoin(context_trend(events, f, prices).agg(F.coalesce(F.sum("sessions_over_80"), F.lit(0)).alias("sessions_over_80")))  # one row each
 
 
 def session_utilization(sessions: DataFrame, prices: DataFrame) -> DataFrame:
     """Session aggregates with context_limit and utilization_pct (0 where the limit is unknown)."""
     limits = context_limits(sessions, prices).select(F.col("provider").alias("l_provider"), F.col("model").alias("l_model"), "context_limit")
-    rows = sessions.join(F.broadcast(limits), F.col("provider").eqNullSafe(F.col("l_provider")) & (F.col("model") == F.col("l_model")), "left").drop("l_provider", "l_model")
+    rows = sessions.join(limits, F.col("provider").eqNullSafe(F.col("l_provider")) & (F.col("model") == F.col("l_model")), "left").drop("l_provider", "l_model")
     return rows.withColumn("utilization_pct", F.when(F.col("context_limit") > 0, F.greatest(F.col("peak_context_tokens"), F.lit(0)) / F.col("context_limit") * 100).otherwise(0.0))
 
 
@@ -236,7 +244,7 @@ def shares(events: DataFrame, f: QueryFilter, dimension: str) -> DataFrame:
 def imported_totals(events: DataFrame, sources: DataFrame, kind: str) -> DataFrame:
     """Events, tokens and cost of the sources of one kind, and the latest timestamp, from which a next import goes on."""
     own = sources.where(F.col("kind") == kind).select(F.col("id").alias("source_id"))
-    return events.join(F.broadcast(own), "source_id").agg(F.count(F.lit(1)).alias("events"), *_sums("total_tokens", "cost_usd"), F.max("timestamp").alias("high_water"))
+    return events.join(own, "source_id").agg(F.count(F.lit(1)).alias("events"), *_sums("total_tokens", "cost_usd"), F.max("timestamp").alias("high_water"))
 
 
 def session_totals(sessions: DataFrame, events: DataFrame) -> DataFrame:

@@ -78,6 +78,7 @@ FAMILY_ALIASES = [
     (["gpt-"], "openai", "gpt-5.3-codex"),
     (["gemini-"], "google", "gemini-2.5-pro"),
 ]
+# Model names that resellers give away, and providers that run locally.
 FREE_MODELS = ["go", "zen", "big-pickle"]
 LOCAL_PROVIDERS = ["local", "lmstudio"]
 RATES = ["input_price_per_million", "output_price_per_million", "reasoning_price_per_million", "cache_read_price_per_million", "cache_write_price_per_million"]
@@ -183,7 +184,7 @@ def resolve_pairs(pairs: DataFrame, prices: DataFrame, estimate: bool = False) -
     if estimate:
         close = F.col("model").startswith(F.col("p_model")) | F.col("p_model").startswith(F.col("model"))
         steps += [(row & own & ~F.col("is_local") & close, 10), ((F.col("kind") == "average") & own, 11)]
-    # Pairs and offers are both few, whatever the number of events.
+    # Offers are the rows of the price table; pairs may be many, as logs name them, so they are the side that stays in place.
     found = pairs.join(F.broadcast(offers), reduce(lambda a, b: a | b, [c for c, _ in steps])).select("provider", "model", _ladder([(c, F.lit(rank)) for c, rank in steps]).alias("rank"), "p_provider", "p_model", *_CARRIED)
     order = F.struct("rank", (-F.length("p_model")).alias("shorter"), "p_provider", "p_model", *_CARRIED)
     return found.groupBy("provider", "model").agg(F.min(order).alias("best")).select("provider", "model", *[f"best.{c}" for c in ("rank", "p_provider", "p_model", *_CARRIED)])
@@ -208,7 +209,7 @@ def cost_of(input_: Column, output: Column, reasoning: Column, cache_read: Colum
 def priced(events: DataFrame, prices: DataFrame, missing: str = "warn") -> DataFrame:
     """events with cost_usd and cost_status (Priced, Estimated, Unpriced). missing: skip, warn, or estimate."""
     covered = resolve_pairs(events, prices, missing == "estimate")
-    rows = events.drop("cost_usd", "cost_status").join(F.broadcast(covered), ["provider", "model"], "left")
+    rows = events.drop("cost_usd", "cost_status").join(covered, ["provider", "model"], "left")
     cost = cost_of(*[F.col(c) for c in ("input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "cache_write_tokens")])
     rows = rows.withColumn("cost_usd", F.when(F.col("rank").isNull() | F.col("is_local"), 0.0).otherwise(cost))
     rows = rows.withColumn("cost_status", F.when(F.col("rank").isNull(), "Unpriced").when((F.col("rank") >= 10) & ~F.col("is_local"), "Estimated").otherwise("Priced"))
@@ -233,7 +234,7 @@ def unpriced() -> Column:
 def missing_prices(events: DataFrame, prices: DataFrame) -> DataFrame:
     """provider, model, events, tokens, cost_usd of pairs that no price covers, most tokens first."""
     groups = events.where(F.col("provider").isNotNull() & F.col("model").isNotNull()).groupBy("provider", "model").agg(F.count(F.lit(1)).alias("events"), F.sum("total_tokens").alias("tokens"), F.sum("cost_usd").alias("cost_usd"))
-    return groups.join(F.broadcast(resolve_pairs(groups, prices).select("provider", "model")), ["provider", "model"], "left_anti").orderBy(F.desc("tokens"), "provider", "model")
+    return groups.join(resolve_pairs(groups, prices).select("provider", "model"), ["provider", "model"], "left_anti").orderBy(F.desc("tokens"), "provider", "model")
 
 
 def context_windows(spark: SparkSession) -> DataFrame:
@@ -244,7 +245,7 @@ def context_limits(pairs: DataFrame, prices: DataFrame) -> DataFrame:
     """provider, model, context_limit (null if unknown) of distinct pairs: the price's window, else the first prefix that fits."""
     pairs = pairs.select("provider", "model").where(F.col("model").isNotNull()).distinct()
     known = resolve_pairs(pairs, prices).select(F.col("provider").alias("k_provider"), F.col("model").alias("k_model"), "context_window_tokens")
-    rows = pairs.join(F.broadcast(known), F.col("provider").eqNullSafe(F.col("k_provider")) & (F.col("model") == F.col("k_model")), "left")
+    rows = pairs.join(known, F.col("provider").eqNullSafe(F.col("k_provider")) & (F.col("model") == F.col("k_model")), "left")
     rows = rows.join(F.broadcast(context_windows(pairs.sparkSession)), F.lower("model").startswith(F.col("prefix")), "left")
     rows = rows.groupBy("provider", "model").agg(F.coalesce(F.first("context_window_tokens"), F.min_by("window", "ord")).alias("context_limit"))
     return rows
@@ -275,5 +276,9 @@ def without_resellers(prices: DataFrame) -> DataFrame:
     return prices.where(~F.col("provider").isin(AGGREGATORS))
 
 
+def listed_prices(prices: DataFrame) -> DataFrame:
+    return prices.orderBy("provider", "model")
+
+
 def delete_price(prices: DataFrame, provider: str, model: str) -> DataFrame:
     return prices.where(~((F.col("provider") == provider) & (F.col("model") == model)))

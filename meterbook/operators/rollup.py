@@ -22,8 +22,8 @@ def touched_dates(events: DataFrame) -> DataFrame:
 
 def refreshed(rollup: DataFrame, events: DataFrame, dates: DataFrame) -> DataFrame:
     """The rollup with the given dates made anew from events."""
-    own = events.withColumn("date", F.to_date("timestamp")).join(F.broadcast(dates), "date", "left_semi").drop("date")
-    return rollup.join(F.broadcast(dates), "date", "left_anti").unionByName(daily_rollup(own))
+    own = events.withColumn("date", F.to_date("timestamp")).join(dates, "date", "left_semi").drop("date")
+    return rollup.join(dates, "date", "left_anti").unionByName(daily_rollup(own))
 
 
 def answers(f: QueryFilter) -> bool:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 from dataclasses import asdict, dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,16 +54,51 @@ def append(events: DataFrame, path: str) -> DataFrame:
 
 
 def refresh_rollup(spark: SparkSession, store: str, rollup: str, days: list[dt.date] | None = None) -> None:
-    """Makes the rollup's days anew (all, if none are named); other days stay."""
+    """Makes the rollup's days anew (all, if none are named); other days stay, and named days without events any more go."""
     events = spark.read.parquet(store)
     if days is not None:
         events = events.where(F.col("event_date").isin(days))
-    # Days without events any more are emptied, too.
     daily_rollup(events).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if days is not None else "static").partitionBy("date").parquet(rollup)
+    for day in set(days or []) - set(_days(events)):
+        # A dynamic overwrite leaves partitions that it has no rows for.
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{rollup}/date={day}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def upserted_sessions(sessions: DataFrame, events: DataFrame) -> DataFrame:
+    """The session table (id, source_session_id, source_id, provider, model, title, started_at, last_seen_at) after new events.
+
+    A new session takes provider and model from its first event; a known one
+    keeps them, and its times widen. Numbers are hashes of source and name.
+    """
+    key = ["source_id", "source_session_id"]
+    first = F.min_by(F.struct("provider", "model"), F.struct("timestamp", "event_hash"))
+    found = events.where(F.col("source_session_id").isNotNull()).groupBy(*key).agg(first.alias("first"), F.min("timestamp").alias("from"), F.max("timestamp").alias("to"))
+    new = found.select(*[F.col(k).alias(f"n_{k}") for k in key], F.col("first.provider").alias("n_provider"), F.col("first.model").alias("n_model"), "from", "to")
+    both = sessions.join(new, (F.col("source_id").eqNullSafe(F.col("n_source_id"))) & (F.col("source_session_id") == F.col("n_source_session_id")), "full")
+    known = F.col("source_session_id").isNotNull()
+    pick = lambda c: F.when(known, F.col(c)).otherwise(F.col(f"n_{c}"))
+    return both.select(
+        F.when(known, F.col("id")).otherwise(F.xxhash64("n_source_id", "n_source_session_id")).alias("id"), pick("source_session_id").alias("source_session_id"), pick("source_id").alias("source_id"), pick("provider").alias("provider"), pick("model").alias("model"), "title",
+        F.least("started_at", "from").alias("started_at"), F.greatest("last_seen_at", "to").alias("last_seen_at"),
+    )
+
+
+def synced(meta: DataFrame, at: dt.datetime, cursor: dt.datetime | None, summary: str, added: int) -> DataFrame:
+    """The row of a source's syncs (last_sync_at, last_sync_cursor, last_sync_result, events_total) after one more: without a cursor the old one stays."""
+    cursor_column = F.coalesce(F.lit(cursor).cast("timestamp"), F.col("last_sync_cursor"))
+    return meta.select(F.lit(at).cast("timestamp").alias("last_sync_at"), cursor_column.alias("last_sync_cursor"), F.lit(summary).alias("last_sync_result"), (F.col("events_total") + added).alias("events_total"))
+
+
+def reset(tables: dict[str, DataFrame], kept: tuple[str, ...] = ("model_pricing",)) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(the tables without their rows, but for those to keep; table and deleted rows of each)."""
+    gone = [name for name in sorted(tables) if name not in kept]
+    counts = [tables[name].agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("deleted")) for name in gone]
+    return {name: df.limit(0) if name in gone else df for name, df in tables.items()}, reduce(DataFrame.unionByName, counts)
 
 
 def without_sources(events: DataFrame, ids: DataFrame) -> DataFrame:
-    return events.join(F.broadcast(ids.select(F.col("id").alias("source_id"))), "source_id", "left_anti")
+    return events.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_anti")
 
 
 def retained(events: DataFrame, as_of: dt.date, days: int) -> DataFrame:
@@ -116,14 +152,24 @@ def pricing_import(texts: DataFrame) -> DataFrame:
 class Settings:
     """Typed settings; texts that don't parse give the default."""
 
+    # Names and defaults of the settings.
+    currency: str = "USD"
+    autostart: bool = False
+    start_minimized: bool = False
+    theme: str = "system"
     store_raw_json: bool = True
+    store_message_text: bool = False
     redact_secrets: bool = True
-    missing_price_policy: str = "warn"
+    anonymize_paths: bool = False
+    raw_retention_days: int = 14
+    max_db_size_mb: int = 0
+    auto_cleanup: bool = True
+    default_range: str = "7d"
+    missing_price_behavior: str = "warn"
     token_estimation_mode: str = "chars4"
-    raw_retention_days: int = 90
-    auto_cleanup: bool = False
-    budget_daily_tokens: int = 0
-    budget_monthly_cost_usd: float = 0.0
+    watcher_enabled: bool = True
+    debug_logging: bool = False
+    collector_endpoint_enabled: bool = False
 
     @classmethod
     def decoded(cls, rows: DataFrame) -> Settings:

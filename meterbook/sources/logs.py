@@ -8,6 +8,7 @@ import io
 import json
 import sys
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 from meterbook.functions.dashboard import CSV_COLUMNS, CSV_REQUIRED
 from meterbook.functions.normalize import detected_provider, instant, with_hash
 
+# The extensions of logs.
 LINES, DOCUMENTS, EXPORTS = ("jsonl", "log", "ndjson", "txt"), ("json",), ("csv",)
 EXTENSIONS = (*LINES, *DOCUMENTS, *EXPORTS)
 EXPORT_BATCH = 4096
-LARGEST_FILE = 500 << 20
-# Models of the generated sample, by provider.
+#: Grown files of up to this size are read from where the last scan ended; larger ones as a whole, by lines.
+WHOLE_BYTES = 256 << 20
+# Models of the generated sample, by provider; the other numbers of the sample are in sample_events.
 SAMPLE_MODELS = {
     "openai": ["gpt-5.5", "gpt-5.4", "gpt-5.4-mini", "o4-mini"],
     "anthropic": ["claude-fable-5", "claude-opus-4.8", "claude-sonnet-4.6", "claude-haiku-4.5"],
@@ -35,13 +38,56 @@ def listed_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.where(F.lower(F.substring_index("path", ".", -1)).isin(*EXTENSIONS))
 
 
-def changed_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Files that are not too large and not in the ledger with the same time and size."""
-    return files.where(F.col("length") <= LARGEST_FILE).join(ledger.select("path", "modified", "length"), ["path", "modified", "length"], "left_anti")
+def start_offset(path: Column, modified: Column, length: Column, was_modified: Column, was_offset: Column) -> Column:
+    """The byte from which a file is to be read: its end if nothing has changed, the last end if a file of lines has grown, else 0."""
+    unchanged = (was_modified == modified) & (was_offset == length)
+    grown = F.lower(F.substring_index(path, ".", -1)).isin(*LINES) & (was_offset > 0) & (length > was_offset)
+    return F.when(unchanged, length).when(grown, was_offset).otherwise(F.lit(0).cast("long"))
+
+
+def changed_files(files: DataFrame, ledger: DataFrame, largest: int | None = None) -> DataFrame:
+    """files with start, of those that are new or have changed since the ledger (path, modified, offset); files larger than largest bytes are left for `skipped_files`."""
+    known = ledger.select(F.col("path").alias("l_path"), F.col("modified").alias("l_modified"), F.col("offset").alias("l_offset"))
+    rows = files.join(known, F.col("path") == F.col("l_path"), "left")
+    rows = rows.withColumn("start", start_offset(F.col("path"), F.col("modified"), F.col("length"), F.col("l_modified"), F.col("l_offset")))
+    rows = rows.where(F.col("l_path").isNull() | (F.col("start") < F.col("length")) | ((F.col("length") == 0) & (F.col("l_offset") > 0))).drop("l_path", "l_modified", "l_offset")
+    return rows if largest is None else rows.where(F.col("length") <= largest)
+
+
+def skipped_files(files: DataFrame, largest: int) -> DataFrame:
+    return files.where(F.col("length") > largest)
 
 
 def updated_ledger(ledger: DataFrame, files: DataFrame) -> DataFrame:
-    return ledger.join(files.select("path"), "path", "left_anti").unionByName(files)
+    """The ledger after the files were read to their ends."""
+    read = files.select("path", "modified", F.col("length").alias("offset"))
+    return ledger.join(read.select("path"), "path", "left_anti").select("path", "modified", "offset").unionByName(read)
+
+
+def tail_lines(content: Column, start: Column) -> Column:
+    """The lines of a file's bytes from a start on; a line that began before the start is left out."""
+    rest = F.substring(content, (start + 1).cast("int"), F.length(content)).cast("string")
+    before = F.substring(content, start.cast("int"), F.lit(1))
+    clean = (start == 0) | before.isin(F.lit(b"\n"), F.lit(b"\r"))
+    return F.split(F.when(clean, rest).otherwise(F.regexp_replace(rest, r"^[^\r\n]*", "")), "\r?\n")
+
+
+def read_changed(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """value and path of what changed_files (path, length, start) found: grown files of lines from their start, all others as a whole.
+
+    The paths come to the driver, as Spark's readers take them: they are those
+    of one scan's changed files.
+    """
+    grown = F.col("start").between(1, F.col("length")) & (F.col("length") <= WHOLE_BYTES)
+    chosen = files.select("path", "start", grown.alias("grown")).collect()
+    parts = [json_lines(spark.createDataFrame([], "value string, path string"))]
+    if whole := [r["path"] for r in chosen if not r["grown"]]:
+        parts.append(read_logs(spark, whole))
+    if tails := [r["path"] for r in chosen if r["grown"]]:
+        starts = files.where(grown).select("path", "start")
+        rows = spark.read.format("binaryFile").load(tails).select("path", "content").join(starts, "path")
+        parts.append(json_lines(rows.select(F.explode(tail_lines(F.col("content"), F.col("start"))).alias("value"), "path")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def json_lines(lines: DataFrame) -> DataFrame:
@@ -142,6 +188,25 @@ def from_parts(parts: DataFrame, messages: DataFrame, sessions: DataFrame, inges
     return rows.withColumn("tool_tokens", F.lit(0).cast("long")).withColumn("exactness", F.lit("exact")).withColumn("confidence", F.lit(0.95)).withColumn("ignored", F.lit(False)).drop("given_total", "m_data")
 
 
+def exported_events(tables: dict[str, DataFrame], ingest_time: Column) -> DataFrame:
+    """Events of an exported database, by the tables that it has: part (with message and session), or messages."""
+    if "part" in tables:
+        return from_parts(tables["part"], tables["message"], tables["session"], ingest_time)
+    if "messages" in tables:
+        return from_messages(tables["messages"])
+    raise ValueError(f"no table of events among {sorted(tables)}")
+
+
+def existing_folders(spark: SparkSession, candidates: list[str]) -> list[str]:
+    """Those of the configured folders (globs, in any store that Spark reads) that hold something."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    found = []
+    for candidate in candidates:
+        at = hadoop.Path(candidate)
+        found += [str(s.getPath().toString()) for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or [] if s.isDirectory()]
+    return found
+
+
 def from_messages(messages: DataFrame) -> DataFrame:
     """Events of an exported table messages(id, session_id, role, model, prompt_tokens, completion_tokens, created_at)."""
     n = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))

@@ -1,14 +1,19 @@
 """Folders of logs as streams into the event store.
 
-A file is taken once, when it appears; producers rotate files rather than
-append to them (a batch scan with the ledger reads grown files again, and the
-store drops what it holds). Late events are always taken: the days that a
-batch touches are rolled up anew.
+A stream takes a file once, when it appears: it suits producers that rotate
+files. For producers that append to a file, `scan` reads what has been added
+since the ledger's offsets, and is called again and again; one scan of a store
+runs at a time. Late events are always taken: the days that a batch touches are
+rolled up anew.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,6 +22,7 @@ from meterbook.functions.normalize import first_of_each, normalized
 from meterbook.functions.text import private
 from meterbook.operators import store
 from meterbook.operators.pricing import priced
+from meterbook.sources import logs
 from meterbook.sources.logs import export_table, json_lines, log_values, of_export
 
 
@@ -45,6 +51,57 @@ def lines_of(spark: SparkSession, folder: str, files_per_batch: int = 100, archi
     return log_values(text)
 
 
+def _stored(rows: DataFrame, prices: DataFrame, events: str, rollup: str) -> Row:
+    # Logs and exports are two branches over the same files.
+    rows = rows.persist()
+    try:
+        done = store.append(ingest(rows, prices, F.current_timestamp()), events).first()
+    finally:
+        rows.unpersist()
+    if done["inserted"]:
+        store.refresh_rollup(rows.sparkSession, events, rollup, done["days"])
+    return done
+
+
+_busy: set[str] = set()
+_guard = threading.Lock()
+
+
+@contextmanager
+def single_flight(name: str) -> Iterator[None]:
+    """Lets one holder of a name in at a time; another one fails at once."""
+    with _guard:
+        if name in _busy:
+            raise RuntimeError(f"{name} is being worked on already")
+        _busy.add(name)
+    try:
+        yield
+    finally:
+        with _guard:
+            _busy.discard(name)
+
+
+def scan(spark: SparkSession, folder: str, prices: DataFrame, events: str, rollup: str, ledger: str, largest: int | None = None) -> Row:
+    """One pass over a folder: what is new or added since the last pass goes into the store, then the ledger (a Parquet folder) follows. received, inserted, days.
+
+    A pass that fails leaves the ledger as it was; the next one reads the same
+    again, and the store drops what it holds.
+    """
+    with single_flight(events):
+        schema = "path string, modified timestamp, offset long"
+        passes = store.read(spark, ledger)
+        known = spark.createDataFrame([], schema) if passes is None else passes.groupBy("path").agg(F.max_by(F.struct("modified", "offset"), "pass").alias("last")).select("path", "last.*")
+        changed = logs.changed_files(logs.listed_files(spark, folder), known, largest).persist()
+        try:
+            done = _stored(logs.read_changed(spark, changed), prices, events, rollup)
+            number = 0 if passes is None else passes.agg(F.max("pass")).first()[0] + 1
+            read = changed.select("path", "modified", F.col("length").alias("offset"), F.lit(number).cast("long").alias("pass"))
+            read.write.mode("append").parquet(ledger)
+        finally:
+            changed.unpersist()
+    return done
+
+
 def watch(lines: DataFrame, prices: DataFrame, events: str, rollup: str, checkpoint: str, name: str = "watch", every: str | None = None) -> StreamingQuery:
     """Starts a query, or gives the one that runs under the name. every: a trigger interval; without it, what is there is read once."""
     spark = lines.sparkSession
@@ -53,20 +110,18 @@ def watch(lines: DataFrame, prices: DataFrame, events: str, rollup: str, checkpo
             return query
 
     def batch(rows: DataFrame, _: int) -> None:
-        # Logs and exports are two branches over the same files.
-        rows = rows.persist()
-        try:
-            done = store.append(ingest(rows, prices, F.current_timestamp()), events).first()
-        finally:
-            rows.unpersist()
-        if done["inserted"]:
-            store.refresh_rollup(rows.sparkSession, events, rollup, done["days"])
+        _stored(rows, prices, events, rollup)
 
     writer = lines.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(batch)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
 
 
+def active(spark: SparkSession) -> list[str]:
+    """The names of the queries that run."""
+    return sorted(q.name for q in spark.streams.active if q.name)
+
+
 def stop(spark: SparkSession, name: str = "watch") -> bool:
     """Whether a query of the name ran and was stopped."""
     found = [q for q in spark.streams.active if q.name == name]

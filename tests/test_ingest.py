@@ -97,8 +97,8 @@ def test_secrets_and_tokens(spark):
     assert [r[2] for r in found[3:]] == [0, 0, 2, 1]
     again = rows.select(text.redacted(text.redacted(F.col("t")))).collect()
     assert [r[0] for r in again] == [r[0] for r in found]
-    with pytest.raises(ValueError, match="mode"):
-        text.estimated_tokens(F.col("t"), "odd")
+    odd = rows.select(text.estimated_tokens(F.col("t"), "odd")).collect()
+    assert [r[0] for r in odd[3:]] == [0, 0, 2, 1]
 
 
 def test_reestimate(spark):
@@ -149,9 +149,9 @@ def test_small_tables(spark):
     old = spark.createDataFrame([("a", None, 1), ("b", "x", 2)], "name string, kind string, n int")
     new = spark.createDataFrame([("a", None, 5), ("c", "y", 3)], "name string, kind string, n int")
     assert sorted(tuple(r) for r in store.latest_by(old, new, ["name", "kind"]).fillna("").collect()) == [("a", "", 5), ("b", "x", 2), ("c", "y", 3)]
-    settings = store.Settings(budget_daily_tokens=5, auto_cleanup=True)
+    settings = store.Settings(raw_retention_days=5, auto_cleanup=False, theme="dark")
     assert store.Settings.decoded(settings.encoded(spark)) == settings
-    broken = spark.createDataFrame([("raw_retention_days", "soon"), ("auto_cleanup", "yes"), ("other", "1")], "key string, value string")
+    broken = spark.createDataFrame([("raw_retention_days", "soon"), ("autostart", "yes"), ("other", "1")], "key string, value string")
     assert store.Settings.decoded(broken) == store.Settings()
     imported = store.pricing_import(spark.createDataFrame([('[{"provider": " a ", "model": "m", "input_price_per_million": 2}]',), ('{"rows": [{"provider": "b", "model": "n"}, {"provider": "", "model": "n"}]}',), ("junk",)], "value string"))
     assert sorted((r.provider, r.input_price_per_million) for r in imported.collect()) == [("a", 2.0), ("b", 0.0)]
@@ -169,7 +169,8 @@ def test_files_and_ledger(spark, tmp_path):
     (tmp_path / "c.bin").write_text("x")
     assert logs.read_logs(spark, str(tmp_path)).count() == 3
     files = logs.listed_files(spark, str(tmp_path))
-    ledger = spark.createDataFrame(files.collect(), files.schema)
+    ledger = logs.updated_ledger(spark.createDataFrame([], "path string, modified timestamp, offset long"), files)
+    ledger = spark.createDataFrame(ledger.collect(), ledger.schema)
     assert ledger.count() == 2
     assert logs.changed_files(files, ledger).count() == 0
     (tmp_path / "a.jsonl").write_text(json.dumps(LINES[0]) + "\n" + json.dumps(LINES[3]) + "\n")
