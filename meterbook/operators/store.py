@@ -118,10 +118,14 @@ def compact(spark: SparkSession, path: str, to: str, files: int = 1) -> None:
     spark.read.parquet(path).repartition("event_date", F.pmod(F.xxhash64("event_hash"), F.lit(files))).write.option("compression", "zstd").partitionBy("event_date").parquet(to)
 
 
+def csv_rows(events: DataFrame) -> DataFrame:
+    """The exported columns as texts: costs with six decimals, nulls empty."""
+    return events.select(*[F.format_string("%.6f", F.coalesce(c, F.lit(0.0))).alias(c) if c == "cost_usd" else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in EXPORTED])
+
+
 def export_csv(events: DataFrame, path: str) -> None:
-    """All events as CSV, costs with six decimals, nulls empty."""
-    rows = events.select(*[F.format_string("%.6f", F.coalesce(c, F.lit(0.0))).alias(c) if c == "cost_usd" else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in EXPORTED])
-    rows.write.mode("overwrite").option("header", "true").option("emptyValue", "").csv(path)
+    """All events as CSV."""
+    csv_rows(events).write.mode("overwrite").option("header", "true").option("emptyValue", "").csv(path)
 
 
 def export_json(events: DataFrame, path: str) -> None:

@@ -61,19 +61,19 @@ def test_hash(spark):
 
 def test_dashboard(spark):
     prices = pricing.seed_prices(spark)
-    usage = {"inputTokens": 10, "outputTokens": "5", "cacheReadTokens": 2.6, "totalCents": 42.5}
+    usage = {"inputTokens": 31, "outputTokens": "7", "cacheReadTokens": 4.4, "totalCents": 12.25}
     lines = [
         {"timestamp": "1704164646123", "model": "composer-2.5", "kind": "Included in Pro", "tokenUsage": usage, "chargedCents": 0, "owningUser": "u", "token": "hidden"},
-        {"timestamp": "1704164646124", "model": "x", "kind": "Included", "chargedCents": 8},
-        {"timestamp": "1704164646125", "model": "x", "kind": "Usage-based", "chargedCents": "150.5", "tokenUsage": {}},
+        {"timestamp": "1704164646124", "model": "x", "kind": "Included", "chargedCents": 9},
+        {"timestamp": "1704164646125", "model": "x", "kind": "Usage-based", "chargedCents": "207.5", "tokenUsage": {}},
         {"timestamp": "junk", "model": "x"},
     ]
     rows = sorted(dashboard.from_api(spark.createDataFrame([(json.dumps(x),) for x in lines], "value string"), prices).collect(), key=lambda r: r.timestamp)
-    assert [(round(r.cost_usd, 6), r.exactness, r.event_type) for r in rows] == [(0.425, "mixed", "included"), (0.08, "exact", "included"), (1.505, "exact", "usage_based")]
-    assert (rows[0].total_tokens, rows[0].source_session_id, "hidden" in rows[0].raw_json) == (18, "u", False)
-    table = spark.createDataFrame([("2024-01-02T03:04:05Z", "Included", "composer-2.5", "91383", "758532", "860158", "Included"), ("2024-01-02T03:04:05Z", "Included", "composer-2.5", "91383", "758532", "860158", "Included"), ("1704164646123", "usage", "x", "", "", "5", "$1.50"), ("nonsense", "", "", "", "", "", "")], ["Date", "Kind", "Model", "Input (w/o Cache Write)", "Cache Read", "Total Tokens", "Cost"])
+    assert [(round(r.cost_usd, 6), r.exactness, r.event_type) for r in rows] == [(0.1225, "mixed", "included"), (0.09, "exact", "included"), (2.075, "exact", "usage_based")]
+    assert (rows[0].total_tokens, rows[0].source_session_id, "hidden" in rows[0].raw_json) == (42, "u", False)
+    table = spark.createDataFrame([("2024-01-02T03:04:05Z", "Included", "composer-2.5", "1207", "3310", "5000", "Included"), ("2024-01-02T03:04:05Z", "Included", "composer-2.5", "1207", "3310", "5000", "Included"), ("1704164646123", "usage", "x", "", "", "5", "$1.50"), ("nonsense", "", "", "", "", "", "")], ["Date", "Kind", "Model", "Input (w/o Cache Write)", "Cache Read", "Total Tokens", "Cost"])
     rows = sorted(dashboard.from_csv(table, prices).collect(), key=lambda r: r.total_tokens)
-    assert [(r.total_tokens, r.exactness) for r in rows] == [(5, "exact"), (860158, "mixed")]
+    assert [(r.total_tokens, r.exactness) for r in rows] == [(5, "exact"), (5000, "mixed")]
     assert rows[0].cost_usd == 1.5
     assert dashboard.from_csv(table.drop("Date"), prices).count() == 0
 

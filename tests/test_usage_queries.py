@@ -8,7 +8,7 @@ import sys
 import __spark_entry__ as driver
 import pytest
 from conftest import DATA, same_as_sql
-from meterbook import queries
+from meterbook import ingest_queries, queries  # noqa: F401 - the first registers its queries
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
