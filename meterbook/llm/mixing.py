@@ -126,7 +126,8 @@ def mix_sources(documents: DataFrame, weights: DataFrame, share: float = 1.5, ca
     slots = _slots(sources, block_words, shard_slots, seed)
     b = F.lit(block_words)
     covers = laid.withColumn("block", F.explode(F.sequence(F.expr(f"lo div {block_words}"), F.expr(f"(lo + size * copies - 1) div {block_words}"))))
-    joined = covers.join(slots, ["key", "block"])
+    # Both sides grow with the corpus; an explode's size is not estimated, so the planner must not choose.
+    joined = covers.join(slots.hint("merge"), ["key", "block"])
     starts = F.greatest(F.col("lo"), F.col("block") * b)
     stops = F.least(F.col("lo") + F.col("size") * F.col("copies"), F.col("block") * b + F.col("length"))
     joined = joined.withColumn("from", starts - F.col("lo")).withColumn("to", stops - F.col("lo")).where("`to` > `from`")
