@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents. Whoever runs the pipeline at scale
 writes each stage's result as Parquet and gives the next stage what it reads
 back; `run` does so in the folder that the executors share.
+
+Defined results: null and empty texts have no words and are rejected by the
+quality rules; of repeated rows near_duplicates keeps one; a null doc_id is a
+value like any other and comes last; an empty table gives an empty result at
+every stage; other columns are carried, whatever their names.
 """
 
 from __future__ import annotations
