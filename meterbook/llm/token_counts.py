@@ -1,9 +1,12 @@
 """Token counts under a unigram model, by dynamic programming shared along a trie.
 
-Distinct pre-tokens (words with the word mark before them) are visited in
-sorted order, which is a depth-first walk of their trie: the forward scores of
-a prefix stay on a stack while words share it and are computed once. At a
-word's end its token count is stored; documents then add up stored counts.
+Distinct pre-tokens (words with the word mark before them) go into a trie that
+a task keeps from batch to batch: the forward score of a prefix is computed
+when a word first needs it and stored at its node. Words are visited in sorted
+order, so the path they share is walked once. At a word's end its token count
+is stored; documents then add up stored counts. A trie of more than
+KEPT_PREFIXES nodes takes no more of them (what is not kept is computed again)
+and is begun anew with the next batch.
 
 The forward score of a prefix is the best sum of log-probabilities over its
 segmentations into vocabulary pieces; of equal sums the one with fewer tokens
@@ -29,6 +32,8 @@ from meterbook.llm.text import chunks
 MARK = "▁"
 #: Words whose counts a worker keeps.
 KEPT_WORDS = 300_000
+#: Nodes of a worker's trie.
+KEPT_PREFIXES = 500_000
 
 
 def rank_scores(model_path: str) -> dict[str, float]:
@@ -45,18 +50,27 @@ def rank_scores(model_path: str) -> dict[str, float]:
 
 
 class TrieCounter:
-    """Counts for sorted runs of words; forward scores of the current path are a stack."""
+    """A trie of words with the forward score and the tokens of each prefix; steps counts the scores computed."""
 
-    def __init__(self, scores: dict[str, float]):
+    def __init__(self, scores: dict[str, float], kept: int = KEPT_PREFIXES):
         self.scores = scores
+        self.kept = kept
         self.longest = max(map(len, scores), default=1)
         self.byte_score = min(scores.values(), default=0.0) - 1.0
         self.steps = 0
+        self._clear()
+
+    def _clear(self) -> None:
+        # A child's key is its parent's number and its character; a node that is not kept has number -1 and no children.
+        self.child: dict[int, int] = {}
+        self.best, self.tokens = [0.0], [0]
 
     def counts(self, words: Iterable[str]) -> Iterator[tuple[str, int]]:
         """(word, tokens) for distinct words; sorts them first."""
-        path, best, tokens = "", [0.0], [0]
-        scores, longest = self.scores, self.longest
+        if len(self.best) >= self.kept:
+            self._clear()
+        # The nodes of the current word's prefixes, their scores and tokens.
+        path, nodes, best, tokens = "", [0], [0.0], [0]
         for word in sorted(words):
             marked = MARK + word
             shared = 0
@@ -64,24 +78,41 @@ class TrieCounter:
                 if a != b:
                     break
                 shared += 1
-            del best[shared + 1 :], tokens[shared + 1 :]
+            del nodes[shared + 1 :], best[shared + 1 :], tokens[shared + 1 :]
             for i in range(shared + 1, len(marked) + 1):
-                self.steps += 1
-                n = len(marked[i - 1].encode())
-                top, count = None, 0
-                if marked[i - 1] not in scores:
-                    top, count = best[i - 1] + n * self.byte_score, tokens[i - 1] + n
-                for j in range(max(0, i - longest), i):
-                    s = scores.get(marked[j:i])
-                    if s is not None:
-                        s += best[j]
-                        if top is None or s > top or (s == top and tokens[j] + 1 < count):
-                            top, count = s, tokens[j] + 1
+                key = nodes[-1] << 21 | ord(marked[i - 1])
+                node = self.child.get(key)
+                if node is None:
+                    top, count = self._forward(marked, i, best, tokens)
+                    node = -1
+                    if nodes[-1] >= 0 and len(self.best) < self.kept:
+                        node = self.child[key] = len(self.best)
+                        self.best.append(top)
+                        self.tokens.append(count)
+                else:
+                    top, count = self.best[node], self.tokens[node]
+                nodes.append(node)
                 best.append(top)
                 tokens.append(count)
             path = marked
             yield word, tokens[-1]
 
+    def _forward(self, marked: str, i: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
+        """The best sum and the tokens of the first i characters, from those of shorter prefixes."""
+        self.steps += 1
+        scores = self.scores
+        top, count = None, 0
+        if marked[i - 1] not in scores:
+            n = len(marked[i - 1].encode())
+            top, count = best[i - 1] + n * self.byte_score, tokens[i - 1] + n
+        for j in range(max(0, i - self.longest), i):
+            s = scores.get(marked[j:i])
+            if s is not None:
+                s += best[j]
+                if top is None or s > top or (s == top and tokens[j] + 1 < count):
+                    top, count = s, tokens[j] + 1
+        return top, count
+
 
 def token_counts(documents: DataFrame, scores: dict[str, float]) -> DataFrame:
     """doc_id, n_words, n_tokens for every document."""

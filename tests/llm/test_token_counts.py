@@ -50,6 +50,17 @@ def test_prefixes_are_shared():
     counter = token_counts.TrieCounter({token_counts.MARK: -1.0, "ab": -1.0, "a": -2.0, "b": -2.0, "c": -2.0})
     assert dict(counter.counts(["abc", "abb", "ab"])) == {"ab": 2, "abb": 3, "abc": 3}
     assert counter.steps == 5
+    assert dict(counter.counts(["abbc", "abc"])) == {"abbc": 4, "abc": 3}
+    assert counter.steps == 6
+
+
+def test_full_trie_gives_the_same_counts():
+    scores = token_counts.rank_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    words = [w for _, t, _ in cases.texts() for w in cases.words(t) if len(w) < 100][:400]
+    small = token_counts.TrieCounter(scores, kept=20)
+    for some in (set(words[::2]), set(words[1::2]), set(words)):
+        assert dict(small.counts(some)) == {w: _plain(w, scores) for w in some}
+        assert len(small.best) <= 20
 
 
 def test_empty(spark):
