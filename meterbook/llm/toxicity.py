@@ -5,8 +5,10 @@ function of its distinct words; the document's is the noisy-or of its
 sentences'. The weights are trained from document labels alone, and the
 sentence probabilities then say where a document is toxic.
 
-Training uses at most TRAIN_ROWS labelled rows (those with the smallest hash
-of doc_id), whose words are hashed on the executors. Words in fewer than
+Training uses at most TRAIN_ROWS labelled rows and TRAIN_BYTES of text: whole
+documents in the order of the hash of their doc_id, as far as both bounds
+reach (a document over TRAIN_BYTES is passed over). Their words are hashed on
+the executors; the driver gets no more than the hashes. Words in fewer than
 MIN_DOCUMENTS of these are left out. Scores read nothing but the text.
 
 Defined results: null text counts as empty; a text without words scores 0;
@@ -22,13 +24,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterbook.llm import text as texts
 from meterbook.llm.workspace import stored
 
 TRAIN_ROWS = 8000
+#: Bytes of text that training reads, in UTF-8.
+TRAIN_BYTES = 48 << 20
 MIN_DOCUMENTS = 8
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True
@@ -117,14 +121,19 @@ def fit(labels: np.ndarray, code: np.ndarray, sentence: np.ndarray, owner: np.nd
     return Model(features, w[:-1], float(w[-1]))
 
 
-def train(documents: DataFrame, labels: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS) -> Model:
-    """A model from labels (doc_id, toxic), of which only rows for which keep holds are used."""
+def train(documents: DataFrame, labels: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_BYTES) -> Model:
+    """A model from labels (doc_id, toxic), of which only rows for which keep holds are used; rows and text_bytes bound the sample."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(keep) if keep is not None else known
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = stored(known, "labelled")
-    # At most `rows` ids: bounded by the parameter.
-    chosen = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").limit(rows).select("toxic", "text")
+    texts_of = documents.select("doc_id", "text")
+    # At most `rows` ids, as in every table from here on: one task adds up their sizes.
+    sizes = texts_of.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.where((F.col("size") <= text_bytes) & (F.col("n") <= rows)).select("doc_id", "toxic", F.sum("n").over(so_far).alias("n"), F.sum("size").over(so_far).alias("size"))
+    taken = stored(sizes.where((F.col("n") <= rows) & (F.col("size") <= text_bytes)).select("doc_id", "toxic"), "taken")
+    chosen = texts_of.join(F.broadcast(taken), "doc_id").select("toxic", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
