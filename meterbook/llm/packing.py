@@ -39,6 +39,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one task packs together.
 GROUP_PIECES = 4096
+#: Groups that one task packs one after another, and the tasks up to which each group gets one of its own.
+TASK_GROUPS = 64
+LEAST_TASKS = 1024
 #: Search nodes for each group, besides one descent.
 NODES = 4000
 #: Pieces placed while looking for fillings, for each search node of the budget.
@@ -300,7 +303,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIEC
     full = full.select("*", F.expr("shiftleft(1L, 62) + monotonically_increasing_id()").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("proved"))
     loose = pieces.where(F.col("length") < capacity)
     groups = max(1, -(-loose.count() // group_pieces))
-    loose = loose.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    # A group is few bytes and much search: tasks are counted by groups, since adaptive execution would merge them by bytes.
+    tasks = max(min(groups, LEAST_TASKS), -(-groups // TASK_GROUPS))
+    loose = loose.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))).repartition(tasks, "group")
 
     def packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_numpy()
