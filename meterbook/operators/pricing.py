@@ -1,7 +1,7 @@
 """Model prices: resolving (provider, model) pairs, costs, and upkeep of the price table.
 
-Prices are resolved once for each distinct pair: one join ranks the offers that
-cover it, and the best one is joined to the events by an equi-join.
+Prices are resolved once for each distinct pair: one equi-join finds the offers
+that cover it, and the best one is joined to the events by another.
 """
 
 from __future__ import annotations
@@ -82,6 +82,8 @@ FAMILY_ALIASES = [
 FREE_MODELS = ["go", "zen", "big-pickle"]
 LOCAL_PROVIDERS = ["local", "lmstudio"]
 RATES = ["input_price_per_million", "output_price_per_million", "reasoning_price_per_million", "cache_read_price_per_million", "cache_write_price_per_million"]
+#: Characters by which names that begin alike are brought together.
+STEM = 8
 _CARRIED = [*RATES, "context_window_tokens", "is_local"]
 
 
@@ -148,6 +150,47 @@ def _builtin_prices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, MODEL_PRICING)
 
 
+def _beginning(name: Column, n: int) -> Column:
+    return F.substring(name, 1, n)
+
+
+def _asked(estimate: bool) -> Column:
+    """What a pair looks up at each step: (rank, kind, asked_provider, asked_model). The rows of ranks 8 and 10 are proposals."""
+    look = lambda rank, kind, provider, model: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), provider.alias("asked_provider"), model.alias("asked_model"))
+    provider, model, plain, resold, none = F.col("provider"), F.col("model"), F.col("plain"), F.col("resold"), F.lit("")
+    steps = [
+        look(1, "row", provider, model),
+        look(2, "row", provider, F.lit("any")),
+        F.when(resold & plain.isin(FREE_MODELS), look(3, "row", F.lit("local"), F.lit("any"))),
+        F.when(resold, look(4, "builtin", none, F.col("builtin"))),
+        F.when(resold, look(5, "row", F.col("alias_vendor"), F.col("alias_model"))),
+        F.when(resold, look(6, "row", F.col("vendor"), plain)),
+        F.when(resold, look(7, "named", none, plain)),
+        *[F.when(resold & (F.length(plain) >= n), look(8, "stem", none, _beginning(plain, n))) for n in range(STEM + 1)],
+        F.when(provider.isin(LOCAL_PROVIDERS), look(9, "row", F.lit("local"), F.lit("any"))),
+    ]
+    if estimate:
+        steps += [F.when(F.length(model) >= n, look(10, "own stem", provider, _beginning(model, n))) for n in range(STEM + 1)]
+        steps += [look(10, "own start", provider, _beginning(model, STEM)), look(11, "average", provider, none)]
+    return F.explode(F.array_compact(F.array(*steps)))
+
+
+def _offers(prices: DataFrame, estimate: bool) -> DataFrame:
+    """Prices under each (kind, asked_provider, asked_model) by which they are looked up."""
+    place = lambda kind, provider, model: F.struct(F.lit(kind).alias("kind"), provider.alias("asked_provider"), model.alias("asked_model"))
+    provider, model, none = F.col("provider"), F.col("model"), F.lit("")
+    vendors, own = ~provider.isin(AGGREGATORS), ~F.col("is_local")
+    places = [place("row", provider, model), F.when(vendors, place("named", none, model)), F.when(vendors, place("stem", none, _beginning(model, STEM)))]
+    if estimate:
+        places.append(F.when(own, place("own stem", provider, _beginning(model, STEM))))
+        places += [F.when(own & (F.length(model) >= n), place("own start", provider, _beginning(model, n))) for n in range(STEM + 1)]
+    offer = lambda rows, at: rows.select(at.alias("at"), provider.alias("p_provider"), model.alias("p_model"), *_CARRIED).select("at.*", "p_provider", "p_model", *_CARRIED)
+    offers = offer(prices, F.explode(F.array_compact(F.array(*places)))).unionByName(offer(_builtin_prices(prices.sparkSession), place("builtin", none, model)))
+    if estimate:
+        offers = offers.unionByName(offer(average_prices(prices).withColumn("model", F.lit("average")), place("average", provider, none)))
+    return offers
+
+
 def resolve_pairs(pairs: DataFrame, prices: DataFrame, estimate: bool = False) -> DataFrame:
     """Distinct (provider, model) pairs with rank and the columns of the price that covers them.
 
@@ -155,37 +198,20 @@ def resolve_pairs(pairs: DataFrame, prices: DataFrame, estimate: bool = False) -
     model name (free, built in, family, vendor, same name, longest prefix),
     9 local. With estimate also 10 (the provider's closest name) and 11 (its
     average). Unresolved pairs are left out. Ties go by provider and model.
+
+    Each step is a lookup, so one equi-join serves all; names that only begin
+    alike meet by their first STEM characters. Spark chooses by size whether
+    to broadcast: neither the price table nor the pairs in logs are bounded.
     """
-    spark = pairs.sparkSession
     pairs = pairs.select("provider", "model").where(F.col("provider").isNotNull() & F.col("model").isNotNull()).distinct()
     # Grouping again keeps the name's expression from being repeated in each that uses it.
     pairs = pairs.withColumn("plain", plain_model(F.col("model"))).distinct()
     alias_vendor, alias_model = family_alias(F.col("plain"))
     pairs = pairs.select("*", F.col("provider").isin(AGGREGATORS).alias("resold"), alias_vendor.alias("alias_vendor"), alias_model.alias("alias_model"), vendor_of(F.col("plain")).alias("vendor"), builtin_name(F.col("plain")).alias("builtin"))
-    offer = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), F.col("provider").alias("p_provider"), F.col("model").alias("p_model"), *_CARRIED)
-    offers = offer(prices, "row").unionByName(offer(_builtin_prices(spark), "builtin"))
-    if estimate:
-        offers = offers.unionByName(offer(average_prices(prices).withColumn("model", F.lit("average")), "average"))
-    offers = offers.select("*", F.col("p_provider").isin(AGGREGATORS).alias("reseller"))
-    own, resold, named = F.col("p_provider") == F.col("provider"), F.col("resold"), F.col("p_model") == F.col("plain")
-    local = (F.col("p_provider") == "local") & (F.col("p_model") == "any")
-    row = F.col("kind") == "row"
-    steps = [
-        (row & own & (F.col("p_model") == F.col("model")), 1),
-        (row & own & (F.col("p_model") == "any"), 2),
-        (row & resold & local & F.col("plain").isin(FREE_MODELS), 3),
-        ((F.col("kind") == "builtin") & resold & (F.col("p_model") == F.col("builtin")), 4),
-        (row & resold & (F.col("p_provider") == F.col("alias_vendor")) & (F.col("p_model") == F.col("alias_model")), 5),
-        (row & resold & (F.col("p_provider") == F.col("vendor")) & named, 6),
-        (row & resold & ~F.col("reseller") & named, 7),
-        (row & resold & ~F.col("reseller") & F.col("plain").startswith(F.col("p_model")), 8),
-        (row & local & F.col("provider").isin(LOCAL_PROVIDERS), 9),
-    ]
-    if estimate:
-        close = F.col("model").startswith(F.col("p_model")) | F.col("p_model").startswith(F.col("model"))
-        steps += [(row & own & ~F.col("is_local") & close, 10), ((F.col("kind") == "average") & own, 11)]
-    # Offers are the rows of the price table; pairs may be many, as logs name them, so they are the side that stays in place.
-    found = pairs.join(F.broadcast(offers), reduce(lambda a, b: a | b, [c for c, _ in steps])).select("provider", "model", _ladder([(c, F.lit(rank)) for c, rank in steps]).alias("rank"), "p_provider", "p_model", *_CARRIED)
+    asked = pairs.select("provider", "model", "plain", _asked(estimate).alias("look")).select("provider", "model", "plain", "look.*")
+    fits = F.when(F.col("kind") == "stem", F.col("plain").startswith(F.col("p_model"))).when(F.col("kind") == "own stem", F.col("model").startswith(F.col("p_model")))
+    fits = fits.when(F.col("kind") == "own start", F.col("p_model").startswith(F.col("model"))).otherwise(True)
+    found = asked.join(_offers(prices, estimate), ["kind", "asked_provider", "asked_model"]).where(fits)
     order = F.struct("rank", (-F.length("p_model")).alias("shorter"), "p_provider", "p_model", *_CARRIED)
     return found.groupBy("provider", "model").agg(F.min(order).alias("best")).select("provider", "model", *[f"best.{c}" for c in ("rank", "p_provider", "p_model", *_CARRIED)])
 
@@ -262,7 +288,7 @@ def bulk_summary(prices: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: received, inserted, updated, skipped (blank keys)."""
     blank = (F.trim(F.coalesce("provider", F.lit(""))) == "") | (F.trim(F.coalesce("model", F.lit(""))) == "")
     known = prices.select("provider", "model", F.lit(True).alias("known"))
-    marked = rows.withColumn("blank", blank).join(F.broadcast(known), ["provider", "model"], "left")
+    marked = rows.withColumn("blank", blank).join(known, ["provider", "model"], "left")
     usable = ~F.col("blank")
     return marked.agg(F.count(F.lit(1)).alias("received"), F.count_if(usable & F.col("known").isNull()).alias("inserted"), F.count_if(usable & F.col("known").isNotNull()).alias("updated"), F.count_if("blank").alias("skipped"))
 

@@ -81,3 +81,32 @@ def test_alerts_come_once_a_day(spark):
     log = spark.createDataFrame([(r.type, r.threshold, r.severity, r.title, r.message, r.date, None) for r in first.collect()], ALERTS)
     log = alerts.acknowledged(log, "monthly_cost", 50, day, dt.datetime(2024, 1, 31))
     assert [r.threshold for r in alerts.latest(log, 5, open_only=True).collect()] == [80, 50]
+
+
+def test_names_that_begin_alike(spark):
+    """Ranks 8 and 10 against plain Python, with names shorter and longer than the stem, and empty ones."""
+    names = ["", "a", "ab", "abcdefg", "abcdefgh", "abcdefghi", "abcdefghij", "abcdefgX", "b", "any-thing", "gpt-5", "abcdefghi-free"]
+    rate = (1.0, 1.0, 0.0, 0.0, 0.0)
+    prices = _table(spark, *[("v", n, rate) for n in names[::2]], *[("together", n, rate) for n in names[1:6:2]])
+    models = [*names, "abcdefghijkl", "abcdefghXYZ", "zz", "abc"]
+    pairs = spark.createDataFrame([(p, m) for p in ("v", "together", "w") for m in models], "provider string, model string")
+    own = {"v": names[::2], "together": names[1:6:2], "w": []}
+
+    def expected(provider, model, estimate):
+        plain = model.removesuffix("-free")
+        if model in own[provider]:
+            return 1, model
+        if provider == "together" and plain in own["v"]:
+            return 7, plain
+        begun = [n for n in own["v"] if plain.startswith(n)] if provider == "together" else []
+        if begun:
+            return 8, max(begun, key=len)
+        close = [n for n in own[provider] if model.startswith(n) or n.startswith(model)] if estimate else []
+        if close:
+            return 10, min(close, key=lambda n: (-len(n), n))
+        return (11, "average") if estimate and own[provider] else None
+
+    for estimate in (False, True):
+        found = {(r.provider, r.model): (r["rank"], r.p_model) for r in pricing.resolve_pairs(pairs, prices, estimate).collect()}
+        want = {(p, m): expected(p, m, estimate) for p in own for m in models}
+        assert found == {k: v for k, v in want.items() if v is not None}
