@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm import ann, cascade, fixity, mixing, ngram_join, packing, pii, substring, token_counts, toxicity
+from meterbook.llm import ann, cascade, fim, fixity, mixing, ngram_join, packing, pii, substring, token_counts, toxicity
 from meterbook.llm.workspace import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,27 @@ d AS (SELECT page_id, file, decayed, CAST(strlen(whole) AS BIGINT) AS length, sh
 SELECT page_id, file, CAST(row_number() OVER o - 1 AS BIGINT) AS number, CAST(sum(length) OVER o - length AS BIGINT) AS "offset", length, digest, NOT decayed AS intact
 FROM d WINDOW o AS (PARTITION BY file ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """
+
+
+@_query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into prefix, middle and suffix by code points, and digests of the output and of the text restored from it."""
+    made = fim.transformed(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    output, form = F.col("fim.output"), F.col("fim.form")
+    digests = F.sha2(output, 256).alias("output_sha256"), F.sha2(fim.restored(output, form), 256).alias("restored_sha256")
+    return made.select("doc_id", "fim.n", "fim.form", F.col("fim.prefix_units").alias("prefix_chars"), F.col("fim.middle_units").alias("middle_chars"), *digests)
+
+
+ORACLE_SQL["op12_fill_in_middle"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS c2, CAST('0x' || h[17:24] AS BIGINT) % 100 AS c3, CAST('0x' || h[25:32] AS BIGINT) % 100 AS c4 FROM t),
+f AS (
+  SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c3 >= 90 THEN 'plain' WHEN c4 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
