@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm import ann, cascade, fim, fixity, mixing, ngram_join, packing, pii, substring, token_counts, toxicity
+from meterbook.llm import ann, cascade, fim, fixity, mixing, ngram_join, packing, pii, prefix_trie, substring, token_counts, toxicity
 from meterbook.llm.workspace import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,37 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
   sha256(text) AS restored_sha256
 FROM p
 """
+
+
+@_query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of conversations, each rebuilt on the first turns of the conversation that opens its block of twenty."""
+    turns = prefix_trie.turns(_read(spark, sf_dir, "conversations"))
+    nodes = prefix_trie.trie(prefix_trie.branched(turns, stride=20, most=4))
+    return nodes.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+# The first list is CRC-32 by its polynomial: each byte, then eight shifts.
+ORACLE_SQL["op13_conversation_trie"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, turn, role, sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text) AS d, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, d) AS i FROM s),
+bytes AS (SELECT DISTINCT conv_id, list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))) AS b FROM t),
+c AS (SELECT conv_id, xor(list_reduce(b, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 4 AS h FROM bytes),
+r AS (
+  SELECT c.conv_id, 0 AS own, o.i, o.d, o.words FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.i <= c.h
+  UNION ALL SELECT o.conv_id, 1, o.i, o.d, o.words FROM o JOIN c ON o.conv_id = c.conv_id WHERE o.i > c.h),
+g AS (SELECT c.conv_id, coalesce(list(r.d ORDER BY r.own, r.i) FILTER (WHERE r.d IS NOT NULL), []) AS ds, list(r.words ORDER BY r.own, r.i) FILTER (WHERE r.d IS NOT NULL) AS ws FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+p AS (SELECT conv_id, ds, ws, unnest(range(len(ds) + 1)) AS depth FROM g),
+q AS (SELECT conv_id, depth, array_to_string(ds[1:depth], '') AS k, CASE WHEN depth > 0 THEN ws[depth] ELSE 0 END AS words, depth = len(ds) AS ends FROM p),
+n AS (
+  SELECT depth, k, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM q GROUP BY depth, k),
+ch AS (SELECT depth - 1 AS depth, left(k, 64 * (depth - 1)) AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(ch.n_children, 0) AS n_children FROM n LEFT JOIN ch ON n.depth = ch.depth AND n.k = ch.k),
+a AS (SELECT unnest(range(depth + 1)) AS top, k, n_children = 0 AS leaf, (n_convs - 1) * words AS saved FROM v),
+u AS (SELECT top, left(k, 64 * top) AS k, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved) AS saved FROM a GROUP BY ALL)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, w.conv_id AS parent_conv_id, v.n_convs, CAST(v.n_children AS BIGINT) AS n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN u ON u.top = v.depth AND u.k = v.k LEFT JOIN n AS w ON w.depth = v.depth - 1 AND w.k = left(v.k, 64 * (v.depth - 1))
+"""
