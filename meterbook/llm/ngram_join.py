@@ -39,6 +39,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -144,12 +145,12 @@ def _once(keys: np.ndarray) -> np.ndarray:
     return once & (keys != 0)
 
 
-def _features(rows: DataFrame, like: Similarity) -> DataFrame:
+def _features(rows: DataFrame, like: Similarity, screen: Screen) -> DataFrame:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in texts.chunks(batch):
                 sets = sets_of(part.column("text"), like.width)
-                yield pa.record_batch([part.column("doc_id"), part.column("mark"), pa.array(sets.sizes), pa.array(texts.signed(sets.keys())), pa.array(sets.compact(like.compact_bits), pa.binary())], ["doc_id", "mark", "n_shingles", "key", "compact"])
+                yield pa.record_batch([part.column("doc_id"), part.column("mark"), pa.array(sets.sizes), pa.array(texts.signed(sets.keys())), pa.array(screen.kept(sets), pa.binary())], ["doc_id", "mark", "n_shingles", "key", "compact"])
 
     return rows.mapInArrow(features, "doc_id long, mark long, n_shingles long, key long, compact binary")
 
@@ -255,20 +256,48 @@ def compare_cell(keys: np.ndarray, query: np.ndarray, part: np.ndarray, sets: li
     return links
 
 
-def _opened(classes: DataFrame, cells: DataFrame, like: Similarity) -> DataFrame:
-    """The rows of cells (cell, key, part, query) that their compact sets don't rule out."""
+class Screen(Protocol):
+    """What is kept of each set, which of its shingles lead it, and what that rules out."""
+
+    def kept(self, sets: Sets) -> list[bytes]:
+        """Of each set, what is stored for its class as `compact`."""
+
+    def leading(self, rows: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
+        """(shingle, key, n, common) of every class: two similar sets share one. limit: most frequent values that order them."""
+
+    def may(self, query: np.ndarray, part: np.ndarray, sizes: np.ndarray, kept: list[bytes]) -> np.ndarray:
+        """Whether each query and each member of a cell may have a link to one of another part."""
+
+
+@dataclass(frozen=True)
+class CompactSets:
+    """The screen of the token-group matrix."""
+
+    like: Similarity
+
+    def kept(self, sets: Sets) -> list[bytes]:
+        return sets.compact(self.like.compact_bits)
+
+    def leading(self, rows: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
+        return _leading(rows, self.like, limit)
+
+    def may(self, query: np.ndarray, part: np.ndarray, sizes: np.ndarray, kept: list[bytes]) -> np.ndarray:
+        return open_cell(query, part, sizes, [np.frombuffer(b, np.uint32) for b in kept], self.like)
+
+
+def _opened(classes: DataFrame, cells: DataFrame, screen: Screen) -> DataFrame:
+    """The rows of cells (cell, key, part, query) that the screen doesn't rule out."""
 
     def opened(table: pa.Table) -> pa.Table:
-        compact = [np.frombuffer(b.as_py(), np.uint32) for b in table.column("compact")]
-        may = open_cell(table.column("query").to_numpy(), table.column("part").to_numpy(), table.column("n").to_numpy(), compact, like)
+        may = screen.may(table.column("query").to_numpy(), table.column("part").to_numpy(), table.column("n").to_numpy(), table.column("compact").to_pylist())
         return table.select(["cell", "key", "part", "query"]).filter(pa.array(may))
 
     return cells.join(classes.select("key", "n", "compact"), "key").groupBy("cell").applyInArrow(opened, "cell long, key long, part long, query boolean")
 
 
-def _verified(rows: DataFrame, classes: DataFrame, cells: DataFrame, like: Similarity, broadcast_bytes: int, own: Scratch) -> DataFrame:
+def _verified(rows: DataFrame, classes: DataFrame, cells: DataFrame, like: Similarity, screen: Screen, broadcast_bytes: int, own: Scratch) -> DataFrame:
     """Links (a, b) found in cells (cell, key, part, query); whole sets are computed from one document of each class that is still in question."""
-    wanted = own.stored(_opened(classes, cells, like).groupBy("key").agg(F.first("part").alias("part"), F.collect_set(F.struct("cell", "query")).alias("cells")).join(classes.select("key", "doc_id", "mark"), "key"), "cells")
+    wanted = own.stored(_opened(classes, cells, screen).groupBy("key").agg(F.first("part").alias("part"), F.collect_set(F.struct("cell", "query")).alias("cells")).join(classes.select("key", "doc_id", "mark"), "key"), "cells")
     size = wanted.agg(F.sum(96 + 40 * F.size("cells"))).first()[0] or 0
     chosen = wanted.select(F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark"), "key", "part", "cells")
     chosen = F.broadcast(chosen) if size <= broadcast_bytes else chosen.hint("merge")
@@ -299,28 +328,28 @@ def _with_component(df: DataFrame, found: DataFrame) -> DataFrame:
     return df.join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
-def ngram_components(documents: DataFrame, like: Similarity = Similarity(), frequent: int = FREQUENT, rounds: int = LEADER_ROUNDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:  # noqa: B008
+def ngram_components(documents: DataFrame, like: Similarity = Similarity(), frequent: int = FREQUENT, rounds: int = LEADER_ROUNDS, broadcast_bytes: int = BROADCAST_BYTES, screen: Screen | None = None) -> DataFrame:  # noqa: B008
     """doc_id, mark (hash of the text), n_shingles, component, component_id of every document.
 
     component numbers the components (null for texts without words);
     component_id is the smallest doc_id of each.
     """
-    rows = _rows(documents)
+    rows, screen = _rows(documents), screen or CompactSets(like)
     with scratch() as own:
-        features = own.stored(_features(rows, like), "features")
-        named = own.stored(_named_classes(rows, features, like, frequent, rounds, broadcast_bytes, own), "named")
+        features = own.stored(_features(rows, like, screen), "features")
+        named = own.stored(_named_classes(rows, features, like, screen, frequent, rounds, broadcast_bytes, own), "named")
         some = features.where("n_shingles > 0").join(named, "key").select("doc_id", "mark", "n_shingles", "component", "component_id")
         none = features.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
         return stored(some.unionByName(none), "components")
 
 
-def _named_classes(rows: DataFrame, features: DataFrame, like: Similarity, frequent: int, rounds: int, broadcast_bytes: int, own: Scratch) -> DataFrame:
+def _named_classes(rows: DataFrame, features: DataFrame, like: Similarity, screen: Screen, frequent: int, rounds: int, broadcast_bytes: int, own: Scratch) -> DataFrame:
     """key, component, component_id of every class."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
     classes = features.where("n_shingles > 0").groupBy("key").agg(first.alias("one"), F.first("n_shingles").alias("n"), F.first("compact").alias("compact"))
     classes = own.stored(classes.select("key", "n", "compact", "one.doc_id", "one.mark"), "classes")
 
-    leading = own.stored(_leading(rows, like, frequent), "leading")
+    leading = own.stored(screen.leading(rows, classes, frequent), "leading")
     held = own.stored(leading.groupBy("shingle").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("shingle"), "held")
     lists = own.stored(leading.join(held, "shingle").distinct(), "lists")
     own.release(leading)
@@ -341,12 +370,12 @@ def _named_classes(rows: DataFrame, features: DataFrame, like: Similarity, frequ
         slices = own.stored(slices, "slices")
         asked = pairs.join(slices, "leader").select(F.xxhash64("leader", F.pmod(F.xxhash64("key"), "slices")).alias("cell"), "key", F.col("key").alias("part"), F.lit(True).alias("query"))
         given = slices.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("s"), "leader").select(F.xxhash64("leader", "s").alias("cell"), F.col("leader").alias("key"), F.col("leader").alias("part"), F.lit(False).alias("query"))
-        links = links.unionByName(_verified(rows, classes, asked.unionByName(given), like, broadcast_bytes, own))
+        links = links.unionByName(_verified(rows, classes, asked.unionByName(given), like, screen, broadcast_bytes, own))
         found = components(links)
         own.tables.append(found)
 
     placed = own.stored(_with_component(lists, found), "placed")
-    found = components(links.unionByName(_verified(rows, classes, _matrix_cells(placed, like, own), like, broadcast_bytes, own)))
+    found = components(links.unionByName(_verified(rows, classes, _matrix_cells(placed, like, own), like, screen, broadcast_bytes, own)))
     own.tables.append(found)
 
     named = own.stored(_with_component(classes.select("key", "doc_id"), found), "named")

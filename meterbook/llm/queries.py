@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm import ann, cascade, fim, fixity, mixing, ngram_join, packing, pii, prefix_trie, substring, token_counts, toxicity
+from meterbook.llm import ann, bottom_k, cascade, fim, fixity, mixing, ngram_join, packing, pii, prefix_trie, substring, token_counts, toxicity
 from meterbook.llm.workspace import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,3 +211,10 @@ u AS (SELECT top, left(k, 64 * top) AS k, count(*) FILTER (WHERE leaf) AS n_leav
 SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, w.conv_id AS parent_conv_id, v.n_convs, CAST(v.n_children AS BIGINT) AS n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, v.ends_sha256
 FROM v JOIN u ON u.top = v.depth AND u.k = v.k LEFT JOIN n AS w ON w.depth = v.depth - 1 AND w.k = left(v.k, 64 * (v.depth - 1))
 """
+
+
+@_query
+def op11_sketch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-shingle sets have a Jaccard similarity of at least 0.85, found by sketches of 64 values."""
+    found = bottom_k.near_duplicates(_read(spark, sf_dir, "documents"), ngram_join.Similarity(3, 85, 100))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
