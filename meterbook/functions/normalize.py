@@ -1,20 +1,21 @@
 """JSON events of many shapes as canonical usage events.
 
-A line is parsed once with a schema that names every key of interest; a field
-whose JSON type doesn't fit is null, so 1.5 and "7" are not token counts. Only
-lines without counts at the known places are walked in depth, in Python.
+A line is parsed once; a field whose JSON type doesn't fit is null, so 1.5, "7"
+and numbers beyond 64 bits are not token counts. Lines without counts at the
+known places are searched in depth.
+
+Defined results: a line that is not one JSON object is left out, as are those
+with text or a second object behind the first, with a key twice in one object,
+or nested deeper than the parser goes (1000 levels).
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from meterbook.functions.hashing import event_hash
+from meterbook.functions.variants import deep_whole, first_text, first_whole, once, with_parsed
 
 # The keys under which logs hold counts, and the objects that hold such keys.
 INPUT = ["input_tokens", "prompt_tokens", "inputTokens", "input", "prompt"]
@@ -41,15 +42,14 @@ def _spelled(keys: list[str]) -> list[str]:
 
 
 _COUNTS = _spelled([*INPUT, *OUTPUT, *TOTAL, *REASONING, *READ_NESTED, *READ, *WRITE_NESTED, *WRITE, "tokens"])
-_LEAF = ", ".join(f"`{k}`: long" for k in _COUNTS)
-_HOLDER = "struct<" + _LEAF + ", " + ", ".join(f"`{d}`: struct<{_LEAF}>" for d in DETAILS) + ">"
 _TEXTS = ["model", "modelID", "provider", "providerID", "role", "messageRole", "type", "eventType", "model_id", "provider_id", "message_role", "event_type", "project_path", "timestamp", "createdAt", "created_at", "time", "ts"]
 _TOP = [k for k in _COUNTS if k != "tokens"]
-SCHEMA = ", ".join([f"`{t}` string" for t in _TEXTS] + [f"`{k}` long" for k in _TOP] + [f"`{h}` {_HOLDER}" for h in [*HOLDERS, *DETAILS, "tools", "tool"]])
+_OBJECTS = [*HOLDERS, *DETAILS, "tools", "tool"]
+SCHEMA = "struct<" + ", ".join([f"`{t}`: variant" for t in [*_TEXTS, *_TOP]] + [f"`{h}`: map<string, variant>" for h in _OBJECTS]) + ">"
 
 
 def _first(columns: list[Column]) -> Column:
-    return F.coalesce(*columns, F.lit(0).cast("long"))
+    return F.coalesce(first_whole(columns), F.lit(0).cast("long"))
 
 
 def _top(j: Column, keys: list[str]) -> Column:
@@ -57,36 +57,18 @@ def _top(j: Column, keys: list[str]) -> Column:
 
 
 def _nested(j: Column, parents: list[str], keys: list[str]) -> Column:
+    """A count of the first of some objects that holds one, in itself or in its details."""
     found = []
     for p in parents:
-        found += [j[p][k] for k in _spelled(keys)]
-        found += [j[p][d][k] for d in DETAILS for k in _spelled(keys)]
-    return _first(found)
-
-
-def _walk(value: object, keys: list[str]) -> int:
-    if not isinstance(value, dict):
-        return 0
-    for k in keys:
-        if type(value.get(k)) is int:
-            return value[k]
-    for name in sorted(value):
-        found = _walk(value[name], keys)
-        if found > 0:
-            return found
-    return 0
+        members = j[p]
+        details = [F.when(members[d].isNotNull(), first_whole([F.try_variant_get(members[d], f"$.{k}", "variant") for k in _spelled(keys)])) for d in DETAILS]
+        found.append(F.when(members.isNotNull(), F.coalesce(first_whole([members[k] for k in _spelled(keys)]), *details)))
+    return F.coalesce(*found, F.lit(0).cast("long"))
 
 
 _DEEP = {"input": _spelled(["input_tokens", "prompt_tokens", "input"]), "output": _spelled(["output_tokens", "completion_tokens", "output"]), "total": _spelled(["total_tokens", "total"])}
 
 
-@F.pandas_udf(StructType([StructField(name, LongType()) for name in _DEEP]))
-def _deep(raw: pd.Series) -> pd.DataFrame:
-    """Counts at any depth of the objects of a line; 0 for null."""
-    parsed = [json.loads(t) if t is not None else None for t in raw]
-    return pd.DataFrame({name: [_walk(v, keys) for v in parsed] for name, keys in _DEEP.items()}, dtype="int64")
-
-
 def detected_provider(model: Column) -> Column:
     m = F.lower(model)
     openai = m.startswith("gpt-") | m.startswith("o1") | m.startswith("o3") | m.startswith("o4")
@@ -147,31 +129,32 @@ def normalized(lines: DataFrame, ingest_time: Column, extended_paths: bool = Fal
     """
     path = F.col("path") if "path" in lines.columns else F.lit(None).cast("string")
     value = F.trim("value")
-    rows = lines.select(value.alias("raw"), path.alias("raw_source_path")).where(F.col("raw").startswith("{") & F.try_parse_json("raw").isNotNull())
-    session = [F.get_json_object("raw", f"$.{at}{k}") for at in ("", "info.") for k in SESSION]
-    rows = rows.withColumn("source_session_id", F.coalesce(*session)).withColumn("j", F.from_json("raw", SCHEMA))
+    rows = with_parsed(lines.select(value.alias("raw"), path.alias("raw_source_path")).where(F.col("raw").startswith("{")), "raw", "v").where("v is not null")
+    rows = once(rows, "j", F.try_variant_get("v", "$", SCHEMA))
     j = F.col("j")
-    text = lambda *keys: F.coalesce(*[j[k] for k in keys])
-    for name, keys in (("input", INPUT), ("output", OUTPUT), ("total", TOTAL)):
-        rows = rows.withColumn(f"t_{name}", _top(j, keys)).withColumn(f"n_{name}", _nested(j, HOLDERS, keys))
-    lacking = F.least(*[F.greatest(f"t_{n}", f"n_{n}") for n in _DEEP]) <= 0
-    rows = rows.withColumn("deep", _deep(F.when(lacking, F.col("raw"))))
-    pick = lambda n: F.when(F.col(f"t_{n}") > 0, F.col(f"t_{n}")).when(F.col(f"n_{n}") > 0, F.col(f"n_{n}")).otherwise(F.col(f"deep.{n}"))
+    text = lambda *keys: first_text([j[k] for k in keys])
+    # By path, as two of these names differ in case alone.
+    session = first_text([F.try_variant_get("v", f"$.{at}{k}", "variant") for at in ("", "info.") for k in SESSION])
+    counts = [c for name, keys in (("input", INPUT), ("output", OUTPUT), ("total", TOTAL)) for c in (_top(j, keys).alias(f"t_{name}"), _nested(j, HOLDERS, keys).alias(f"n_{name}"))]
+    rows = once(rows, "known", F.struct(*counts, text("model", "modelID", "model_id").alias("model"))).select("raw", "raw_source_path", "v", "j", "known.*")
+    known = lambda n: F.when(F.col(f"t_{n}") > 0, F.col(f"t_{n}")).when(F.col(f"n_{n}") > 0, F.col(f"n_{n}"))
+    pick = lambda n: F.coalesce(known(n), deep_whole(F.col("v"), F.col("raw"), _DEEP[n]))
     reasoning = F.greatest(_nested(j, [*HOLDERS, "output_tokens_details", "completion_tokens_details"], REASONING), _top(j, REASONING))
     read = F.greatest(_nested(j, ["info", "usage", "prompt_tokens_details", "cache"], READ_NESTED), _top(j, READ))
     write = F.greatest(_nested(j, ["info", "usage", "prompt_tokens_details", "cache"], WRITE_NESTED), _top(j, WRITE))
     if extended_paths:
-        at = lambda k: F.coalesce(F.get_json_object("raw", f"$.info.tokens.{k}").try_cast("long"), F.lit(0))
+        at = lambda k: _first([F.try_variant_get("v", f"$.info.tokens.{k}", "variant")])
         reasoning, read, write = F.greatest(reasoning, at("reasoning")), F.greatest(read, at("cache_read")), F.greatest(write, at("cache_write"))
-    model = text("model", "modelID", "model_id")
-    rows = rows.select(
-        "raw", "raw_source_path", "source_session_id", model.alias("model"), F.coalesce(text("provider", "providerID", "provider_id"), detected_provider(model)).alias("provider"),
-        text("role", "messageRole", "message_role").alias("message_role"), F.coalesce(text("type", "eventType", "event_type"), F.lit("unknown")).alias("event_type"), j["project_path"].alias("project_path"),
-        F.coalesce(*[parsed_time(j[k]) for k in ("timestamp", "createdAt", "created_at", "time", "ts")], ingest_time).alias("timestamp"),
+    model = F.col("model")
+    event = F.struct(
+        session.alias("source_session_id"), model.alias("model"), F.coalesce(text("provider", "providerID", "provider_id"), detected_provider(model)).alias("provider"),
+        text("role", "messageRole", "message_role").alias("message_role"), F.coalesce(text("type", "eventType", "event_type"), F.lit("unknown")).alias("event_type"), text("project_path").alias("project_path"),
+        F.coalesce(*[parsed_time(first_text([j[k]], ("STRING", "BIGINT"))) for k in ("timestamp", "createdAt", "created_at", "time", "ts")], ingest_time).alias("timestamp"),
         pick("input").alias("input_tokens"), pick("output").alias("output_tokens"), reasoning.alias("reasoning_tokens"), read.alias("cache_read_tokens"), write.alias("cache_write_tokens"),
         _nested(j, ["info", "tools", "tool"], ["tokens"]).alias("tool_tokens"), pick("total").alias("known_total"),
         ((F.greatest("t_input", "t_output", "t_total") > 0) | (F.greatest("n_input", "n_output") > 0)).alias("explicit"),
     )
+    rows = once(rows, "event", event).select("raw", "raw_source_path", "event.*")
     counted = F.when(F.col("known_total") > 0, F.col("known_total")).otherwise(F.col("input_tokens") + F.col("output_tokens") + F.col("reasoning_tokens"))
     rows = rows.withColumn("total_tokens", counted)
     some = F.greatest("input_tokens", "output_tokens", "total_tokens") > 0

@@ -48,6 +48,25 @@ def ingest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_session_id", "provider", "model", "event_type", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "input_tokens", "output_tokens", "reasoning_tokens", "total_tokens", "exactness", "confidence")
 
 
+@_query(f"""WITH {_E}, {_AB}, k AS (SELECT *, event_id % 8 AS shape, 'awk-' || event_id AS name FROM x)
+SELECT name AS model, CASE shape WHEN 0 THEN a WHEN 4 THEN a ELSE 0 END AS input_tokens, CASE WHEN shape IN (0, 3, 4) THEN b ELSE 0 END AS output_tokens, CASE shape WHEN 0 THEN a + b WHEN 3 THEN b WHEN 4 THEN a + b ELSE a END AS total_tokens,
+  CASE WHEN shape IN (0, 3, 5) THEN 'exact' ELSE 'unknown' END AS exactness, CASE WHEN shape IN (0, 3, 5) THEN 0.95e0 ELSE 0.4e0 END AS confidence FROM k WHERE shape IN (0, 3, 4, 5, 7)
+UNION ALL SELECT name || '-2', 0, 0, b, 'exact', 0.95e0 FROM k WHERE shape = 5""")
+def ingest_awkward_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with text or an object behind their own, broken off, with a number of 30 digits, with counts far down or in several places, and arrays."""
+    name, a, b = F.concat(F.lit('"model":"awk-'), F.col("event_id").cast("string"), F.lit('"')), F.col("a").cast("string"), F.col("b").cast("string")
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    plain = line("{", name, ',"usage":{"input_tokens":', a, ',"output_tokens":', b, "}}")
+    shapes = [
+        plain, line(plain, " trailing"), line(plain, '{"model":"other"}'), line("{", name, ',"input_tokens":123456789012345678901234567', a, ',"output_tokens":', b, "}"),
+        line('{"p":{"q":{"r":{"input":', a, ',"output":', b, '}},"list":[{"input":77}]},', name, "}"), line(" [{", name, ',"total":', a, "},7,{", F.substring(name, F.lit(1), F.length(name) - 1), '-2","total":', b, "}]"),
+        line("{", name, ',"input_tokens":', a), line('{"z":{"total":5},"m":{"total":0},', name, ',"n":{"k":{"total":', a, "}}}"),
+    ]
+    lines = _events(spark, sf_dir).select(F.element_at(F.array(*shapes), (F.col("event_id") % 8 + 1).cast("int")).alias("value"))
+    rows = normalized(logs.json_lines(lines), F.lit(NEVER).cast("timestamp"))
+    return rows.select("model", "input_tokens", "output_tokens", "total_tokens", "exactness", "confidence")
+
+
 _LE = lambda n: f"unhex(array_to_string(list_reverse(regexp_extract_all(format('{{:016x}}', {n}), '..')), ''))"
 
 

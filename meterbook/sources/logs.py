@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from meterbook.functions.dashboard import CSV_COLUMNS, CSV_REQUIRED
 from meterbook.functions.normalize import detected_provider, instant, with_hash
+from meterbook.functions.variants import with_parsed
 
 # The extensions of logs.
 LINES, DOCUMENTS, EXPORTS = ("jsonl", "log", "ndjson", "txt"), ("json",), ("csv",)
@@ -91,12 +92,15 @@ def read_changed(spark: SparkSession, files: DataFrame) -> DataFrame:
 
 
 def json_lines(lines: DataFrame) -> DataFrame:
-    """One row a JSON object: arrays are opened, blank and broken lines left out. lines: value, and optionally path."""
+    """One row a text that may be a JSON object, by its first and last character: arrays are opened, blank lines and others left out. lines: value, and optionally path.
+
+    Objects are parsed by whoever reads their fields, once.
+    """
     more = [c for c in lines.columns if c != "value"]
-    rows = lines.select(F.trim("value").alias("value"), *more).where("value <> ''")
-    parts = F.when(F.col("value").startswith("["), F.from_json("value", "array<variant>"))
-    opened = rows.withColumn("part", F.explode_outer(parts)).withColumn("value", F.when(F.col("value").startswith("["), F.to_json("part")).otherwise(F.col("value"))).drop("part")
-    return opened.where(F.try_parse_json("value").isNotNull())
+    rows = lines.select(F.trim("value").alias("value"), *more)
+    arrays = with_parsed(rows.where(F.col("value").startswith("[")), "value", "parsed").select(F.explode(F.try_variant_get("parsed", "$", "array<variant>")).alias("part"), *more)
+    opened = rows.unionByName(arrays.select(F.to_json("part").alias("value"), *more))
+    return opened.where(F.col("value").startswith("{") & F.col("value").endswith("}"))
 
 
 def _glob(extensions: tuple[str, ...]) -> str:
@@ -122,17 +126,14 @@ def _export_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def log_values(text: Callable[[str, bool], DataFrame]) -> DataFrame:
     """value and path of all files in EXTENSIONS: lines, .json documents, and one JSON object a row of a CSV export. text: reads the files of a glob by lines or whole.
 
-    A .json file whose first line is a document of its own, or that isn't JSON as a whole, is taken by lines.
+    A .json file that isn't one JSON value is taken by lines.
     """
 
     def read(extensions: tuple[str, ...], whole: bool) -> DataFrame:
         return text(_glob(extensions), whole).select(F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("path"))
 
-    # The parser stops at the end of the first document, so lines must be told by the first one.
-    first = F.regexp_extract("value", r"^\s*([^\r\n]*)", 1)
-    whole = F.try_parse_json("value").isNotNull() & F.try_parse_json(first).isNull()
-    parts = F.when(whole, F.array("value")).otherwise(F.split("value", "\r?\n"))
-    documents = read(DOCUMENTS, True).select(F.explode(parts).alias("value"), "path")
+    parts = F.when(F.col("parsed").isNotNull(), F.array("value")).otherwise(F.split("value", "\r?\n"))
+    documents = with_parsed(read(DOCUMENTS, True), "value", "parsed").select(F.explode(parts).alias("value"), "path")
     return read(LINES, False).unionByName(documents).unionByName(read(EXPORTS, True).mapInArrow(_export_rows, "value string, path string"))
 
 
