@@ -30,39 +30,56 @@ def read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _days(events: DataFrame) -> list[dt.date]:
-    """The days of an append: as many as it touches."""
-    return [r[0] for r in events.select("event_date").distinct().collect()]
+def days_of(events: DataFrame) -> list[dt.date | None]:
+    """The days of some events, None for those without a time: as many as an append touches."""
+    return [r[0] for r in events.select(F.to_date("timestamp").alias("d")).distinct().collect()]
 
 
-def append(events: DataFrame, path: str) -> DataFrame:
-    """Adds the events that the store lacks; one row: received, inserted, days (those touched)."""
+def on_days(days: list[dt.date | None], column: str = "event_date") -> Column:
+    """Whether a date, which may be null, is one of some days."""
+    known = F.col(column).isin([d for d in days if d is not None])
+    return known | F.col(column).isNull() if None in days else known
+
+
+def append(events: DataFrame, path: str, days: list[dt.date | None] | None = None) -> DataFrame:
+    """Adds the events that the store lacks; one row: received, inserted, days (those touched).
+
+    Events without a time lie in a day of their own, null. Equal hashes have
+    equal times, so the store is asked by hash within the touched days.
+    """
     spark = events.sparkSession
     events = events.withColumn("event_date", F.to_date("timestamp")).persist()
     try:
         received, fresh = events.count(), events.dropDuplicates(["event_hash"])
-        touched = _days(events)
+        touched = days_of(events) if days is None else days
         held = read(spark, path)
         if held is not None:
-            fresh = fresh.join(held.where(F.col("event_date").isin(touched)).select("event_date", "event_hash"), ["event_date", "event_hash"], "left_anti")
-        before = 0 if held is None else held.where(F.col("event_date").isin(touched)).count()
-        fresh.repartition("event_date", F.pmod(F.xxhash64("event_hash"), F.lit(8))).write.mode("append").option("compression", "zstd").partitionBy("event_date").parquet(path)
-        inserted = spark.read.parquet(path).where(F.col("event_date").isin(touched)).count() - before
+            fresh = fresh.join(held.where(on_days(touched)).select("event_hash"), "event_hash", "left_anti").select(*events.columns)
+        inserted = fresh.persist().count()
+        if inserted:
+            fresh.repartition("event_date", F.pmod(F.xxhash64("event_hash"), F.lit(8))).write.mode("append").option("compression", "zstd").partitionBy("event_date").parquet(path)
+        fresh.unpersist()
         return spark.createDataFrame([(received, inserted, touched)], "received long, inserted long, days array<date>")
     finally:
         events.unpersist()
 
 
-def refresh_rollup(spark: SparkSession, store: str, rollup: str, days: list[dt.date] | None = None) -> None:
+def refresh_rollup(spark: SparkSession, store: str, rollup: str, days: list[dt.date | None] | None = None) -> None:
     """Makes the rollup's days anew (all, if none are named); other days stay, and named days without events any more go."""
-    events = spark.read.parquet(store)
+    events = read(spark, store)
+    if events is None:
+        return
     if days is not None:
-        events = events.where(F.col("event_date").isin(days))
+        events = events.where(on_days(days))
     daily_rollup(events).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if days is not None else "static").partitionBy("date").parquet(rollup)
-    for day in set(days or []) - set(_days(events)):
+    for day in set(days or []) - set(days_of(events)):
         # A dynamic overwrite leaves partitions that it has no rows for.
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{rollup}/date={day}")
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete_partition(spark, rollup, "date", day)
+
+
+def delete_partition(spark: SparkSession, path: str, column: str, day: dt.date | None) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={day or '__HIVE_DEFAULT_PARTITION__'}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def upserted_sessions(sessions: DataFrame, events: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ import io
 import json
 import sys
 from collections.abc import Callable, Iterator
-from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
@@ -18,13 +17,12 @@ from pyspark.sql import functions as F
 from meterbook.functions.dashboard import CSV_COLUMNS, CSV_REQUIRED
 from meterbook.functions.normalize import detected_provider, instant, with_hash
 from meterbook.functions.variants import with_parsed
+from meterbook.sources import growing
 
 # The extensions of logs.
 LINES, DOCUMENTS, EXPORTS = ("jsonl", "log", "ndjson", "txt"), ("json",), ("csv",)
 EXTENSIONS = (*LINES, *DOCUMENTS, *EXPORTS)
 EXPORT_BATCH = 4096
-#: Grown files of up to this size are read from where the last scan ended; larger ones as a whole, by lines.
-WHOLE_BYTES = 256 << 20
 # Models of the generated sample, by provider; the other numbers of the sample are in sample_events.
 SAMPLE_MODELS = {
     "openai": ["gpt-5.5", "gpt-5.4", "gpt-5.4-mini", "o4-mini"],
@@ -60,35 +58,20 @@ def skipped_files(files: DataFrame, largest: int) -> DataFrame:
 
 
 def updated_ledger(ledger: DataFrame, files: DataFrame) -> DataFrame:
-    """The ledger after the files were read to their ends."""
-    read = files.select("path", "modified", F.col("length").alias("offset"))
+    """The ledger after the files were read to their ends: to `stop`, where with_ends has set it."""
+    read = files.select("path", "modified", F.col("stop" if "stop" in files.columns else "length").alias("offset"))
     return ledger.join(read.select("path"), "path", "left_anti").select("path", "modified", "offset").unionByName(read)
 
 
-def tail_lines(content: Column, start: Column) -> Column:
-    """The lines of a file's bytes from a start on; a line that began before the start is left out."""
-    rest = F.substring(content, (start + 1).cast("int"), F.length(content)).cast("string")
-    before = F.substring(content, start.cast("int"), F.lit(1))
-    clean = (start == 0) | before.isin(F.lit(b"\n"), F.lit(b"\r"))
-    return F.split(F.when(clean, rest).otherwise(F.regexp_replace(rest, r"^[^\r\n]*", "")), "\r?\n")
+def read_changed(files: DataFrame) -> DataFrame:
+    """value and path of what changed_files found and growing.with_ends measured (path, start, stop): files of lines from their start, by ranges, others as a whole."""
+    extension = F.lower(F.substring_index("path", ".", -1))
 
+    def text(extensions: tuple[str, ...], whole: bool) -> DataFrame:
+        chosen = files.where(extension.isin(*extensions))
+        return growing.read_whole(chosen) if whole else growing.read_ranges(chosen)
 
-def read_changed(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """value and path of what changed_files (path, length, start) found: grown files of lines from their start, all others as a whole.
-
-    The paths come to the driver, as Spark's readers take them: they are those
-    of one scan's changed files.
-    """
-    grown = F.col("start").between(1, F.col("length")) & (F.col("length") <= WHOLE_BYTES)
-    chosen = files.select("path", "start", grown.alias("grown")).collect()
-    parts = [json_lines(spark.createDataFrame([], "value string, path string"))]
-    if whole := [r["path"] for r in chosen if not r["grown"]]:
-        parts.append(read_logs(spark, whole))
-    if tails := [r["path"] for r in chosen if r["grown"]]:
-        starts = files.where(grown).select("path", "start")
-        rows = spark.read.format("binaryFile").load(tails).select("path", "content").join(starts, "path")
-        parts.append(json_lines(rows.select(F.explode(tail_lines(F.col("content"), F.col("start"))).alias("value"), "path")))
-    return reduce(DataFrame.unionByName, parts)
+    return json_lines(log_values(text))
 
 
 def json_lines(lines: DataFrame) -> DataFrame:
@@ -103,7 +86,7 @@ def json_lines(lines: DataFrame) -> DataFrame:
     return opened.where(F.col("value").startswith("{") & F.col("value").endswith("}"))
 
 
-def _glob(extensions: tuple[str, ...]) -> str:
+def glob_of(extensions: tuple[str, ...]) -> str:
     """Files with one of the extensions, in any case."""
     return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in extensions) + "}"
 
@@ -123,20 +106,25 @@ def _export_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"value": some, "path": [path.as_py()] * len(some)})
 
 
-def log_values(text: Callable[[str, bool], DataFrame]) -> DataFrame:
-    """value and path of all files in EXTENSIONS: lines, .json documents, and one JSON object a row of a CSV export. text: reads the files of a glob by lines or whole.
+def log_values(text: Callable[[tuple[str, ...], bool], DataFrame]) -> DataFrame:
+    """value and path of all files in EXTENSIONS: lines, .json documents, and one JSON object a row of a CSV export. text: value and path of the files with some extensions, by lines or whole.
 
     A .json file that isn't one JSON value is taken by lines.
     """
 
     def read(extensions: tuple[str, ...], whole: bool) -> DataFrame:
-        return text(_glob(extensions), whole).select(F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("path"))
+        return text(extensions, whole).select(F.regexp_replace("value", "^\ufeff", "").alias("value"), "path")
 
     parts = F.when(F.col("parsed").isNotNull(), F.array("value")).otherwise(F.split("value", "\r?\n"))
     documents = with_parsed(read(DOCUMENTS, True), "value", "parsed").select(F.explode(parts).alias("value"), "path")
     return read(LINES, False).unionByName(documents).unionByName(read(EXPORTS, True).mapInArrow(_export_rows, "value string, path string"))
 
 
+def with_path(texts: DataFrame) -> DataFrame:
+    """value and path of what Spark's reader of texts gives."""
+    return texts.select("value", F.col("_metadata.file_path").alias("path"))
+
+
 def of_export(path: Column) -> Column:
     """Whether a value is a row of a CSV export."""
     return F.coalesce(F.lower(F.substring_index(path, ".", -1)).isin(*EXPORTS), F.lit(False))
@@ -150,7 +138,7 @@ def export_table(values: DataFrame) -> DataFrame:
 
 def read_logs(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """value and path of the JSON objects in log files: a .json file holds one document, others one object a line; a row of a CSV export is an object of its columns."""
-    return json_lines(log_values(lambda glob, whole: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(paths, wholetext=whole)))
+    return json_lines(log_values(lambda extensions, whole: with_path(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob_of(extensions)).text(paths, wholetext=whole))))
 
 
 def _field(data: Column, *keys: str) -> Column:

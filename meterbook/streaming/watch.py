@@ -1,17 +1,13 @@
-"""Folders of logs as streams into the event store.
+"""Folders of logs as streams into the event store, and single passes over them.
 
-A stream takes a file once, when it appears: it suits producers that rotate
-files. For producers that append to a file, `scan` reads what has been added
-since the ledger's offsets, and is called again and again; one scan of a store
-runs at a time. Late events are always taken: the days that a batch touches are
-rolled up anew.
+Both read what producers append to files of lines; a pass (`scan`) also reads
+documents and exports that have changed. Late events are always taken: the days
+that a batch touches are rolled up anew.
 """
 
 from __future__ import annotations
 
-import threading
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 from meterbook.functions.dashboard import from_csv
 from meterbook.functions.normalize import first_of_each, normalized
 from meterbook.functions.text import private
-from meterbook.operators import store
+from meterbook.operators import passes, store
 from meterbook.operators.pricing import priced
-from meterbook.sources import logs
+from meterbook.sources import growing, logs
 from meterbook.sources.logs import export_table, json_lines, log_values, of_export
 
 
@@ -40,66 +36,76 @@ def ingest(lines: DataFrame, prices: DataFrame, ingest_time: Column, redact: boo
 
 
 def lines_of(spark: SparkSession, folder: str, files_per_batch: int = 100, archive: str | None = None) -> DataFrame:
-    """A stream of the lines, documents and CSV rows of new files (at most files_per_batch of each of the three); read files are moved to the archive, if there is one."""
+    """A stream of the lines, documents and CSV rows below a folder.
 
-    def text(glob: str, whole: bool) -> DataFrame:
-        reader = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch)
+    Files of lines may grow: what is added to them is read as it comes. With an
+    archive every file counts as finished, is read once and moved there. Of
+    files that are read once a batch takes at most files_per_batch of each kind.
+    """
+
+    def text(extensions: tuple[str, ...], whole: bool) -> DataFrame:
+        if not whole and not archive:
+            return growing.line_stream(spark, folder, extensions)
+        reader = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", logs.glob_of(extensions)).option("maxFilesPerTrigger", files_per_batch)
         if archive:
             reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-        return reader.text(folder, wholetext=whole)
+        return logs.with_path(reader.text(folder, wholetext=whole))
 
     return log_values(text)
 
 
-def _stored(rows: DataFrame, prices: DataFrame, events: str, rollup: str) -> Row:
+def _stored(rows: DataFrame, prices: DataFrame, events: str, rollup: str, notes: passes.Notes, memory: Callable[[int], dict]) -> Row:
+    """One pass: the events of some lines into the store and the rollup. memory: what the pass with a number remembers, called last."""
+    spark = rows.sparkSession
+    passes.repair(notes, lambda days: store.refresh_rollup(spark, events, rollup, days))
     # Logs and exports are two branches over the same files.
     rows = rows.persist()
+    found = ingest(rows, prices, F.current_timestamp()).persist()
     try:
-        done = store.append(ingest(rows, prices, F.current_timestamp()), events).first()
+        days = store.days_of(found)
+        number = passes.begin(notes, days)
+        done = store.append(found, events, days).first()
+        if done["inserted"]:
+            store.refresh_rollup(spark, events, rollup, days)
+        passes.commit(notes, number, memory(number))
     finally:
+        found.unpersist()
         rows.unpersist()
-    if done["inserted"]:
-        store.refresh_rollup(rows.sparkSession, events, rollup, done["days"])
     return done
 
 
-_busy: set[str] = set()
-_guard = threading.Lock()
-
-
-@contextmanager
-def single_flight(name: str) -> Iterator[None]:
-    """Lets one holder of a name in at a time; another one fails at once."""
-    with _guard:
-        if name in _busy:
-            raise RuntimeError(f"{name} is being worked on already")
-        _busy.add(name)
-    try:
-        yield
-    finally:
-        with _guard:
-            _busy.discard(name)
-
+def scan(spark: SparkSession, folder: str, prices: DataFrame, events: str, rollup: str, ledger: str, largest: int | None = None, ttl: float = passes.TTL) -> Row:
+    """One pass over a folder: what is new or added since the last pass goes into the store, then the ledger follows. received, inserted, days.
 
-def scan(spark: SparkSession, folder: str, prices: DataFrame, events: str, rollup: str, ledger: str, largest: int | None = None) -> Row:
-    """One pass over a folder: what is new or added since the last pass goes into the store, then the ledger (a Parquet folder) follows. received, inserted, days.
-
-    A pass that fails leaves the ledger as it was; the next one reads the same
-    again, and the store drops what it holds.
+    The ledger is a folder with a Parquet table of all files for each of the
+    last two passes; the committed pass names the one that holds. A pass that
+    breaks off leaves it as it was: the next one repairs the rollup and reads
+    the same again, and the store drops what it holds. Of several drivers one
+    works on a store, and the others fail at once.
     """
-    with single_flight(events):
+    with passes.lease(spark, events, ttl) as notes:
         schema = "path string, modified timestamp, offset long"
-        passes = store.read(spark, ledger)
-        known = spark.createDataFrame([], schema) if passes is None else passes.groupBy("path").agg(F.max_by(F.struct("modified", "offset"), "pass").alias("last")).select("path", "last.*")
-        changed = logs.changed_files(logs.listed_files(spark, folder), known, largest).persist()
+        name = passes.remembered(notes).get("ledger")
+        known = spark.read.schema(schema).parquet(f"{ledger}/{name}") if name else spark.createDataFrame([], schema)
+        changed = growing.with_ends(logs.changed_files(logs.listed_files(spark, folder), known, largest), logs.LINES).persist()
+
+        def ledger_after(number: int) -> dict:
+            logs.updated_ledger(known, changed).coalesce(8).write.mode("overwrite").parquet(f"{ledger}/state-{number}")
+            _keep_only(spark, ledger, {name, f"state-{number}"})
+            return {"ledger": f"state-{number}"}
+
         try:
-            done = _stored(logs.read_changed(spark, changed), prices, events, rollup)
-            number = 0 if passes is None else passes.agg(F.max("pass")).first()[0] + 1
-            read = changed.select("path", "modified", F.col("length").alias("offset"), F.lit(number).cast("long").alias("pass"))
-            read.write.mode("append").parquet(ledger)
+            return _stored(logs.read_changed(changed), prices, events, rollup, notes, ledger_after)
         finally:
             changed.unpersist()
-    return done
+
+
+def _keep_only(spark: SparkSession, folder: str, names: set[str | None]) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store_of = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store_of.listStatus(at):
+        if status.getPath().getName() not in names:
+            store_of.delete(status.getPath(), True)
 
 
 def watch(lines: DataFrame, prices: DataFrame, events: str, rollup: str, checkpoint: str, name: str = "watch", every: str | None = None) -> StreamingQuery:
@@ -110,7 +116,8 @@ def watch(lines: DataFrame, prices: DataFrame, events: str, rollup: str, checkpo
             return query
 
     def batch(rows: DataFrame, _: int) -> None:
-        _stored(rows, prices, events, rollup)
+        with passes.lease(spark, events, wait=passes.TTL) as notes:
+            _stored(rows, prices, events, rollup, notes, lambda _: passes.remembered(notes))
 
     writer = lines.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(batch)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)

@@ -1,0 +1,107 @@
+"""Passes that break off, that meet, and that bring nothing or events without a time."""
+
+from __future__ import annotations
+
+import datetime as dt
+import json
+import os
+import time
+
+import pytest
+from meterbook.operators import passes, pricing, store
+from meterbook.streaming import watch
+from pyspark.sql import functions as F
+
+
+def _line(i: int) -> str:
+    return json.dumps({"model": f"m{i}", "timestamp": f"2024-03-0{1 + i % 3}T00:00:00Z", "input_tokens": 10 + i, "output_tokens": 1})
+
+
+def _plain(lines, *_):
+    """Events of the lines above, without the rules of ingestion, which have tests of their own."""
+    rows = lines.select(F.from_json("value", "model string, timestamp timestamp, input_tokens long, output_tokens long").alias("j"), F.md5("value").alias("event_hash")).select("j.*", "event_hash").where("model is not null").dropDuplicates(["event_hash"])
+    zero = [F.lit(0).cast("long").alias(c) for c in ("reasoning_tokens", "cache_read_tokens", "cache_write_tokens", "cost_usd")]
+    return rows.select("*", (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"), *zero, *[F.lit("x").alias(c) for c in ("provider", "project_id", "session_id")], F.lit(False).alias("ignored"))
+
+
+@pytest.fixture
+def place(spark, tmp_path, monkeypatch):
+    """(folder, the scan over it, sums of the store and of the rollup, its tables)."""
+    monkeypatch.setattr(watch, "ingest", _plain)
+    folder, paths = tmp_path / "in", [f"{tmp_path}/{x}" for x in ("events", "daily", "ledger")]
+    folder.mkdir()
+    prices = pricing.seed_prices(spark)
+    sums = lambda: [None if store.read(spark, p) is None else store.read(spark, p).agg(F.sum("total_tokens")).first()[0] for p in paths[:2]]
+    return folder, lambda **more: watch.scan(spark, str(folder), prices, *paths, **more), sums, paths
+
+
+@pytest.mark.parametrize(("owner", "name", "after"), [(store, "append", False), (store, "refresh_rollup", False), (store, "refresh_rollup", True), (watch, "_keep_only", False), (passes, "commit", False)])
+def test_a_pass_that_breaks_off_is_repaired(place, monkeypatch, owner, name, after):
+    """Before the append, between it and the rollup, between that and the ledger, and before the commit."""
+    folder, scan, sums, _ = place
+    (folder / "a.log").write_text(_line(0) + "\n")
+    scan()
+    (folder / "a.log").open("a").write(_line(1) + "\n" + _line(2) + "\n")
+    real = getattr(owner, name)
+
+    def broken(*args, **more):
+        if after:
+            real(*args, **more)
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(owner, name, broken)
+        scan()
+    done = scan()
+    assert sums() == [36, 36]
+    assert done.received == 2
+    (folder / "b.log").write_text(_line(3) + "\n")
+    assert (scan().inserted, scan().received, sums()) == (1, 0, [50, 50])
+
+
+def test_one_driver_at_a_time(spark, place):
+    folder, scan, sums, paths = place
+    (folder / "a.log").write_text(_line(0) + "\n")
+    began = time.monotonic()
+    with passes.lease(spark, paths[0]), pytest.raises(RuntimeError, match="already"):
+        scan()
+    assert time.monotonic() - began < 20
+    # A driver that was killed leaves its lease, which runs out.
+    passes.Notes(spark, paths[0]).create("lease", "someone else")
+    with pytest.raises(RuntimeError, match="already"):
+        scan()
+    os.utime(f"{paths[0]}/_passes/lease", (time.time() - 99, time.time() - 99))
+    assert (scan(ttl=60).inserted, sums()) == (1, [11, 11])
+
+
+def test_lease_is_renewed(spark, tmp_path):
+    with passes.lease(spark, str(tmp_path), ttl=2) as notes:
+        time.sleep(4)
+        assert notes.age("lease") < 2
+    assert notes.names() == []
+    assert (notes.create("n", "1"), notes.create("n", "2"), notes.read("n"), notes.names()) == (True, False, "1", ["n"])
+
+
+def test_empty_first_pass(spark, place):
+    folder, scan, sums, _ = place
+    assert tuple(scan()) == (0, 0, [])
+    (folder / "a.log").write_text("no event\n")
+    assert (scan().received, sums()) == (0, [None, None])
+    (folder / "a.log").open("a").write(_line(0) + "\n")
+    assert (scan().inserted, sums()) == (1, [11, 11])
+
+
+def test_events_without_a_time_are_kept_once(spark, tmp_path):
+    path, daily = f"{tmp_path}/events", f"{tmp_path}/daily"
+    rows = [("h1", None, 5), ("h1", None, 5), ("h2", dt.datetime(2024, 1, 1), 7)]
+    columns = ["cost_usd", *[c for c in ("input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "cache_write_tokens")]]
+    events = spark.createDataFrame(rows, "event_hash string, timestamp timestamp, total_tokens long").select("*", *[F.lit(0).cast("long").alias(c) for c in columns], *[F.lit("x").alias(c) for c in ("provider", "model", "project_id", "session_id")], F.lit(False).alias("ignored"))
+    first = store.append(events, path).first()
+    assert (first.received, first.inserted, set(first.days)) == (3, 2, {None, dt.date(2024, 1, 1)})
+    store.refresh_rollup(spark, path, daily, first.days)
+    again = store.append(events.where("timestamp is null"), path).first()
+    assert (again.inserted, again.days) == (0, [None])
+    more = store.append(events.where("timestamp is null").withColumn("event_hash", F.lit("h3")), path).first()
+    assert more.inserted == 1
+    store.refresh_rollup(spark, path, daily, more.days)
+    assert {(r.date, r.total_tokens) for r in spark.read.parquet(daily).collect()} == {(None, 10), (dt.date(2024, 1, 1), 7)}
