@@ -134,19 +134,20 @@ def remembered(notes: Notes) -> dict:
     return json.loads(notes.read(f"{done[-1]}.done")) if done else {}
 
 
-def repair(notes: Notes, refresh: Callable[[list[dt.date | None]], None]) -> None:
-    """Rolls up the days of passes that broke off."""
+def repair(notes: Notes, redo: Callable[[list[dt.date | None], dict], None]) -> None:
+    """Does again what passes that broke off may have left undone: redo gets their days, and what else they noted."""
     done = _numbered(notes, "done")
     for number in _numbered(notes, "begun"):
         if number not in done:
-            refresh(_dates(json.loads(notes.read(f"{number}.begun"))))
+            noted = json.loads(notes.read(f"{number}.begun"))
+            redo(dates(noted.pop("days")), noted)
             commit(notes, number, remembered(notes))
 
 
-def begin(notes: Notes, days: list[dt.date | None]) -> int:
-    """The number of a new pass that is going to touch some days."""
+def begin(notes: Notes, days: list[dt.date | None], **more: object) -> int:
+    """The number of a new pass that is going to touch some days; more is noted with them."""
     number = 1 + max([0, *_numbered(notes, "begun"), *_numbered(notes, "done")])
-    if not notes.create(f"{number}.begun", json.dumps([d and d.isoformat() for d in days])):
+    if not notes.create(f"{number}.begun", json.dumps({"days": texts(days), **more})):
         raise RuntimeError(f"pass {number} has begun elsewhere")
     return number
 
@@ -161,5 +162,9 @@ def commit(notes: Notes, number: int, memory: dict) -> None:
                 notes.delete(f"{n}.{kind}")
 
 
-def _dates(days: list[str | None]) -> list[dt.date | None]:
+def texts(days: list[dt.date | None]) -> list[str | None]:
+    return [d and d.isoformat() for d in days]
+
+
+def dates(days: list[str | None]) -> list[dt.date | None]:
     return [d and dt.date.fromisoformat(d) for d in days]

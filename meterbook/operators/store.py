@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 from dataclasses import asdict, dataclass, fields
 from functools import reduce
 
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from meterbook.operators.rollup import daily_rollup
+from meterbook.operators import passes
+from meterbook.operators.rollup import daily_rollup, session_days
 
 EXPORTED = ["timestamp", "event_type", "provider", "model", "message_role", "input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "cache_write_tokens", "total_tokens", "cost_usd", "exactness", "event_hash"]
 
@@ -65,21 +67,101 @@ def append(events: DataFrame, path: str, days: list[dt.date | None] | None = Non
 
 
 def refresh_rollup(spark: SparkSession, store: str, rollup: str, days: list[dt.date | None] | None = None) -> None:
-    """Makes the rollup's days anew (all, if none are named); other days stay, and named days without events any more go."""
+    """Makes the rollup's days anew (all, if none are named), and its session days beside it; other days stay, and named days without events any more go."""
     events = read(spark, store)
     if events is None:
         return
     if days is not None:
         events = events.where(on_days(days))
-    daily_rollup(events).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if days is not None else "static").partitionBy("date").parquet(rollup)
+    mode = "dynamic" if days is not None else "static"
+    for table, path in ((daily_rollup(events), rollup), (session_days(events), session_days_path(rollup))):
+        table.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("date").parquet(path)
     for day in set(days or []) - set(days_of(events)):
         # A dynamic overwrite leaves partitions that it has no rows for.
-        delete_partition(spark, rollup, "date", day)
+        for path in (rollup, session_days_path(rollup)):
+            _delete(spark, _day_path(path, "date", day))
 
 
-def delete_partition(spark: SparkSession, path: str, column: str, day: dt.date | None) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={day or '__HIVE_DEFAULT_PARTITION__'}")
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def session_days_path(rollup: str) -> str:
+    return rollup.rstrip("/") + "_sessions"
+
+
+def _day_path(path: str, column: str, day: dt.date | None) -> str:
+    return f"{path}/{column}={day or '__HIVE_DEFAULT_PARTITION__'}"
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple[object, object]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, at = _hadoop(spark, path)
+    files.delete(at, True)
+
+
+def held_days(spark: SparkSession, path: str) -> list[dt.date | None]:
+    """The days that a store has folders for; no file is read."""
+    files, at = _hadoop(spark, path)
+    if not files.exists(at):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(at)]
+    texts = [n.partition("=")[2] for n in names if n.startswith("event_date=")]
+    return [None if t == "__HIVE_DEFAULT_PARTITION__" else dt.date.fromisoformat(t) for t in texts]
+
+
+def expire(spark: SparkSession, path: str, as_of: dt.date, days: int) -> int:
+    """Deletes the stored events of all days more than `days` before as_of; their number. Whole days go, nothing is rewritten; the rollup keeps them.
+
+    Events without a time have no age and stay.
+    """
+    with passes.lease(spark, path):
+        old = [d for d in held_days(spark, path) if d is not None and d < as_of - dt.timedelta(days=days)]
+        if not old:
+            return 0
+        deleted = read(spark, path).where(on_days(old)).count()
+        for day in old:
+            _delete(spark, _day_path(path, "event_date", day))
+        return deleted
+
+
+def remove_sources(spark: SparkSession, path: str, rollup: str, ids: DataFrame) -> int:
+    """Deletes the stored events of some sources (id); their number. The days that held any are written anew, and rolled up anew; others aren't touched.
+
+    What stays of these days is written aside first, and noted; then each day's
+    folder is replaced. A removal that breaks off before the note has changed
+    nothing, and one after it is finished by the next pass.
+    """
+    with passes.lease(spark, path) as notes:
+        passes.repair(notes, lambda days, noted: redo_pass(spark, path, rollup, days, noted))
+        events = read(spark, path)
+        if events is None:
+            return 0
+        gone = events.join(ids.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi")
+        touched = {r["event_date"]: r["n"] for r in gone.groupBy("event_date").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not touched:
+            return 0
+        aside = f"{path}/_replacing-{uuid.uuid4().hex}"
+        kept = without_sources(events.where(on_days(list(touched))), ids).select(*events.columns)
+        kept.repartition("event_date", F.pmod(F.xxhash64("event_hash"), F.lit(8))).write.option("compression", "zstd").partitionBy("event_date").parquet(aside)
+        left = held_days(spark, aside)
+        number = passes.begin(notes, list(touched), aside=aside, emptied=passes.texts([d for d in touched if d not in left]))
+        redo_pass(spark, path, rollup, list(touched), {"aside": aside, "emptied": passes.texts([d for d in touched if d not in left])})
+        passes.commit(notes, number, passes.remembered(notes))
+        return sum(touched.values())
+
+
+def redo_pass(spark: SparkSession, path: str, rollup: str, days: list[dt.date | None], noted: dict) -> None:
+    """Finishes the replacement of days, if one was noted, and rolls days up anew. Doing it twice does no harm."""
+    if aside := noted.get("aside"):
+        for day in passes.dates(noted["emptied"]):
+            _delete(spark, _day_path(path, "event_date", day))
+        for day in held_days(spark, aside):
+            files, staged = _hadoop(spark, _day_path(aside, "event_date", day))
+            _delete(spark, _day_path(path, "event_date", day))
+            files.rename(staged, _hadoop(spark, _day_path(path, "event_date", day))[1])
+        _delete(spark, aside)
+    refresh_rollup(spark, path, rollup, days)
 
 
 def upserted_sessions(sessions: DataFrame, events: DataFrame) -> DataFrame:

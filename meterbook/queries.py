@@ -117,6 +117,32 @@ def overview_period_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analytics.period(events_of(spark, sf_dir), ANTHROPIC))
 
 
+_KEPT = f"""SELECT {_SUMS}, {_COSTS}, count(DISTINCT session_id) AS sessions, round(coalesce(CAST(sum(total_tokens) AS DOUBLE) / nullif(count(DISTINCT session_id), 0), 0), 9) AS tokens_per_session,
+  round(coalesce(CAST(sum(reasoning_tokens) AS DOUBLE), 0) / greatest(coalesce(sum(input_tokens + output_tokens), 0), 1) * 100, 9) AS reasoning_pct, round(coalesce(CAST(sum(input_tokens) AS DOUBLE) / nullif(sum(output_tokens), 0), 0), 9) AS input_output_ratio FROM c WHERE """
+
+
+def _kept_period(spark: SparkSession, sf_dir: str, f: QueryFilter) -> DataFrame:
+    events = events_of(spark, sf_dir)
+    return rounded(rollup.period(rollup.daily_rollup(events), rollup.session_days(events), f))
+
+
+@_query(_EC + _KEPT + _FORTNIGHT)
+def rollup_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and distinct sessions of a fortnight, from the daily rollup and its session days."""
+    return _kept_period(spark, sf_dir, FORTNIGHT)
+
+
+@_query(_EC + _KEPT + _FORTNIGHT + " AND provider = 'anthropic' AND project_id = 3")
+def rollup_period_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_period(spark, sf_dir, ANTHROPIC)
+
+
+@_query(_EC + f"SELECT CAST(project_id AS VARCHAR) AS key, {_SUM('input_tokens')}, {_SUM('output_tokens')}, {_SUM('total_tokens')}, {_COSTS}, count(DISTINCT session_id) AS sessions FROM c GROUP BY 1")
+def rollup_breakdown_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = events_of(spark, sf_dir)
+    return rounded(rollup.breakdown(rollup.daily_rollup(events), rollup.session_days(events), ALL, "project_id"))
+
+
 @_query(_EC + f"SELECT {_SUM('total_tokens')}, {_COSTS} FROM c WHERE day BETWEEN DATE '2023-12-27' AND DATE '2024-01-09' AND provider = 'anthropic' AND project_id = 3")
 def overview_prev_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analytics.previous_period(events_of(spark, sf_dir), ANTHROPIC))

@@ -57,7 +57,7 @@ def lines_of(spark: SparkSession, folder: str, files_per_batch: int = 100, archi
 def _stored(rows: DataFrame, prices: DataFrame, events: str, rollup: str, notes: passes.Notes, memory: Callable[[int], dict]) -> Row:
     """One pass: the events of some lines into the store and the rollup. memory: what the pass with a number remembers, called last."""
     spark = rows.sparkSession
-    passes.repair(notes, lambda days: store.refresh_rollup(spark, events, rollup, days))
+    passes.repair(notes, lambda days, noted: store.redo_pass(spark, events, rollup, days, noted))
     # Logs and exports are two branches over the same files.
     rows = rows.persist()
     found = ingest(rows, prices, F.current_timestamp()).persist()

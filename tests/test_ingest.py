@@ -239,8 +239,22 @@ def test_stream_of_every_kind(spark, tmp_path):
 
 def test_baseline_in_chunks(spark):
     values = [(i * 37) % 101 for i in range(100)]
-    rows = spark.createDataFrame([(i, i // 9, v) for i, v in enumerate(values)], "i long, slot_of long, v long").repartition(4)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v long").repartition(4)
     want = {i: sorted(values[i - 7 : i])[3] for i in range(7, 100)}
     for chunk in (16, 1000):
-        found = insights.with_baseline(rows, ["i"], F.col("slot_of"), "v", chunk)
+        found = insights.with_baseline(rows, ["i"], "v", chunk)
         assert {r.i: r.baseline for r in found.collect()} == want
+
+
+def test_rows_of_one_hour_are_split(spark):
+    """Ties in the first column of the order, as of sessions that end together, don't meet in one partition."""
+    rows = spark.range(20000).select(F.lit(1).alias("hour"), F.xxhash64("id").alias("session"), "id").repartition(5)
+    # Few bytes would be put together again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = insights.numbered(rows, ["hour", "session"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranks = {r.session: r.place for r in placed.collect()}
+    assert [ranks[s] for s in sorted(ranks)] == list(range(20000))
+    assert placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 10000
