@@ -221,6 +221,49 @@ def price_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("provider", "model", F.col("rank").cast("int").alias("rank"), "input_price_per_million")
 
 
+def _nation_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vendor's price table: a model for each nation, one in four of them local."""
+    n = F.col("n_nationkey")
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("vendor-"), F.col("n_regionkey").cast("string")).alias("provider"), F.concat(F.lit("nation-"), n.cast("string")).alias("model"), *[((n + i + 1) / 4).alias(r) for i, r in enumerate(pricing.RATES)], (n % 4 == 0).alias("is_local"))
+    return pricing.seed_prices(spark).limit(0).unionByName(rows, allowMissingColumns=True)
+
+
+@_query("""WITH w AS (SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN 'together' ELSE 'vendor-' || s_suppkey % 5 END AS provider, CASE s_suppkey % 4 WHEN 3 THEN 'hosts/' ELSE '' END || 'Nation-' || s_nationkey || CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN '-large' ELSE '5-Preview' END AS model FROM supplier),
+m AS (SELECT *, regexp_replace(regexp_extract(lower(model), '[^/]*$'), '-preview$', '') AS plain FROM w),
+n AS (SELECT 'nation-' || n_nationkey AS name, 'vendor-' || n_regionkey AS vendor, (n_nationkey + 1) / 4.0e0 AS price FROM nation),
+f AS (SELECT m.provider, m.model, n.price, CASE WHEN m.plain = n.name THEN 7 ELSE 8 END AS rank, row_number() OVER (PARTITION BY m.provider, m.model ORDER BY CASE WHEN m.plain = n.name THEN 7 ELSE 8 END, length(n.name) DESC, n.vendor) AS best FROM m JOIN n ON starts_with(m.plain, n.name) WHERE m.provider = 'together')
+SELECT provider, model, CAST(rank AS INTEGER) AS rank, price AS input_price_per_million FROM f WHERE best = 1""")
+def price_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resellers' models by the name of a vendor's model or its longest beginning; a vendor's own names must be exact, in the same case."""
+    n = F.col("s_suppkey")
+    tail = F.when(n % 3 == 0, "").when(n % 3 == 1, "-large").otherwise("5-Preview")
+    model = F.concat(F.when(n % 4 == 3, "hosts/").otherwise(""), F.lit("Nation-"), F.col("s_nationkey").cast("string"), tail)
+    pairs = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.when(n % 2 == 0, "together").otherwise(F.concat(F.lit("vendor-"), (n % 5).cast("string"))).alias("provider"), model.alias("model"))
+    found = pricing.resolve_pairs(pairs, _nation_prices(spark, sf_dir))
+    return found.select("provider", "model", F.col("rank").cast("int").alias("rank"), "input_price_per_million")
+
+
+@_query("""SELECT 'vendor-' || n_regionkey AS provider, round(avg(CASE WHEN n_nationkey % 4 <> 0 THEN (n_nationkey + 1) / 4.0e0 END), 9) AS input_price_per_million, round(avg(CASE WHEN n_nationkey % 4 <> 0 THEN (n_nationkey + 2) / 4.0e0 END), 9) AS output_price_per_million
+FROM nation GROUP BY n_regionkey HAVING count(*) FILTER (WHERE n_nationkey % 4 <> 0) > 0""")
+def price_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a vendor's unknown models are estimated at: the average of its models that aren't local."""
+    return rounded(pricing.average_prices(_nation_prices(spark, sf_dir)).select("provider", "input_price_per_million", "output_price_per_million"))
+
+
+@_query("""WITH p AS (SELECT n_regionkey AS r, 'nation-' || n_nationkey || '-zz' || p_partkey AS model FROM part JOIN nation ON n_nationkey = p_partkey % 25),
+q AS (SELECT n_regionkey AS r, 'nation-' || n_nationkey AS name, (n_nationkey + 1) / 4.0e0 AS price FROM nation WHERE n_nationkey % 4 <> 0),
+o AS (SELECT p.model, max_by(price, length(name)) AS price FROM p JOIN q ON p.r = q.r AND starts_with(p.model, name) GROUP BY p.model),
+v AS (SELECT r, avg(price) AS price FROM q GROUP BY r)
+SELECT 'vendor-' || p.r AS provider, p.model, CASE WHEN o.model IS NULL THEN 11 ELSE 10 END AS rank, round(coalesce(o.price, v.price), 9) AS input_price_per_million FROM p JOIN v ON p.r = v.r LEFT JOIN o ON p.model = o.model""")
+def price_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown models: a vendor's closest name that isn't local (rank 10), or else its average (11)."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_partkey") % 25).alias("n_nationkey")).join(nations, "n_nationkey")
+    pairs = rows.select(F.concat(F.lit("vendor-"), F.col("n_regionkey").cast("string")).alias("provider"), F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string"), F.lit("-zz"), F.col("p_partkey").cast("string")).alias("model"))
+    found = pricing.resolve_pairs(pairs, pricing.seed_prices(spark).unionByName(_nation_prices(spark, sf_dir)), estimate=True)
+    return rounded(found.select("provider", "model", F.col("rank").cast("int").alias("rank"), "input_price_per_million"))
+
+
 @_query("SELECT o_orderkey, CASE WHEN o_totalprice > 0 AND o_totalprice < 0.01 THEN '<$0.01' ELSE '$' || format('{:.2f}', o_totalprice) END AS usd, CASE o_orderstatus WHEN 'F' THEN 'Exact' WHEN 'O' THEN 'Mixed' ELSE 'Unknown' END AS label, strftime(o_orderdate, '%m-%d') AS day FROM orders")
 def order_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     exactness = F.when(F.col("o_orderstatus") == "F", "exact").when(F.col("o_orderstatus") == "O", "mixed").otherwise("odd")
