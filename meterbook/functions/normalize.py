@@ -11,6 +11,8 @@ or nested deeper than the parser goes (1000 levels).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,11 @@ def _nested(j: Column, parents: list[str], keys: list[str]) -> Column:
 _DEEP = {"input": _spelled(["input_tokens", "prompt_tokens", "input"]), "output": _spelled(["output_tokens", "completion_tokens", "output"]), "total": _spelled(["total_tokens", "total"])}
 
 
+def _may_name(text: Column, keys: list[str]) -> Column:
+    """Whether a JSON text can hold one of the keys: as it is, or with escapes."""
+    return reduce(Column.__or__, [text.contains(f'"{k}"') for k in keys]) | text.contains("\\u")
+
+
 def detected_provider(model: Column) -> Column:
     m = F.lower(model)
     openai = m.startswith("gpt-") | m.startswith("o1") | m.startswith("o3") | m.startswith("o4")
@@ -138,7 +145,7 @@ def normalized(lines: DataFrame, ingest_time: Column, extended_paths: bool = Fal
     counts = [c for name, keys in (("input", INPUT), ("output", OUTPUT), ("total", TOTAL)) for c in (_top(j, keys).alias(f"t_{name}"), _nested(j, HOLDERS, keys).alias(f"n_{name}"))]
     rows = once(rows, "known", F.struct(*counts, text("model", "modelID", "model_id").alias("model"))).select("raw", "raw_source_path", "v", "j", "known.*")
     known = lambda n: F.when(F.col(f"t_{n}") > 0, F.col(f"t_{n}")).when(F.col(f"n_{n}") > 0, F.col(f"n_{n}"))
-    pick = lambda n: F.coalesce(known(n), deep_whole(F.col("v"), F.col("raw"), _DEEP[n]))
+    pick = lambda n: F.coalesce(known(n), F.when(_may_name(F.col("raw"), _DEEP[n]), deep_whole(F.col("v"), F.col("raw"), _DEEP[n])), F.lit(0).cast("long"))
     reasoning = F.greatest(_nested(j, [*HOLDERS, "output_tokens_details", "completion_tokens_details"], REASONING), _top(j, REASONING))
     read = F.greatest(_nested(j, ["info", "usage", "prompt_tokens_details", "cache"], READ_NESTED), _top(j, READ))
     write = F.greatest(_nested(j, ["info", "usage", "prompt_tokens_details", "cache"], WRITE_NESTED), _top(j, WRITE))

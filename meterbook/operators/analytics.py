@@ -93,17 +93,27 @@ def breakdown(events: DataFrame, f: QueryFilter, dimension: str, limit: int | No
 
 
 def session_aggregates(events: DataFrame, f: QueryFilter, sessions: DataFrame | None = None) -> DataFrame:
-    """One row per session with events; with the session table also its label, and only sessions in it."""
-    rows = apply_filter(events, f).where(F.col("session_id").isNotNull()).groupBy("session_id").agg(
-        F.max("provider").alias("provider"),
-        F.max("model").alias("model"),
+    """One row per session with events; with the session table also its label, and only sessions in it.
+
+    Events are summed by session and pair first: with names as keys the sums
+    are hashed, and distinct models need no second copy of the rows.
+    """
+    pairs = apply_filter(events, f).where(F.col("session_id").isNotNull()).groupBy("session_id", "provider", "model").agg(
         F.min("timestamp").alias("started_at"),
         F.max("timestamp").alias("last_seen_at"),
         *_sums(*SUMS),
         F.count(F.lit(1)).alias("event_count"),
-        F.countDistinct("model").alias("model_switches"),
         F.max(F.col("input_tokens") + F.col("cache_read_tokens") + F.col("tool_tokens")).alias("peak_context_tokens"),
     )
+    rows = pairs.groupBy("session_id").agg(
+        F.array_max(F.collect_set("provider")).alias("provider"),
+        F.array_max(F.collect_set("model")).alias("model"),
+        F.min("started_at").alias("started_at"),
+        F.max("last_seen_at").alias("last_seen_at"),
+        *_sums(*SUMS, "event_count"),
+        F.size(F.collect_set("model")).cast("long").alias("model_switches"),
+        F.max("peak_context_tokens").alias("peak_context_tokens"),
+    )
     if sessions is None:
         return rows.withColumn("label", F.concat(F.lit("session "), F.col("session_id").cast("string")))
     labels = sessions.select(F.col("id").alias("session_id"), F.coalesce("title", "source_session_id").alias("label"))
