@@ -50,22 +50,27 @@ _OBJECTS = [*HOLDERS, *DETAILS, "tools", "tool"]
 SCHEMA = "struct<" + ", ".join([f"`{t}`: variant" for t in [*_TEXTS, *_TOP]] + [f"`{h}`: map<string, variant>" for h in _OBJECTS]) + ">"
 
 
-def _first(columns: list[Column]) -> Column:
-    return F.coalesce(first_whole(columns), F.lit(0).cast("long"))
+# Counts are looked for in hundreds of places, so these expressions are built as text, at once.
+def _whole(leaves: list[str]) -> str:
+    """The first of some variants that is a whole number of 64 bits."""
+    return f"try_variant_get(get(filter(array({', '.join(leaves)}), x -> schema_of_variant(x) = 'BIGINT'), 0), '$', 'bigint')"
 
 
-def _top(j: Column, keys: list[str]) -> Column:
-    return _first([j[k] for k in _spelled(keys)])
+def _top(keys: list[str]) -> Column:
+    return F.expr(f"coalesce({_whole([f'j.`{k}`' for k in _spelled(keys)])}, 0L)")
 
 
-def _nested(j: Column, parents: list[str], keys: list[str]) -> Column:
+def _nested(parents: list[str], keys: list[str]) -> Column:
     """A count of the first of some objects that holds one, in itself or in its details."""
-    found = []
+    names, found = _spelled(keys), []
     for p in parents:
-        members = j[p]
-        details = [F.when(members[d].isNotNull(), first_whole([F.try_variant_get(members[d], f"$.{k}", "variant") for k in _spelled(keys)])) for d in DETAILS]
-        found.append(F.when(members.isNotNull(), F.coalesce(first_whole([members[k] for k in _spelled(keys)]), *details)))
-    return F.coalesce(*found, F.lit(0).cast("long"))
+        places = [_whole([f"j.`{p}`['{k}']" for k in names])]
+        for d in DETAILS:
+            details = f"j.`{p}`['{d}']"
+            inside = _whole([f"try_variant_get({details}, '$.{k}', 'variant')" for k in names])
+            places.append(f"if({details} is null, null, {inside})")
+        found.append(f"if(j.`{p}` is null, null, coalesce({', '.join(places)}))")
+    return F.expr(f"coalesce({', '.join(found)}, 0L)")
 
 
 _DEEP = {"input": _spelled(["input_tokens", "prompt_tokens", "input"]), "output": _spelled(["output_tokens", "completion_tokens", "output"]), "total": _spelled(["total_tokens", "total"])}
@@ -142,15 +147,15 @@ def normalized(lines: DataFrame, ingest_time: Column, extended_paths: bool = Fal
     text = lambda *keys: first_text([j[k] for k in keys])
     # By path, as two of these names differ in case alone.
     session = first_text([F.try_variant_get("v", f"$.{at}{k}", "variant") for at in ("", "info.") for k in SESSION])
-    counts = [c for name, keys in (("input", INPUT), ("output", OUTPUT), ("total", TOTAL)) for c in (_top(j, keys).alias(f"t_{name}"), _nested(j, HOLDERS, keys).alias(f"n_{name}"))]
+    counts = [c for name, keys in (("input", INPUT), ("output", OUTPUT), ("total", TOTAL)) for c in (_top(keys).alias(f"t_{name}"), _nested(HOLDERS, keys).alias(f"n_{name}"))]
     rows = once(rows, "known", F.struct(*counts, text("model", "modelID", "model_id").alias("model"))).select("raw", "raw_source_path", "v", "j", "known.*")
     known = lambda n: F.when(F.col(f"t_{n}") > 0, F.col(f"t_{n}")).when(F.col(f"n_{n}") > 0, F.col(f"n_{n}"))
     pick = lambda n: F.coalesce(known(n), F.when(_may_name(F.col("raw"), _DEEP[n]), deep_whole(F.col("v"), F.col("raw"), _DEEP[n])), F.lit(0).cast("long"))
-    reasoning = F.greatest(_nested(j, [*HOLDERS, "output_tokens_details", "completion_tokens_details"], REASONING), _top(j, REASONING))
-    read = F.greatest(_nested(j, ["info", "usage", "prompt_tokens_details", "cache"], READ_NESTED), _top(j, READ))
-    write = F.greatest(_nested(j, ["info", "usage", "prompt_tokens_details", "cache"], WRITE_NESTED), _top(j, WRITE))
+    reasoning = F.greatest(_nested([*HOLDERS, "output_tokens_details", "completion_tokens_details"], REASONING), _top(REASONING))
+    read = F.greatest(_nested(["info", "usage", "prompt_tokens_details", "cache"], READ_NESTED), _top(READ))
+    write = F.greatest(_nested(["info", "usage", "prompt_tokens_details", "cache"], WRITE_NESTED), _top(WRITE))
     if extended_paths:
-        at = lambda k: _first([F.try_variant_get("v", f"$.info.tokens.{k}", "variant")])
+        at = lambda k: F.coalesce(first_whole([F.try_variant_get("v", f"$.info.tokens.{k}", "variant")]), F.lit(0).cast("long"))
         reasoning, read, write = F.greatest(reasoning, at("reasoning")), F.greatest(read, at("cache_read")), F.greatest(write, at("cache_write"))
     model = F.col("model")
     event = F.struct(
@@ -158,7 +163,7 @@ def normalized(lines: DataFrame, ingest_time: Column, extended_paths: bool = Fal
         text("role", "messageRole", "message_role").alias("message_role"), F.coalesce(text("type", "eventType", "event_type"), F.lit("unknown")).alias("event_type"), text("project_path").alias("project_path"),
         F.coalesce(*[parsed_time(first_text([j[k]], ("STRING", "BIGINT"))) for k in ("timestamp", "createdAt", "created_at", "time", "ts")], ingest_time).alias("timestamp"),
         pick("input").alias("input_tokens"), pick("output").alias("output_tokens"), reasoning.alias("reasoning_tokens"), read.alias("cache_read_tokens"), write.alias("cache_write_tokens"),
-        _nested(j, ["info", "tools", "tool"], ["tokens"]).alias("tool_tokens"), pick("total").alias("known_total"),
+        _nested(["info", "tools", "tool"], ["tokens"]).alias("tool_tokens"), pick("total").alias("known_total"),
         ((F.greatest("t_input", "t_output", "t_total") > 0) | (F.greatest("n_input", "n_output") > 0)).alias("explicit"),
     )
     rows = once(rows, "event", event).select("raw", "raw_source_path", "event.*")
