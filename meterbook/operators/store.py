@@ -125,6 +125,18 @@ def expire(spark: SparkSession, path: str, as_of: dt.date, days: int) -> int:
         return deleted
 
 
+#: Folders of a store in which days are written anew; readers don't see them.
+_ASIDE = "_replacing-"
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    """Deletes what removals that broke off before their note have left."""
+    files, at = _hadoop(spark, path)
+    for status in files.listStatus(at) if files.exists(at) else []:
+        if status.getPath().getName().startswith(_ASIDE):
+            files.delete(status.getPath(), True)
+
+
 def remove_sources(spark: SparkSession, path: str, rollup: str, ids: DataFrame) -> int:
     """Deletes the stored events of some sources (id); their number. The days that held any are written anew, and rolled up anew; others aren't touched.
 
@@ -134,6 +146,7 @@ def remove_sources(spark: SparkSession, path: str, rollup: str, ids: DataFrame)
     """
     with passes.lease(spark, path) as notes:
         passes.repair(notes, lambda days, noted: redo_pass(spark, path, rollup, days, noted))
+        _sweep(spark, path)
         events = read(spark, path)
         if events is None:
             return 0
@@ -141,7 +154,7 @@ def remove_sources(spark: SparkSession, path: str, rollup: str, ids: DataFrame)
         touched = {r["event_date"]: r["n"] for r in gone.groupBy("event_date").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not touched:
             return 0
-        aside = f"{path}/_replacing-{uuid.uuid4().hex}"
+        aside = f"{path}/{_ASIDE}{uuid.uuid4().hex}"
         kept = without_sources(events.where(on_days(list(touched))), ids).select(*events.columns)
         kept.repartition("event_date", F.pmod(F.xxhash64("event_hash"), F.lit(8))).write.option("compression", "zstd").partitionBy("event_date").parquet(aside)
         left = held_days(spark, aside)

@@ -79,6 +79,7 @@ def test_a_removal_that_breaks_off(spark, place, monkeypatch, at):
         store.remove_sources(spark, path, daily, ids)
     store.remove_sources(spark, path, daily, ids)
     assert spark.read.parquet(path).count() == rows.where("source_id <> 1").count()
+    assert not [d for d in os.listdir(path) if d.startswith("_replacing")]
     assert _same_sums(spark, path, daily)
 
 
