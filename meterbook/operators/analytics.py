@@ -156,20 +156,20 @@ def event_count(events: DataFrame, f: QueryFilter) -> DataFrame:
     return apply_filter(events, f).agg(F.count(F.lit(1)).alias("events"))
 
 
-def resolved_savings(events: DataFrame, f: QueryFilter, prices: DataFrame) -> DataFrame:
-    """Filtered events with saved: what their cached input saved under resolved prices."""
+def resolved_savings(events: DataFrame, f: QueryFilter, prices: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Filtered events with saved: what their cached input saved under resolved prices. pairs: as for pricing.priced."""
     rows = apply_filter(events, f)
-    covered = resolve_pairs(rows, prices).select("provider", "model", F.greatest(F.lit(0.0), F.col("input_price_per_million") - F.col("cache_read_price_per_million")).alias("gap"))
+    covered = resolve_pairs(rows if pairs is None else pairs, prices).select("provider", "model", F.greatest(F.lit(0.0), F.col("input_price_per_million") - F.col("cache_read_price_per_million")).alias("gap"))
     return rows.join(covered, ["provider", "model"], "left").withColumn("saved", F.col("cache_read_tokens") * F.coalesce("gap", F.lit(0.0)) / 1e6)
 
 
-def cache_efficiency(events: DataFrame, f: QueryFilter, prices: DataFrame) -> DataFrame:
-    """grouping (day, provider, model), key, sums, savings and sessions, from one pass.
+def cache_efficiency(events: DataFrame, f: QueryFilter, prices: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """grouping (day, provider, model), key, sums, savings and sessions, from one pass; with pairs (as for pricing.priced) also from one scan.
 
     Events are first combined by day, provider, model and session, so that the
     three groupings expand those rows and not the events.
     """
-    rows = resolved_savings(events, f, prices)
+    rows = resolved_savings(events, f, prices, pairs)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
     fine = rows.groupBy(day_of(F.col("timestamp")).cast("string").alias("day"), text("provider").alias("provider"), text("model").alias("model"), "session_id")
     fine = fine.agg(*_sums("cache_read_tokens", "cache_write_tokens", "total_tokens", "cost_usd", "saved"))

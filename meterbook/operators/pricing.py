@@ -232,9 +232,13 @@ def cost_of(input_: Column, output: Column, reasoning: Column, cache_read: Colum
     return reduce(lambda a, b: a + b, [amount * F.col(rate) for amount, rate in parts]) / 1e6
 
 
-def priced(events: DataFrame, prices: DataFrame, missing: str = "warn") -> DataFrame:
-    """events with cost_usd and cost_status (Priced, Estimated, Unpriced). missing: skip, warn, or estimate."""
-    covered = resolve_pairs(events, prices, missing == "estimate")
+def priced(events: DataFrame, prices: DataFrame, missing: str = "warn", pairs: DataFrame | None = None) -> DataFrame:
+    """events with cost_usd and cost_status (Priced, Estimated, Unpriced). missing: skip, warn, or estimate.
+
+    pairs: a smaller table with every provider and model of the events, such as
+    the rollup; without it the events are scanned for them first.
+    """
+    covered = resolve_pairs(events if pairs is None else pairs, prices, missing == "estimate")
     rows = events.drop("cost_usd", "cost_status").join(covered, ["provider", "model"], "left")
     cost = cost_of(*[F.col(c) for c in ("input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "cache_write_tokens")])
     rows = rows.withColumn("cost_usd", F.when(F.col("rank").isNull() | F.col("is_local"), 0.0).otherwise(cost))

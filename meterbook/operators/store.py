@@ -1,7 +1,8 @@
 """The event store: Parquet partitioned by day, with idempotent appends and a rollup that follows them.
 
 A hash holds the event's time, so equal events lie in the same day, and an
-append is compared with the days that it touches only.
+append is compared with the days that it touches only. Within a day rows are
+clustered by session, so that looking one up skips what it isn't in.
 """
 
 from __future__ import annotations
@@ -9,14 +10,17 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, fields
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from meterbook.operators import passes
+from meterbook.operators import passes, pricing
+from meterbook.operators.filters import QueryFilter, apply_filter
 from meterbook.operators.rollup import daily_rollup, session_days
 
 EXPORTED = ["timestamp", "event_type", "provider", "model", "message_role", "input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "cache_write_tokens", "total_tokens", "cost_usd", "exactness", "event_hash"]
@@ -43,6 +47,24 @@ def on_days(days: list[dt.date | None], column: str = "event_date") -> Column:
     return known | F.col(column).isNull() if None in days else known
 
 
+def _clustered(rows: DataFrame, day: str, *keys: str) -> DataFrameWriter:
+    """A writer by day whose rows are ordered by some keys, with Bloom filters on these.
+
+    Ranges are cut between sampled rows, so that neither a busy day nor a busy
+    session is one task as long as the last key tells its rows apart.
+    """
+    writer = rows.repartitionByRange(day, *keys).sortWithinPartitions(day, *keys).write.partitionBy(day).option("compression", "zstd")
+    # A filter takes the size that its row group needs, not the largest allowed.
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+    for key in keys:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    return writer
+
+
+def _write_events(rows: DataFrame, path: str) -> None:
+    _clustered(rows, "event_date", "session_id", "event_hash").mode("append").parquet(path)
+
+
 def append(events: DataFrame, path: str, days: list[dt.date | None] | None = None) -> DataFrame:
     """Adds the events that the store lacks; one row: received, inserted, days (those touched).
 
@@ -59,7 +81,7 @@ def append(events: DataFrame, path: str, days: list[dt.date | None] | None = Non
             fresh = fresh.join(held.where(on_days(touched)).select("event_hash"), "event_hash", "left_anti").select(*events.columns)
         inserted = fresh.persist().count()
         if inserted:
-            fresh.repartition("event_date", F.pmod(F.xxhash64("event_hash"), F.lit(8))).write.mode("append").option("compression", "zstd").partitionBy("event_date").parquet(path)
+            _write_events(fresh, path)
         fresh.unpersist()
         return spark.createDataFrame([(received, inserted, touched)], "received long, inserted long, days array<date>")
     finally:
@@ -74,8 +96,8 @@ def refresh_rollup(spark: SparkSession, store: str, rollup: str, days: list[dt.d
     if days is not None:
         events = events.where(on_days(days))
     mode = "dynamic" if days is not None else "static"
-    for table, path in ((daily_rollup(events), rollup), (session_days(events), session_days_path(rollup))):
-        table.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("date").parquet(path)
+    for writer, path in ((daily_rollup(events).write.partitionBy("date"), rollup), (_clustered(session_days(events), "date", "session_id"), session_days_path(rollup))):
+        writer.mode("overwrite").option("partitionOverwriteMode", mode).parquet(path)
     for day in set(days or []) - set(days_of(events)):
         # A dynamic overwrite leaves partitions that it has no rows for.
         for path in (rollup, session_days_path(rollup)):
@@ -86,6 +108,31 @@ def session_days_path(rollup: str) -> str:
     return rollup.rstrip("/") + "_sessions"
 
 
+def days_of_session(spark: SparkSession, rollup: str, session_id: int) -> list[dt.date | None]:
+    """The days on which a session has events that count, from the session days beside the rollup; no event is read."""
+    days = read(spark, session_days_path(rollup))
+    return [] if days is None else [r[0] for r in days.where(F.col("session_id") == session_id).select("date").distinct().collect()]
+
+
+def session_events(spark: SparkSession, path: str, rollup: str, session_id: int) -> DataFrame | None:
+    """The stored events of one session that aren't ignored, read from its days alone; None if nothing was stored yet.
+
+    Give them to the reports of one session in place of all events.
+    """
+    events = read(spark, path)
+    if events is None:
+        return None
+    return apply_filter(events.where(on_days(days_of_session(spark, rollup, session_id))), QueryFilter()).where(F.col("session_id") == session_id)
+
+
+def events_by_hash(spark: SparkSession, path: str, hashes: list[str], days: list[dt.date | None] | None = None) -> DataFrame | None:
+    """The stored events with some hashes (a handful; join tables of more); days, if they are known, spare the footers of others."""
+    events = read(spark, path)
+    if events is None:
+        return None
+    return (events if days is None else events.where(on_days(days))).where(F.col("event_hash").isin(hashes))
+
+
 def _day_path(path: str, column: str, day: dt.date | None) -> str:
     return f"{path}/{column}={day or '__HIVE_DEFAULT_PARTITION__'}"
 
@@ -138,32 +185,68 @@ def _sweep(spark: SparkSession, path: str) -> None:
 
 
 def remove_sources(spark: SparkSession, path: str, rollup: str, ids: DataFrame) -> int:
-    """Deletes the stored events of some sources (id); their number. The days that held any are written anew, and rolled up anew; others aren't touched.
-
-    What stays of these days is written aside first, and noted; then each day's
-    folder is replaced. A removal that breaks off before the note has changed
-    nothing, and one after it is finished by the next pass.
-    """
-    with passes.lease(spark, path) as notes:
-        passes.repair(notes, lambda days, noted: redo_pass(spark, path, rollup, days, noted))
-        _sweep(spark, path)
+    """Deletes the stored events of some sources (id); their number. The days that held any are written anew, and rolled up anew; others aren't touched."""
+    with _rewriting(spark, path, rollup) as notes:
         events = read(spark, path)
         if events is None:
             return 0
         gone = events.join(ids.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi")
-        touched = {r["event_date"]: r["n"] for r in gone.groupBy("event_date").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if not touched:
+        touched = _by_day(gone)
+        _replace_days(notes, path, rollup, list(touched), lambda held: without_sources(held, ids))
+        return sum(touched.values())
+
+
+def reprice(spark: SparkSession, path: str, rollup: str, prices: DataFrame, missing: str = "warn") -> int:
+    """Prices the stored events again; the number of those whose cost or exactness has changed.
+
+    A first scan reads names, counts and costs alone and finds the days that
+    hold a change; only these are written and rolled up anew. Nothing is kept
+    about earlier prices, so it doesn't matter with which ones an event came in.
+    """
+    with _rewriting(spark, path, rollup) as notes:
+        events = read(spark, path)
+        if events is None:
             return 0
-        aside = f"{path}/{_ASIDE}{uuid.uuid4().hex}"
-        kept = without_sources(events.where(on_days(list(touched))), ids).select(*events.columns)
-        kept.repartition("event_date", F.pmod(F.xxhash64("event_hash"), F.lit(8))).write.option("compression", "zstd").partitionBy("event_date").parquet(aside)
-        left = held_days(spark, aside)
-        number = passes.begin(notes, list(touched), aside=aside, emptied=passes.texts([d for d in touched if d not in left]))
-        redo_pass(spark, path, rollup, list(touched), {"aside": aside, "emptied": passes.texts([d for d in touched if d not in left])})
-        passes.commit(notes, number, passes.remembered(notes))
+        before = [F.col("cost_usd").alias("old_cost"), F.col("exactness").alias("old_exactness")]
+        after = pricing.repriced(events.select("*", *before), prices, missing)
+        changed = after.where(~(F.col("cost_usd").eqNullSafe(F.col("old_cost")) & F.col("exactness").eqNullSafe(F.col("old_exactness"))))
+        touched = _by_day(changed)
+        _replace_days(notes, path, rollup, list(touched), lambda held: pricing.repriced(held, prices, missing))
         return sum(touched.values())
 
 
+def _by_day(events: DataFrame) -> dict[dt.date | None, int]:
+    return {r["event_date"]: r["n"] for r in events.groupBy("event_date").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+@contextmanager
+def _rewriting(spark: SparkSession, path: str, rollup: str) -> Iterator[passes.Notes]:
+    """The lease of a store, after what broke off before has been finished or swept away."""
+    with passes.lease(spark, path) as notes:
+        passes.repair(notes, lambda days, noted: redo_pass(spark, path, rollup, days, noted))
+        _sweep(spark, path)
+        yield notes
+
+
+def _replace_days(notes: passes.Notes, path: str, rollup: str, days: list[dt.date | None], change: Callable[[DataFrame], DataFrame]) -> None:
+    """Puts what `change` makes of some days' events in their place.
+
+    It is written aside first, and noted; then each day's folder is replaced. A
+    replacement that breaks off before the note has changed nothing, and one
+    after it is finished by the next pass.
+    """
+    if not days:
+        return
+    spark, aside = notes.spark, f"{path}/{_ASIDE}{uuid.uuid4().hex}"
+    held = read(spark, path).where(on_days(days))
+    _write_events(change(held).select(*held.columns), aside)
+    left = held_days(spark, aside)
+    noted = {"aside": aside, "emptied": passes.texts([d for d in days if d not in left])}
+    number = passes.begin(notes, days, **noted)
+    redo_pass(spark, path, rollup, days, noted)
+    passes.commit(notes, number, passes.remembered(notes))
+
+
 def redo_pass(spark: SparkSession, path: str, rollup: str, days: list[dt.date | None], noted: dict) -> None:
     """Finishes the replacement of days, if one was noted, and rolls days up anew. Doing it twice does no harm."""
     if aside := noted.get("aside"):
@@ -226,8 +309,9 @@ def latest_by(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, to: str, files: int = 1) -> None:
-    """Writes a table anew with few files a day."""
-    spark.read.parquet(path).repartition("event_date", F.pmod(F.xxhash64("event_hash"), F.lit(files))).write.option("compression", "zstd").partitionBy("event_date").parquet(to)
+    """Writes a table anew with few files a day, each in the order of sessions."""
+    rows = spark.read.parquet(path).repartition("event_date", F.pmod(F.xxhash64("event_hash"), F.lit(files)))
+    rows.sortWithinPartitions("event_date", "session_id", "event_hash").write.option("compression", "zstd").partitionBy("event_date").parquet(to)
 
 
 def csv_rows(events: DataFrame) -> DataFrame:
@@ -253,13 +337,11 @@ def pricing_envelope(prices: DataFrame, missing: DataFrame) -> DataFrame:
 
 def pricing_import(texts: DataFrame) -> DataFrame:
     """Price rows of JSON texts (value): an array, or an object with rows or pricing; names are trimmed, missing rates are 0."""
-    from meterbook.operators.pricing import RATES
-
-    row = "array<struct<provider: string, model: string, " + ", ".join(f"{r}: double" for r in RATES) + ", context_window_tokens: long, is_local: boolean, currency: string, source: string>>"
+    row = "array<struct<provider: string, model: string, " + ", ".join(f"{r}: double" for r in pricing.RATES) + ", context_window_tokens: long, is_local: boolean, currency: string, source: string>>"
     listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", row))
     inside = F.from_json("value", f"rows {row}, pricing {row}")
     rows = texts.select(F.explode(F.coalesce(listed, inside["rows"], inside["pricing"])).alias("r")).select("r.*")
-    rates = [F.coalesce(r, F.lit(0.0)).alias(r) for r in RATES]
+    rates = [F.coalesce(r, F.lit(0.0)).alias(r) for r in pricing.RATES]
     rows = rows.select(F.trim("provider").alias("provider"), F.trim("model").alias("model"), *rates, "context_window_tokens", F.coalesce("currency", F.lit("USD")).alias("currency"), F.lit(None).cast("string").alias("effective_date"), F.coalesce("is_local", F.lit(False)).alias("is_local"), F.coalesce("source", F.lit("import")).alias("source"), F.lit("").alias("updated_at"))
     return rows.where((F.length("provider") > 0) & (F.length("model") > 0))
 
