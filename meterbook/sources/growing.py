@@ -142,6 +142,13 @@ def with_ends(files: DataFrame, lines: tuple[str, ...]) -> DataFrame:
     return files.mapInArrow(ends, f"{kinds}, stop long")
 
 
+def dealt(ranges: DataFrame, range_bytes: int, counted: DataFrame | None = None) -> DataFrame:
+    """Ranges (path, begin, end and others), each for a task; small ones share tasks. counted: the same ranges by a cheaper plan, to be counted."""
+    rows, total = (ranges if counted is None else counted).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("end") - F.col("begin")), F.lit(0))).first()
+    tasks = max(1, min(rows, -(-total // range_bytes) + rows // TASK_FILES + 1))
+    return ranges.repartitionByRange(tasks, F.xxhash64("path", "begin"))
+
+
 def read_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """value and path of the lines of files (path, start, stop), each range in a task; small files share tasks."""
     size = F.col("stop") - F.col("start")
@@ -149,16 +156,13 @@ def read_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     ranges = files.where(size > 0).select("path", "start", "stop", number.alias("number"))
     begin = F.col("start") + F.col("number") * range_bytes
     ranges = ranges.select("path", "start", begin.alias("begin"), F.least(begin + range_bytes, F.col("stop")).alias("end"), "stop")
-    rows, total = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("end") - F.col("begin")), F.lit(0))).first()
-    tasks = max(1, min(rows, -(-total // range_bytes) + rows // TASK_FILES + 1))
-    dealt = ranges.repartitionByRange(tasks, F.xxhash64("path", "begin"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in zip(*[batch.column(c).to_pylist() for c in ("path", "start", "begin", "end", "stop")], strict=True):
                 yield from _batches(*r)
 
-    return dealt.mapInArrow(read, "value string, path string")
+    return dealt(ranges, range_bytes).mapInArrow(read, "value string, path string")
 
 
 def read_whole(files: DataFrame) -> DataFrame:

@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-import csv
 import datetime as dt
 import io
 import json
-import sys
 from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.functions.dashboard import CSV_COLUMNS, CSV_REQUIRED
+from meterbook.functions.dashboard import CSV_COLUMNS
 from meterbook.functions.normalize import detected_provider, instant, with_hash
 from meterbook.functions.variants import with_parsed
-from meterbook.sources import growing
+from meterbook.sources import exports, growing
 
 # The extensions of logs.
 LINES, DOCUMENTS, EXPORTS = ("jsonl", "log", "ndjson", "txt"), ("json",), ("csv",)
 EXTENSIONS = (*LINES, *DOCUMENTS, *EXPORTS)
-EXPORT_BATCH = 4096
 # Models of the generated sample, by provider; the other numbers of the sample are in sample_events.
 SAMPLE_MODELS = {
     "openai": ["gpt-5.5", "gpt-5.4", "gpt-5.4-mini", "o4-mini"],
@@ -64,14 +61,14 @@ def updated_ledger(ledger: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def read_changed(files: DataFrame) -> DataFrame:
-    """value and path of what changed_files found and growing.with_ends measured (path, start, stop): files of lines from their start, by ranges, others as a whole."""
+    """value and path of what changed_files found and growing.with_ends measured (path, start, stop): files of lines from their start, and exports, by ranges, documents as a whole."""
     extension = F.lower(F.substring_index("path", ".", -1))
 
     def text(extensions: tuple[str, ...], whole: bool) -> DataFrame:
         chosen = files.where(extension.isin(*extensions))
         return growing.read_whole(chosen) if whole else growing.read_ranges(chosen)
 
-    return json_lines(log_values(text))
+    return json_lines(log_values(text, exports.read_exports(files.where(extension.isin(*EXPORTS)))))
 
 
 def json_lines(lines: DataFrame) -> DataFrame:
@@ -92,22 +89,17 @@ def glob_of(extensions: tuple[str, ...]) -> str:
 
 
 def _export_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of whole CSV exports, by the names in each one's header; files without the required columns give none."""
-    csv.field_size_limit(sys.maxsize)
+    """The records of whole CSV exports, as exports.read_exports has them."""
     for batch in batches:
         for text, path in zip(batch["value"], batch["path"], strict=True):
-            rows = filter(None, csv.reader(io.StringIO(text.as_py(), newline="")))
-            header = next(rows, [])
-            if not set(CSV_REQUIRED) <= set(header):
-                continue
-            at = {name: header.index(name) for name in CSV_COLUMNS if name in header}
-            objects = (json.dumps({name: row[i] for name, i in at.items() if i < len(row)}) for row in rows)
-            while some := list(islice(objects, EXPORT_BATCH)):
+            data = text.as_py().encode()
+            objects = map(json.dumps, exports.records_in(io.BytesIO(data), 0, len(data), len(data), "S", "S"))
+            while some := list(islice(objects, exports.ROWS)):
                 yield pa.RecordBatch.from_pydict({"value": some, "path": [path.as_py()] * len(some)})
 
 
-def log_values(text: Callable[[tuple[str, ...], bool], DataFrame]) -> DataFrame:
-    """value and path of all files in EXTENSIONS: lines, .json documents, and one JSON object a row of a CSV export. text: value and path of the files with some extensions, by lines or whole.
+def log_values(text: Callable[[tuple[str, ...], bool], DataFrame], records: DataFrame | None = None) -> DataFrame:
+    """value and path of all files in EXTENSIONS: lines, .json documents, and one JSON object a row of a CSV export. text: value and path of the files with some extensions, by lines or whole; records: those of the exports, if they were read by ranges.
 
     A .json file that isn't one JSON value is taken by lines.
     """
@@ -117,7 +109,9 @@ def log_values(text: Callable[[tuple[str, ...], bool], DataFrame]) -> DataFrame:
 
     parts = F.when(F.col("parsed").isNotNull(), F.array("value")).otherwise(F.split("value", "\r?\n"))
     documents = with_parsed(read(DOCUMENTS, True), "value", "parsed").select(F.explode(parts).alias("value"), "path")
-    return read(LINES, False).unionByName(documents).unionByName(read(EXPORTS, True).mapInArrow(_export_rows, "value string, path string"))
+    if records is None:
+        records = read(EXPORTS, True).mapInArrow(_export_rows, "value string, path string")
+    return read(LINES, False).unionByName(documents).unionByName(records)
 
 
 def with_path(texts: DataFrame) -> DataFrame:
@@ -138,7 +132,12 @@ def export_table(values: DataFrame) -> DataFrame:
 
 def read_logs(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """value and path of the JSON objects in log files: a .json file holds one document, others one object a line; a row of a CSV export is an object of its columns."""
-    return json_lines(log_values(lambda extensions, whole: with_path(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob_of(extensions)).text(paths, wholetext=whole))))
+
+    def reader(extensions: tuple[str, ...]) -> DataFrameReader:
+        return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob_of(extensions))
+
+    listed = reader(EXPORTS).format("binaryFile").load(paths).select("path", F.col("length").alias("stop"))
+    return json_lines(log_values(lambda extensions, whole: with_path(reader(extensions).text(paths, wholetext=whole)), exports.read_exports(listed)))
 
 
 def _field(data: Column, *keys: str) -> Column:
