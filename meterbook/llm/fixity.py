@@ -78,21 +78,28 @@ def read_warc(spark, path: str) -> DataFrame:
     """file, number, offset, length, digest of the records of files written by write_warc, whatever their content.
 
     Spark's reader splits files at every version line; a record's declared
-    Content-Length then tells which pieces belong to it. Of a file only the
-    pieces' lengths, not their bytes, go to one task.
+    Content-Length then tells which pieces belong to it. Without one, or with
+    one that is too small, a record ends at the next version line; one that is
+    too large takes in the records up to there. Of a file only the pieces'
+    lengths, not their bytes, go to one task.
     """
     version = "WARC/1.0\r\n"
-    rows = spark.read.option("lineSep", version).text(path).select(F.col("file").cast("long"), F.col("value").cast("binary").alias("piece"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
-    rows = rows.where(F.octet_length("piece") > 0)
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = spark.read.option("lineSep", version).text(path).select(F.col("file").cast("long"), F.col("value").cast("binary").alias("piece"), place.alias("place"))
+    # Stored once: numbers of a plan that runs twice needn't agree.
+    rows = stored(rows.where(F.octet_length("piece") > 0), "pieces")
     order = Window.partitionBy("file").orderBy("place")
     size = (F.octet_length("piece") + len(version)).cast("long")
     head = F.substring_index(F.col("piece").cast("string"), "\r\n\r\n", 1)
     content = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*([0-9]+)", 1)
     declared = F.when(content != "", len(version) + F.octet_length(head) + 8 + content.cast("long"))
-    rows = rows.select("file", "piece", F.row_number().over(order).alias("piece_number"), (F.sum(size).over(order) - size).alias("at"), declared.alias("declared"))
-    starts = rows.select("file", "piece_number", "at", "declared").groupBy("file").applyInArrow(_record_starts, "file long, piece_number int, number long")
+    sizes = rows.select("file", "place", size.alias("size"), declared.alias("declared"))
+    sizes = sizes.select("file", "place", F.row_number().over(order).alias("piece_number"), (F.sum("size").over(order) - F.col("size")).alias("at"), "declared")
+    starts = sizes.select("file", "piece_number", "at", "declared").groupBy("file").applyInArrow(_record_starts, "file long, piece_number int, number long")
+    numbered = sizes.select("file", "place", "piece_number").join(starts, ["file", "piece_number"])
+    rows = rows.select("file", "place", "piece").join(numbered, ["file", "place"])
     pieces = F.sort_array(F.collect_list(F.struct("piece_number", F.concat(F.lit(version).cast("binary"), F.col("piece")).alias("bytes"))))
-    whole = rows.join(starts, ["file", "piece_number"]).groupBy("file", "number").agg(F.aggregate(pieces, F.lit(b""), lambda acc, x: F.concat(acc, x["bytes"])).alias("whole"))
+    whole = rows.groupBy("file", "number").agg(F.aggregate(pieces, F.lit(b""), lambda acc, x: F.concat(acc, x["bytes"])).alias("whole"))
     rows = whole.select("file", "number", F.octet_length("whole").cast("long").alias("length"), F.sha2("whole", 256).alias("digest"))
     order = Window.partitionBy("file").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select("file", "number", (F.sum("length").over(order) - F.col("length")).alias("offset"), "length", "digest")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from meterbook.llm import fixity
 from meterbook.llm.workspace import stored
@@ -70,3 +71,21 @@ def test_files_round_trip(spark, tmp_path):
     key = lambda r: (r.file, r.number)
     found = sorted(fixity.read_warc(spark, f"{tmp_path}/warc").select(columns).collect(), key=key)
     assert found == sorted(_laid(pages).select(columns).collect(), key=key)
+
+
+def test_declared_lengths(spark, tmp_path):
+    """Records without a length, with a version line in their content, and with lengths that are too small or too large."""
+    record = lambda head, content: f"WARC/1.0\r\n{head}\r\n\r\n{content}\r\n\r\n"
+    held = "aaWARC/1.0\r\nbb"
+    whole = [record("WARC-Type: x", "no length"), record(f"content-length: {len(held)}", held), record("Content-Length: 1", "too small"), record("Content-Length: 40", "too large") + record("Content-Length: 1", "z"), record("Content-Length: 0", "")]
+    (tmp_path / "warc" / "file=3").mkdir(parents=True)
+    (tmp_path / "warc" / "file=3" / "part.txt").write_bytes("".join(whole).encode())
+    found = fixity.read_warc(spark, f"{tmp_path}/warc")
+    starts = [sum(len(w) for w in whole[:i]) for i in range(len(whole))]
+    expected = [(3, i, starts[i], len(w), hashlib.sha256(w.encode()).hexdigest()) for i, w in enumerate(whole)]
+    assert sorted(tuple(r) for r in found.select("file", "number", "offset", "length", "digest").collect()) == expected
+    # No window is given the bytes of a piece.
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    nodes = found._jdf.queryExecution().explainString(mode).split("\n\n")
+    windows = [n for n in nodes if re.match(r"\s*\(\d+\) Window\b", n)]
+    assert windows and not [n for n in windows if "piece#" in n]
