@@ -48,7 +48,7 @@ def on_days(days: list[dt.date | None], column: str = "event_date") -> Column:
 
 
 def _clustered(rows: DataFrame, day: str, *keys: str) -> DataFrameWriter:
-    """A writer by day whose rows are ordered by some keys, with Bloom filters on these.
+    """A writer by day whose rows are ordered by some keys, with Bloom filters on those that aren't written by dictionary.
 
     Ranges are cut between sampled rows, so that neither a busy day nor a busy
     session is one task as long as the last key tells its rows apart.
