@@ -199,25 +199,37 @@ def exported_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.csv_rows(events_of(spark, sf_dir)).select("event_hash", "cost_usd", "input_tokens", "exactness")
 
 
-@_query("SELECT * FROM (VALUES ('daily_tokens', 80, 'warning'), ('daily_tokens', 100, 'critical'), ('monthly_cost', 100, 'critical')) v(type, threshold, severity)")
+@_query(_EC + """, t AS (SELECT coalesce(sum(total_tokens) FILTER (WHERE day = DATE '2024-01-30'), 0) AS tokens, coalesce(sum(cost) FILTER (WHERE day >= DATE '2023-12-31'), 0) AS cost FROM c),
+r AS (SELECT 'daily_tokens' AS type, pct, tokens / 100000 AS part FROM t, (VALUES (100), (80), (50)) v(pct) UNION ALL SELECT 'monthly_cost', pct, cost / 20 FROM t, (VALUES (100), (80), (50)) v(pct))
+SELECT type, pct AS threshold, CASE WHEN pct = 100 THEN 'critical' ELSE 'warning' END AS severity FROM r WHERE part >= pct / 100 AND NOT (type = 'daily_tokens' AND pct = 50) AND NOT (type = 'monthly_cost' AND pct IN (50, 80))""")
 def alerts_not_raised_yet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Budgets that every day exceeds, with two alerts that exist already."""
+    """Budgets of which three alerts exist for the day, and one for the day before, which doesn't count."""
     known = spark.createDataFrame([("daily_tokens", 50, AS_OF), ("monthly_cost", 50, AS_OF), ("monthly_cost", 80, AS_OF), ("daily_tokens", 80, AS_OF - dt.timedelta(days=1))], "type string, threshold int, date date")
-    return alerts.budget_alerts(events_of(spark, sf_dir), AS_OF, 1, 1e-9, known).select("type", "threshold", "severity")
+    return alerts.budget_alerts(events_of(spark, sf_dir), AS_OF, 100_000, 20.0, known).select("type", "threshold", "severity")
 
 
+# What pairs resolve to, by hand: rank and input price. The star stands for any ending.
 _LADDER = [
-    ("openai", "gpt-5.5", 1, 5.0), ("local", "mine", 2, 0.0), ("lmstudio", "mine", 9, 0.0), ("cursor", "zen-free", 3, 0.0), ("cursor", "composer-2.5-fast-x", 4, 3.0), ("together", "composer-2-x", 4, 1.5), ("cursor", "default", 4, 1.25),
-    ("nvidia", "claude-sonnet-4", 5, 3.0), ("github-copilot", "vendor/claude-haiku-3", 5, 1.0), ("fireworks", "o4-mini", 6, 1.1), ("together", "other-model", 7, 8.0), ("deepinfra", "other-model-large", 8, 8.0), ("openai", "gpt-5.4-nano", 10, 2.5), ("google", "palm-2", 11, 1.75),
+    ("openai", "gpt-5.5", 1, 5.0), ("local", "mine-*", 2, 0.0), ("lmstudio", "mine-*", 9, 0.0), ("cursor", "zen-free", 3, 0.0), ("cursor", "composer-2.5-fast-*", 4, 3.0), ("together", "composer-2-*", 4, 1.5), ("cursor", "default", 4, 1.25),
+    ("nvidia", "claude-sonnet-4*", 5, 3.0), ("github-copilot", "vendor/claude-haiku-*", 5, 1.0), ("fireworks", "o4-mini", 6, 1.1), ("together", "other-model", 7, 8.0), ("deepinfra", "other-model-large*", 8, 8.0), ("openai", "gpt-5.4-nano-*", 10, 2.5), ("google", "palm-*", 11, 1.75),
+    ("acme", "unheard-of-*", 11, 8.0), ("nobody", "unheard-of-*", None, None),
 ]
 
 
-@_query(f"SELECT provider, model, rank, CAST(price AS DOUBLE) AS input_price_per_million FROM (VALUES {', '.join(repr(r) for r in _LADDER)}) v(provider, model, rank, price)")
+def _ladder_sql() -> str:
+    rows = ", ".join(f"({i}, '{p}', '{m}', {r if r else 'NULL'}, {price if r else 'NULL'})" for i, (p, m, r, price) in enumerate(_LADDER))
+    return f"""SELECT DISTINCT provider, replace(model, '*', CAST(p_partkey AS VARCHAR)) AS model, CAST(rank AS INTEGER) AS rank, CAST(price AS DOUBLE) AS input_price_per_million
+FROM part JOIN (VALUES {rows}) v(i, provider, model, rank, price) ON p_partkey % {len(_LADDER)} = i WHERE rank IS NOT NULL"""
+
+
+@_query(_ladder_sql())
 def price_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every step by which a pair finds its price, against values set by hand."""
+    """Parts as models that take each step by which a pair finds its price, some under names of their own."""
     prices = pricing.seed_prices(spark).unionByName(pricing.seed_prices(spark).where("model = 'gpt-5.5'").withColumn("provider", F.lit("acme")).withColumn("model", F.lit("other-model")).withColumn("input_price_per_million", F.lit(8.0)))
-    pairs = spark.createDataFrame([r[:2] for r in _LADDER] + [("acme", "unheard-of"), (None, "gpt-5.5")], "provider string, model string")
-    rows = pricing.resolve_pairs(pairs, prices, estimate=True).where("provider <> 'acme'")
+    step = (F.col("p_partkey") % len(_LADDER) + 1).cast("int")
+    provider, model = (F.element_at(F.array(*[F.lit(r[i]) for r in _LADDER]), step) for i in (0, 1))
+    pairs = spark.read.parquet(f"{sf_dir}/part.parquet").select(provider.alias("provider"), F.replace(model, F.lit("*"), F.col("p_partkey").cast("string")).alias("model"))
+    rows = pricing.resolve_pairs(pairs, prices, estimate=True)
     return rows.select("provider", "model", F.col("rank").cast("int").alias("rank"), "input_price_per_million")
 
 
@@ -320,11 +332,71 @@ def paged_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.page_entries(pages, 4).select(F.get_json_object("value", "$.n").cast("int").alias("entry"))
 
 
-@_query("""WITH d AS (SELECT day, s, m, 5 + s % 11 AS n, ['openai', 'anthropic', 'google', 'openai'][(day + s) % 4 + 1] AS provider FROM range(14) a(day), range(8) b(s), range(15) c(m) WHERE s < 3 + day % 6 AND m < 5 + s % 11)
-SELECT provider, count(*) AS events, CAST(sum(15000 + (m * 1847 + day * 813 + s * 297) % 180000) AS BIGINT) AS input_tokens, CAST(sum(8000 + (m * 1223 + day * 497 + s * 271) % 95000) AS BIGINT) AS output_tokens FROM d GROUP BY provider""")
+@_query("""WITH o AS (SELECT DISTINCT datediff('day', CAST(o_orderdate AS DATE), DATE '2030-01-01') AS day FROM orders),
+d AS (SELECT day, s, m, ['openai', 'anthropic', 'google', 'openai'][(day + s) % 4 + 1] AS provider FROM o, range(8) b(s), range(15) c(m) WHERE s < 3 + day % 6 AND m < 5 + s % 11)
+SELECT CAST(TIMESTAMP '2030-01-01 12:00:00' - to_days(CAST(day AS INTEGER)) AS DATE) AS date, provider, count(*) AS events, CAST(sum(15000 + (m * 1847 + day * 813 + s * 297) % 180000) AS BIGINT) AS input_tokens, CAST(sum(8000 + (m * 1223 + day * 497 + s * 271) % 95000) AS BIGINT) AS output_tokens FROM d GROUP BY ALL""")
 def sample_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.sample_events(spark, dt.datetime(2024, 1, 30, 12))
-    return rows.groupBy("provider").agg(F.count(F.lit(1)).alias("events"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    """Sample events for each day on which something was ordered. Those of a day lie within 30 hours before noon; they are counted by the day that they were made for."""
+    day = F.datediff(F.lit(dt.date(2030, 1, 1)), F.to_date("o_orderdate")).cast("long")
+    days = spark.read.parquet(f"{sf_dir}/orders.parquet").select(day.alias("day")).distinct()
+    made_for = F.date_sub(F.lit(dt.date(2030, 1, 1)), F.split("source_session_id", "-")[1].cast("int"))
+    rows = logs.sampled_days(days, dt.datetime(2030, 1, 1, 12))
+    return rows.groupBy(made_for.alias("date"), "provider").agg(F.count(F.lit(1)).alias("events"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+
+
+@_query(_EC + """SELECT kind, count(*) AS events, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(cost), 9) AS cost_usd, max(timestamp) AS high_water
+  FROM c JOIN (SELECT r_regionkey AS id, CASE WHEN r_regionkey % 2 = 0 THEN 'dashboard' ELSE 'logs' END AS kind FROM region) s ON c.source_id = s.id WHERE kind = 'dashboard' GROUP BY kind""")
+def imported_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was imported from the sources of one kind, and how far."""
+    kind = F.when(F.col("r_regionkey") % 2 == 0, "dashboard").otherwise("logs")
+    sources = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("id"), kind.alias("kind"))
+    rows = analytics.imported_totals(events_of(spark, sf_dir), sources, "dashboard")
+    return rounded(rows.select(F.lit("dashboard").alias("kind"), "events", "total_tokens", "cost_usd", F.col("high_water").cast("timestamp_ntz").alias("high_water")))
+
+
+@_query("""WITH s AS (SELECT o_custkey AS id, o_orderdate AS seen, CASE o_orderstatus WHEN 'F' THEN 'failed ' || o_orderpriority END AS error FROM orders),
+l AS (SELECT id, max(seen) FILTER (WHERE error IS NULL) AS scanned, list(error ORDER BY seen DESC, error IS NULL, error DESC)[1] AS error FROM s GROUP BY id)
+SELECT c_custkey AS id, CASE WHEN l.scanned IS NULL AND c_custkey % 2 = 0 THEN TIMESTAMP '1990-01-01' ELSE CAST(l.scanned AS TIMESTAMP) END AS last_scanned_at, CASE WHEN l.id IS NULL AND c_custkey % 3 = 0 THEN 'old' ELSE l.error END AS last_error FROM customer LEFT JOIN l ON l.id = c_custkey""")
+def source_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as sources, their orders as scans, those with status F failed."""
+    id_ = F.col("c_custkey")
+    sources = spark.read.parquet(f"{sf_dir}/customer.parquet").select(id_.alias("id"), F.when(id_ % 2 == 0, F.lit(NEVER)).cast("timestamp").alias("last_scanned_at"), F.when(id_ % 3 == 0, "old").alias("last_error"))
+    error = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("failed "), "o_orderpriority"))
+    scans = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("at"), error.alias("error"))
+    return store.stamped(sources, scans).select("id", F.col("last_scanned_at").cast("timestamp_ntz").alias("last_scanned_at"), "last_error")
+
+
+@_query("SELECT doc_id, md5(nullif(text, '')) AS payload_md5 FROM documents")
+def decoded_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of which half are stored as text and half as bytes."""
+    even = F.col("doc_id") % 2 == 0
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.when(even, F.col("text")).alias("text"), F.when(even, None).otherwise(F.encode("text", "UTF-8")).alias("packed"))
+    return rows.select("doc_id", F.md5(store.decoded_payload(F.col("text"), F.col("packed"))).alias("payload_md5"))
+
+
+@_query(f"""WITH {_E}, {_AB} SELECT 'u' || event_id AS source_session_id, CASE WHEN event_id % 7 = 0 THEN 'chargedCents,' ELSE '' END || 'kind,model,owningUser,timestamp' || CASE WHEN event_id % 5 <> 0 THEN ',tokenUsage' ELSE '' END AS keys FROM x""")
+def dashboard_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payloads that are kept of dashboard entries have none of the keys under which secrets come."""
+    leaky = _entries(spark, sf_dir).select(F.concat(F.expr("substring(value, 1, length(value) - 1)"), F.lit(',"sessionToken":"a","WorkosCursorSessionToken":{"b":1},"cookie":["c"]}')).alias("value"))
+    rows = dashboard.from_api(leaky, pricing.seed_prices(spark))
+    return rows.select("source_session_id", F.array_join(F.array_sort(F.json_object_keys("raw_json")), ",").alias("keys"))
+
+
+_NATION_JSON = "'{\"provider\":\"vendor-' || n_regionkey || '\",\"model\":\"nation-' || n_nationkey || '\"'" + "".join(f" || ',\"{r}\":' || CAST((n_nationkey + {i + 1}) / 4.0e0 AS VARCHAR)" for i, r in enumerate(pricing.RATES)) + " || ',\"is_local\":' || CASE WHEN n_nationkey % 4 = 0 THEN 'true' ELSE 'false' END || '}'"
+
+
+@_query(_EC + f"""SELECT 1 AS section, CASE WHEN row_number() OVER (ORDER BY n_regionkey, 'nation-' || n_nationkey) > 1 THEN ',' ELSE '' END || {_NATION_JSON} AS value FROM nation
+UNION ALL SELECT 3, CASE WHEN row_number() OVER (ORDER BY provider, model) > 1 THEN ',' ELSE '' END || '{{"provider":"' || provider || '","model":"' || model || '","events":' || count(*) || ',"tokens":' || CAST(sum(total_tokens) AS BIGINT) || '}}' FROM c WHERE provider <> 'cursor' GROUP BY provider, model
+UNION ALL SELECT * FROM (VALUES (0, '{{"priced":['), (2, '],"missing":['), (4, ']}}')) v(section, value)""")
+def pricing_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document with priced and missing models, by lines."""
+    prices = _nation_prices(spark, sf_dir)
+    return store.pricing_envelope(prices, pricing.missing_prices(events_of(spark, sf_dir), prices)).select("section", "value")
+
+
+@_query("SELECT 'vendor-' || n_regionkey AS provider, 'nation-' || n_nationkey AS model FROM nation ORDER BY provider, model")
+def prices_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pricing.listed_prices(_nation_prices(spark, sf_dir)).select("provider", "model")
 
 
 @_query(_EC + _PERIOD + "true")

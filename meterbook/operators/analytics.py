@@ -7,7 +7,6 @@ map side, and only aggregated rows are sorted.
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -262,7 +261,3 @@ def session_totals(sessions: DataFrame, events: DataFrame) -> DataFrame:
     sums = apply_filter(events, QueryFilter()).groupBy("session_id").agg(F.sum("total_tokens").alias("total_tokens"), F.sum("cost_usd").alias("total_cost_usd"))
     rows = sessions.drop("total_tokens", "total_cost_usd").join(sums.withColumnRenamed("session_id", "id"), "id", "left")
     return rows.fillna(0, ["total_tokens", "total_cost_usd"])
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

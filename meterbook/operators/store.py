@@ -308,6 +308,20 @@ def latest_by(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(fresh, same, "left_anti").unionByName(fresh)
 
 
+def stamped(sources: DataFrame, scans: DataFrame) -> DataFrame:
+    """sources (id, last_scanned_at, last_error, and others) after some scans (id, at, error: null if the scan went well).
+
+    A scan that went well sets the time and clears the error; one that failed
+    sets the error and leaves the time. The latest scan of a source tells its
+    error, of those at one time a failed one. Scans of unknown sources are left out.
+    """
+    state = F.max(F.struct("at", F.col("error").isNotNull().alias("failed"), "error"))
+    latest = scans.groupBy("id").agg(F.max(F.when(F.col("error").isNull(), F.col("at"))).alias("scanned"), state.alias("state"))
+    rows = sources.join(latest, "id", "left")
+    stamps = {"last_scanned_at": F.coalesce("scanned", "last_scanned_at"), "last_error": F.when(F.col("state").isNull(), F.col("last_error")).otherwise(F.col("state.error"))}
+    return rows.select(*[stamps[c].alias(c) if c in stamps else F.col(c) for c in sources.columns])
+
+
 def compact(spark: SparkSession, path: str, to: str, files: int = 1) -> None:
     """Writes a table anew with few files a day, each in the order of sessions."""
     rows = spark.read.parquet(path).repartition("event_date", F.pmod(F.xxhash64("event_hash"), F.lit(files)))
@@ -329,10 +343,27 @@ def export_json(events: DataFrame, path: str) -> None:
 
 
 def pricing_envelope(prices: DataFrame, missing: DataFrame) -> DataFrame:
-    """One JSON text with the priced and the missing models."""
-    priced = prices.agg(F.sort_array(F.collect_list(F.struct(*prices.columns))).alias("priced"))
-    lacking = missing.agg(F.sort_array(F.collect_list(F.struct("provider", "model", "events", "tokens"))).alias("missing"))
-    return priced.join(lacking, F.lit(True)).select(F.to_json(F.struct("priced", "missing")).alias("value"))
+    """The lines (section, provider, model, value) of one JSON document with the priced and the missing models.
+
+    By section, provider and model the values are the document. Each model is a
+    line of its own, so nothing is gathered. Of rows with one key the smallest counts.
+    """
+    key = ["provider", "model"]
+
+    def members(rows: DataFrame, section: int, columns: list[str]) -> DataFrame:
+        rows = rows.groupBy(*key).agg(F.to_json(F.min(F.struct(*columns))).alias("value"))
+        first = rows.agg(F.min(F.struct(*key)).alias("first"))  # one row
+        comma = F.when(F.struct(*key) == F.col("first"), "").otherwise(",")
+        return rows.join(F.broadcast(first), F.lit(True)).select(F.lit(section).alias("section"), *key, F.concat(comma, "value").alias("value"))
+
+    frame = [(0, "", "", '{"priced":['), (2, "", "", '],"missing":['), (4, "", "", "]}")]
+    lines = prices.sparkSession.createDataFrame(frame, "section int, provider string, model string, value string")
+    return lines.unionByName(members(prices, 1, prices.columns)).unionByName(members(missing, 3, [*key, "events", "tokens"]))
+
+
+def export_pricing(prices: DataFrame, missing: DataFrame, path: str) -> None:
+    """The document of pricing_envelope as text files, which are it in the order of their names."""
+    pricing_envelope(prices, missing).orderBy("section", "provider", "model").select("value").write.mode("overwrite").text(path)
 
 
 def pricing_import(texts: DataFrame) -> DataFrame:

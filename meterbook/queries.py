@@ -341,9 +341,15 @@ def session_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analytics.swap_quote(events_of(spark, sf_dir), pricing.seed_prices(spark), SESSION, "openai", "o4-mini"))
 
 
-@_query("SELECT * FROM (VALUES ('openai', round((5.0 + 2.5 + 0.75 + 1.1) / 4, 9), round((30.0 + 15 + 4.5 + 4.4) / 4, 9)), ('anthropic', round((10.0 + 5 + 3 + 1) / 4, 9), round((50.0 + 25 + 15 + 5) / 4, 9)), ('google', 1.75, 10.5)) t(provider, input_price_per_million, output_price_per_million)")
+@_query(f"""WITH {_E}, v(provider, i, o, r, cr, cw) AS (VALUES ('openai', (5.0e0 + 2.5 + 0.75 + 1.1) / 4, (30.0e0 + 15 + 4.5 + 4.4) / 4, 1.1e0, (0.5e0 + 0.25 + 0.075 + 0.275) / 4, (5.0e0 + 2.5 + 0.75) / 4),
+  ('anthropic', (10.0e0 + 5 + 3 + 1) / 4, (50.0e0 + 25 + 15 + 5) / 4, 0.0e0, (1.0e0 + 0.5 + 0.3 + 0.1) / 4, (12.5e0 + 6.25 + 3.75 + 1.25) / 4), ('google', 1.75e0, 10.5e0, 0.0e0, 0.175e0, 0.0e0)),
+a AS (SELECT *, r > 0 AND reasoning_tokens BETWEEN 1 AND output_tokens AS apart FROM e JOIN v USING (provider))
+SELECT provider, count(*) AS events, round(sum(greatest(input_tokens - cache_read_tokens, 0) * i + CASE WHEN apart THEN output_tokens - reasoning_tokens ELSE output_tokens END * o + CASE WHEN apart THEN reasoning_tokens ELSE 0 END * r + cache_read_tokens * cr + cache_write_tokens * cw) / 1e6, 6) AS cost_usd FROM a GROUP BY provider""")
 def price_provider_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pricing.average_prices(pricing.seed_prices(spark)).select("provider", "input_price_per_million", "output_price_per_million"))
+    """What events would cost at the average price of their provider's models."""
+    rows = usage_from_events(spark, sf_dir).join(pricing.average_prices(pricing.seed_prices(spark)), "provider")
+    cost = pricing.cost_of(*[F.col(c) for c in ("input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "cache_write_tokens")])
+    return rounded(rows.groupBy("provider").agg(F.count(F.lit(1)).alias("events"), F.sum(cost).alias("cost_usd")), 6)
 
 
 @_query(_EC + """, t AS (SELECT coalesce(sum(total_tokens) FILTER (WHERE day = DATE '2024-01-30'), 0) AS tokens, coalesce(sum(cost) FILTER (WHERE day >= DATE '2023-12-31'), 0) AS cost FROM c),

@@ -20,6 +20,9 @@ from meterbook.sources import exports, growing
 # The extensions of logs.
 LINES, DOCUMENTS, EXPORTS = ("jsonl", "log", "ndjson", "txt"), ("json",), ("csv",)
 EXTENSIONS = (*LINES, *DOCUMENTS, *EXPORTS)
+# The extensions of files in an inbox, and the folders below a home in which a producer keeps its logs.
+INBOX = ("jsonl", "ndjson")
+LOG_FOLDERS = [".local/share/opencode/log", "Library/Logs/opencode", "AppData/Local/opencode/log", "AppData/Roaming/opencode/log"]
 # Models of the generated sample, by provider; the other numbers of the sample are in sample_events.
 SAMPLE_MODELS = {
     "openai": ["gpt-5.5", "gpt-5.4", "gpt-5.4-mini", "o4-mini"],
@@ -195,6 +198,12 @@ def existing_folders(spark: SparkSession, candidates: list[str]) -> list[str]:
     return found
 
 
+def default_sources(spark: SparkSession, homes: list[str]) -> DataFrame:
+    """The sources (name, kind, path, enabled) that exist below some homes, which may be globs."""
+    found = existing_folders(spark, [f"{home.rstrip('/')}/{folder}" for home in homes for folder in LOG_FOLDERS])
+    return spark.createDataFrame([(f"Logs: {path}", "opencode_logs", path, True) for path in sorted(set(found))], "name string, kind string, path string, enabled boolean")
+
+
 def from_messages(messages: DataFrame) -> DataFrame:
     """Events of an exported table messages(id, session_id, role, model, prompt_tokens, completion_tokens, created_at)."""
     n = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
@@ -208,8 +217,13 @@ def from_messages(messages: DataFrame) -> DataFrame:
 
 
 def sample_events(spark: SparkSession, now: dt.datetime, days: int = 14) -> DataFrame:
-    """Deterministic events of the days before now: 3 to 8 sessions a day, 5 to 15 messages each."""
-    rows = spark.range(days).withColumnRenamed("id", "day").withColumn("s", F.explode(F.sequence(F.lit(0), 2 + F.col("day") % 6))).withColumn("count", 5 + F.col("s") % 11)
+    """Deterministic events of the days before now."""
+    return sampled_days(spark.range(days).withColumnRenamed("id", "day"), now)
+
+
+def sampled_days(days: DataFrame, now: dt.datetime) -> DataFrame:
+    """Deterministic events of some days (day: how many before now): 3 to 8 sessions a day, 5 to 15 messages each."""
+    rows = days.select("day").withColumn("s", F.explode(F.sequence(F.lit(0), 2 + F.col("day") % 6))).withColumn("count", 5 + F.col("s") % 11)
     rows = rows.withColumn("m", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
     pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values) + 1).cast("int"))
     rows = rows.withColumn("provider", pick(["openai", "anthropic", "google", "openai"], F.col("day") + F.col("s")))

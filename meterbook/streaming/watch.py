@@ -54,6 +54,17 @@ def lines_of(spark: SparkSession, folder: str, files_per_batch: int = 100, archi
     return log_values(text)
 
 
+def inbox_of(spark: SparkSession, folder: str, archive: str, files_per_batch: int = 100) -> DataFrame:
+    """A stream of the lines that producers leave in an inbox: finished files in the folder and in those directly below it.
+
+    Each is read once and moved to the archive, which must lie elsewhere. Files
+    further down and those with other extensions stay where they are.
+    """
+    kinds = ",".join(logs.INBOX)
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return logs.with_path(reader.text(f"{folder.rstrip('/')}/{{*,*/*}}.{{{kinds}}}"))
+
+
 def _stored(rows: DataFrame, prices: DataFrame, events: str, rollup: str, notes: passes.Notes, memory: Callable[[int], dict]) -> Row:
     """One pass: the events of some lines into the store and the rollup. memory: what the pass with a number remembers, called last."""
     spark = rows.sparkSession
