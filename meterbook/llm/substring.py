@@ -61,14 +61,15 @@ BROADCAST_BYTES = 32 << 20
 _LAST = np.iinfo(np.int64).max
 
 
-def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of each `width` entries in a row."""
-    size = 1
-    while 2 * size <= width:
-        x = np.minimum(x[:-size], x[size:])
-        size *= 2
-    rest = width - size
-    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+def _leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The place of the leftmost smallest of each `width` entries in a row."""
+    place, size = np.arange(len(x), dtype=np.int32 if len(x) <= np.iinfo(np.int32).max else np.int64), 1
+    while size < width:
+        step = min(size, width - size)
+        left, right = place[: len(place) - step], place[step:]
+        place = np.where(x[right] < x[left], right, left)
+        size += step
+    return place
 
 
 @dataclass
@@ -97,11 +98,9 @@ def segments_of(words: texts.Words, width: int, weights: Weights) -> Segments:
         none = np.zeros(0, np.int64)
         return Segments(none, none, none, none.astype(np.uint64))
     grams = _grams(words, size)
-    # Rarest kind first, then the smallest hash, then the leftmost place.
-    bits = np.uint64(int(len(grams)).bit_length())
+    # Rarest kind first, then the smallest hash, then the leftmost place: the same in every chunk, so equal windows have equal anchors.
     kind = np.minimum(31, np.ceil(np.log2(1 + weights.of(grams)))).astype(np.uint64)
-    rank = kind << np.uint64(59) | (grams >> np.uint64(5) >> bits) << bits | np.arange(len(grams), dtype=np.uint64)
-    place = (_sliding_least(rank, width - size + 1)[:n] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    place = _leftmost_least(kind << np.uint64(59) | grams >> np.uint64(5), width - size + 1)[:n].astype(np.int64)
     document = words.document()
     at = np.flatnonzero(document[:n] == document[width - 1 :])
     place = place[at]

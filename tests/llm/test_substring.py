@@ -86,3 +86,25 @@ def test_anchors_are_rare_and_shared():
         assert all(len(k) == 1 for k in of.values())
     contexts = Counter(k for k, w in {(k, tuple(w)) for k, w in spans})
     assert max(contexts.values()) <= 2
+
+
+def test_anchors_do_not_follow_the_chunk(monkeypatch):
+    """A window has the same anchor in a short chunk and in a long one, even where triples differ in few bits of their hashes only."""
+    grams = substring._grams
+    monkeypatch.setattr(substring, "_grams", lambda words, size: grams(words, size) & np.uint64(0xFFF))
+    rng = random.Random(7)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(200))
+    none = substring.Weights(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def anchors(texts: list[str]) -> list[int]:
+        found = substring.segments_of(substring.texts.words_of(pa.array(texts)), 13, none)
+        return [int(a) for n, d, a in zip(found.length, found.document, found.anchor, strict=True) if d == 0 for _ in range(n - 12)]
+
+    assert anchors([passage]) == anchors([passage, " ".join(f"w{rng.randrange(10**6)}" for _ in range(20000))])
+
+
+def test_leftmost_least():
+    rng = np.random.default_rng(8)
+    for width in range(1, 14):
+        x = rng.integers(0, 4, 60).astype(np.uint64)
+        assert substring._leftmost_least(x, width).tolist() == [k + int(np.argmin(x[k : k + width])) for k in range(60 - width + 1)]
