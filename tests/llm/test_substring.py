@@ -91,7 +91,7 @@ def test_anchors_are_rare_and_shared():
 def test_anchors_do_not_follow_the_chunk(monkeypatch):
     """A window has the same anchor in a short chunk and in a long one, even where triples differ in few bits of their hashes only."""
     grams = substring._grams
-    monkeypatch.setattr(substring, "_grams", lambda words, size: grams(words, size) & np.uint64(0xFFF))
+    monkeypatch.setattr(substring, "_grams", lambda words, size: grams(words, size) & np.uint64(0xFFFFF))
     rng = random.Random(7)
     passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(200))
     none = substring.Weights(np.zeros(0, np.uint64), np.zeros(0, np.int64))
