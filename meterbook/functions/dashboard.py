@@ -85,6 +85,14 @@ def page_entries(pages: DataFrame, size: int = 100) -> DataFrame:
     return taken.select(F.explode("entries").alias("entry")).select(F.to_json("entry").alias("value"))
 
 
+def entries_between(entries: DataFrame, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
+    """The entries (value) of a range of time, both ends included, as the dashboard is asked for it; with a range, entries without a time in milliseconds are left out."""
+    at = F.get_json_object("value", "$.timestamp").try_cast("long")
+    if start is not None:
+        entries = entries.where(at >= F.unix_millis(F.lit(start).cast("timestamp")))
+    return entries if end is None else entries.where(at <= F.unix_millis(F.lit(end).cast("timestamp")))
+
+
 def sync_range(high_water: dt.datetime | None, cycle: tuple[dt.datetime, dt.datetime], now: dt.datetime, full: bool = False) -> tuple[dt.datetime, dt.datetime]:
     """What a sync asks for: from the latest known event until now, or the billing cycle where nothing is known or all is wanted."""
     return cycle if full or high_water is None else (high_water, now)

@@ -394,6 +394,22 @@ def pricing_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.pricing_envelope(prices, pricing.missing_prices(events_of(spark, sf_dir), prices)).select("section", "value")
 
 
+@_query(f"WITH {_E} SELECT 'u' || event_id AS owner FROM e0 WHERE epoch_ms(ts) BETWEEN epoch_ms(TIMESTAMP '2024-01-10') AND epoch_ms(TIMESTAMP '2024-01-17 12:00:00')")
+def ranged_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dashboard entries of a week."""
+    found = dashboard.entries_between(_entries(spark, sf_dir), dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 17, 12))
+    return found.select(F.get_json_object("value", "$.owningUser").alias("owner"))
+
+
+@_query(_EC + "SELECT provider, model, bool_and(covered) AS resolved, bool_and(covered AND provider NOT IN ('cursor', 'local')) AS listed, count(*) AS events FROM c GROUP BY ALL")
+def resolved_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the events of a pair find a price, and whether the table holds it under its own name."""
+    prices = pricing.seed_prices(spark)
+    rows = pricing.with_resolved(usage_from_events(spark, sf_dir), prices).groupBy("provider", "model", "resolved").agg(F.count(F.lit(1)).alias("events"))
+    listed = pricing.listed_pairs(rows, prices).select("provider", "model", F.lit(True).alias("listed"))
+    return rows.join(listed, ["provider", "model"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
 @_query("SELECT 'vendor-' || n_regionkey AS provider, 'nation-' || n_nationkey AS model FROM nation ORDER BY provider, model")
 def prices_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.listed_prices(_nation_prices(spark, sf_dir)).select("provider", "model")

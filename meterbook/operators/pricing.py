@@ -216,6 +216,17 @@ def resolve_pairs(pairs: DataFrame, prices: DataFrame, estimate: bool = False) -
     return found.groupBy("provider", "model").agg(F.min(order).alias("best")).select("provider", "model", *[f"best.{c}" for c in ("rank", "p_provider", "p_model", *_CARRIED)])
 
 
+def with_resolved(rows: DataFrame, prices: DataFrame) -> DataFrame:
+    """rows with resolved: whether a price covers their provider and model; false where either is null."""
+    covered = resolve_pairs(rows, prices).select("provider", "model", F.lit(True).alias("resolved"))
+    return rows.join(covered, ["provider", "model"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+
+
+def listed_pairs(pairs: DataFrame, prices: DataFrame) -> DataFrame:
+    """The pairs that the table holds themselves, under no other name."""
+    return pairs.join(prices.select("provider", "model"), ["provider", "model"], "left_semi")
+
+
 def average_prices(prices: DataFrame) -> DataFrame:
     """Each provider's average price over its rows that aren't local."""
     rows = prices.where(~F.col("is_local")).groupBy("provider").agg(*[F.avg(c).alias(c) for c in RATES])

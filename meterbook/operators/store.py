@@ -308,6 +308,14 @@ def latest_by(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(fresh, same, "left_anti").unionByName(fresh)
 
 
+def size_bytes(spark: SparkSession, path: str) -> int:
+    """The bytes of a table's files, 0 where there is none; hidden files, such as checksums, don't count."""
+    if read(spark, path) is None:
+        return 0
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def stamped(sources: DataFrame, scans: DataFrame) -> DataFrame:
     """sources (id, last_scanned_at, last_error, and others) after some scans (id, at, error: null if the scan went well).
 

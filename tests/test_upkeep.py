@@ -10,6 +10,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from meterbook import ingest_queries
+from meterbook.functions import dashboard
 from meterbook.operators import analytics, pricing, store
 from meterbook.operators.filters import QueryFilter
 from meterbook.queries import items_of
@@ -107,3 +108,24 @@ def test_daily_sums_of_a_stream(spark, tmp_path):
         sums = watch.daily_stream(spark.readStream.schema(schema).parquet(folder))
         sums.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(dt.date(2024, 1, 1), 3, 1), (dt.date(2024, 1, 2), 4, 1)]
+
+
+def test_size_of_a_store(spark, tmp_path):
+    path = str(tmp_path / "events")
+    assert store.size_bytes(spark, path) == 0
+    spark.range(100).withColumn("event_date", F.lit("2024-01-01")).write.partitionBy("event_date").parquet(path)
+    assert store.size_bytes(spark, path) == sum(p.stat().st_size for p in Path(path).rglob("part-*"))
+
+
+def test_entries_between(spark):
+    entries = spark.createDataFrame([(v,) for v in ('{"timestamp":"1704067200000"}', '{"timestamp":"1704067200001"}', '{"timestamp":"soon"}', "{}", None)], "value string")
+    start = dt.datetime(2024, 1, 1)
+    assert dashboard.entries_between(entries).count() == 5
+    assert dashboard.entries_between(entries, start).count() == 2
+    assert [r[0] for r in dashboard.entries_between(entries, None, start).collect()] == ['{"timestamp":"1704067200000"}']
+
+
+def test_pairs_without_a_name_are_not_resolved(spark):
+    rows = spark.createDataFrame([("openai", "gpt-5.5"), ("openai", None), (None, "gpt-5.5"), ("acme", "x"), ("openai", "gpt-5.5")], "provider string, model string")
+    found = sorted((str(r["provider"]), str(r["model"]), r["resolved"]) for r in pricing.with_resolved(rows, pricing.seed_prices(spark)).collect())
+    assert found == [("None", "gpt-5.5", False), ("acme", "x", False), ("openai", "None", False), ("openai", "gpt-5.5", True), ("openai", "gpt-5.5", True)]
