@@ -114,11 +114,20 @@ def whole_number(text: Column) -> Column:
 
 def plugin_usage(payload: Column) -> Column:
     """The counts that a producer's plugin writes for a JSON payload, as a struct; null without an object of counts."""
-    holder = F.coalesce(*[F.get_json_object(payload, f"$.{h}") for h in PLUGIN_HOLDERS])
-    at = {name: F.coalesce(*[F.get_json_object(holder, f"$.{k}") for k in keys]) for name, keys in PLUGIN_COUNTS.items()}
-    counts = {name: whole_number(text) for name, text in at.items()}
-    counts["total"] = F.when(at["total"].isNotNull(), counts["total"]).otherwise(counts["input"] + counts["output"])
-    return F.when(holder.startswith("{"), F.struct(*[c.alias(name) for name, c in counts.items()]))
+    # Lambdas, so that the payload and the object of counts are named more than once but computed once.
+    holders = F.transform(F.array(payload), lambda p: F.coalesce(*[F.get_json_object(p, f"$.{h}") for h in PLUGIN_HOLDERS]))
+    return F.get(F.transform(holders, lambda holder: F.when(holder.startswith("{"), _plugin_counts(holder))), F.lit(0))
+
+
+def _plugin_counts(holder: Column) -> Column:
+    texts = F.struct(*[F.coalesce(*[F.get_json_object(holder, f"$.{k}") for k in keys]).alias(name) for name, keys in PLUGIN_COUNTS.items()])
+
+    def read(at: Column) -> Column:
+        counts = {name: whole_number(at[name]) for name in PLUGIN_COUNTS}
+        counts["total"] = F.when(at["total"].isNotNull(), counts["total"]).otherwise(counts["input"] + counts["output"])
+        return F.struct(*[c.alias(name) for name, c in counts.items()])
+
+    return F.get(F.transform(F.array(texts), read), F.lit(0))
 
 
 def instant(number: Column) -> Column:

@@ -11,7 +11,7 @@ from meterbook.functions import dashboard, display, text
 from meterbook.functions.hashing import event_hash
 from meterbook.functions.normalize import detected_by_plugin, detected_provider, normalized, plugin_usage
 from meterbook.operators import alerts, analytics, pricing, store
-from meterbook.plans.conform import sessions_of, usage_from_events
+from meterbook.plans.conform import pair_of, sessions_of, usage_from_events
 from meterbook.queries import _E, _EC, _LC, _PERIOD, _SESSIONS, _SUM, _SUMS, _UTILIZED, ALL, AS_OF, _COSTS, _query, events_of, items_of, rounded
 from meterbook.sources import logs
 
@@ -20,7 +20,9 @@ NEVER = dt.datetime(1990, 1, 1)
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the numbers from which the texts are made."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").join(usage_from_events(spark, sf_dir).select(F.substring("event_hash", F.lit(2), F.lit(20)).cast("long").alias("event_id"), "provider", "model"), "event_id")
+    # Dealt out, as the texts cost far more than the rows, and a table of one row group is read by one task.
+    provider, model = pair_of(F.col("event_id"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").repartition("event_id").select("*", provider.alias("provider"), model.alias("model"))
     k = F.get_json_object("props", "$.k").cast("long")
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", k).withColumn("a", 100 + F.col("event_id") % 1000).withColumn("b", 1 + F.col("user_id") % 50)
 

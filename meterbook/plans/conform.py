@@ -9,7 +9,7 @@ MODELS = ["gpt-5.5", "gpt-5.4", "o4-mini", "claude-opus-4.8", "claude-sonnet-4.6
 PROVIDERS = ["openai"] * 3 + ["anthropic"] * 3 + ["google"] * 2 + ["cursor"]
 
 
-def _pair(number: Column) -> tuple[Column, Column]:
+def pair_of(number: Column) -> tuple[Column, Column]:
     """(provider, model) by a number modulo 20: nine models, a local one, and one that has no price."""
     b = number % 10
     last = number % 20 == 9
@@ -21,7 +21,7 @@ def _pair(number: Column) -> tuple[Column, Column]:
 
 def usage_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    provider, model = _pair(F.col("event_id"))
+    provider, model = pair_of(F.col("event_id"))
     k = F.get_json_object("props", "$.k").cast("long")
     rows = rows.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"), provider.alias("provider"), model.alias("model"))
     exactness = F.when(F.col("provider") == "acme", "unknown").when(F.col("event_type").isin("purchase", "click"), "exact").when(F.col("event_type") == "view", "estimated").when(F.col("event_type") == "signup", "mixed").otherwise("unknown")
@@ -50,7 +50,7 @@ def usage_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    provider, model = _pair(F.col("l_partkey"))
+    provider, model = pair_of(F.col("l_partkey"))
     rows = rows.select("*", provider.alias("provider"), model.alias("model"))
     exactness = F.when(F.col("provider") == "acme", "unknown").when(F.col("l_returnflag") == "A", "exact").when(F.col("l_returnflag") == "N", "estimated").otherwise("mixed")
     input_, output = F.floor("l_extendedprice"), (F.col("l_quantity") * 100).cast("long")
