@@ -84,6 +84,9 @@ LOCAL_PROVIDERS = ["local", "lmstudio"]
 RATES = ["input_price_per_million", "output_price_per_million", "reasoning_price_per_million", "cache_read_price_per_million", "cache_write_price_per_million"]
 #: Characters by which names that begin alike are brought together.
 STEM = 8
+#: Parts over which the rows of a pair are dealt, and the columns of events by which.
+DEALS = 32
+FRESH = ["timestamp", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens"]
 _CARRIED = [*RATES, "context_window_tokens", "is_local"]
 
 
@@ -216,10 +219,24 @@ def resolve_pairs(pairs: DataFrame, prices: DataFrame, estimate: bool = False) -
     return found.groupBy("provider", "model").agg(F.min(order).alias("best")).select("provider", "model", *[f"best.{c}" for c in ("rank", "p_provider", "p_model", *_CARRIED)])
 
 
+def met_by_pair(rows: DataFrame, found: DataFrame, fresh: list[str]) -> DataFrame:
+    """rows joined (left) to found, which has one row a pair, by provider and model.
+
+    Few pairs hold most rows, so a pair's rows are dealt by a hash over DEALS
+    parts, each of which meets a copy of the pair's row of found: without this
+    one task sorts all rows of a pair. fresh: columns by whose values the rows
+    of a pair differ; those that rows lack are passed over.
+    """
+    named = [F.col(c) for c in fresh if c in rows.columns]
+    dealt = rows.withColumn("__deal", F.pmod(F.xxhash64(*named), F.lit(DEALS)).cast("int") if named else F.lit(0))
+    copies = F.sequence(F.lit(0), F.lit(DEALS - 1)) if named else F.array(F.lit(0))
+    return dealt.join(found.withColumn("__deal", F.explode(copies)), ["provider", "model", "__deal"], "left").drop("__deal")
+
+
 def with_resolved(rows: DataFrame, prices: DataFrame) -> DataFrame:
     """rows with resolved: whether a price covers their provider and model; false where either is null."""
     covered = resolve_pairs(rows, prices).select("provider", "model", F.lit(True).alias("resolved"))
-    return rows.join(covered, ["provider", "model"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    return met_by_pair(rows, covered, FRESH).withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 
 def listed_pairs(pairs: DataFrame, prices: DataFrame) -> DataFrame:
@@ -250,7 +267,7 @@ def priced(events: DataFrame, prices: DataFrame, missing: str = "warn", pairs: D
     the rollup; without it the events are scanned for them first.
     """
     covered = resolve_pairs(events if pairs is None else pairs, prices, missing == "estimate")
-    rows = events.drop("cost_usd", "cost_status").join(covered, ["provider", "model"], "left")
+    rows = met_by_pair(events.drop("cost_usd", "cost_status"), covered, FRESH)
     cost = cost_of(*[F.col(c) for c in ("input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "cache_write_tokens")])
     rows = rows.withColumn("cost_usd", F.when(F.col("rank").isNull() | F.col("is_local"), 0.0).otherwise(cost))
     rows = rows.withColumn("cost_status", F.when(F.col("rank").isNull(), "Unpriced").when((F.col("rank") >= 10) & ~F.col("is_local"), "Estimated").otherwise("Priced"))
