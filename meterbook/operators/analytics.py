@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterbook.operators.filters import QueryFilter, apply_filter, page
-from meterbook.operators.pricing import context_limits, cost_of, resolve_pairs, unpriced
+from meterbook.operators.pricing import DEALS, FRESH, context_limits, cost_of, met_by_pair, resolve_pairs, unpriced
 from meterbook.schema import EXACTNESS
 
 BREAKDOWNS = {"model": "model", "provider": "provider", "project": "project_id", "source": "source_id", "exactness": "exactness"}
@@ -28,6 +28,21 @@ def day_of(timestamp: Column) -> Column:
     return F.to_date(timestamp)
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows shuffled by groups of few rows each.
+
+    Combining such groups before a shuffle saves nothing and holds a whole
+    split in memory. The number of parts is given, so that small ones aren't
+    merged into as large ones as before.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _by_session(rows: DataFrame, keys: list[str], *sums: str) -> DataFrame:
+    """Sums and events of each session within its keys."""
+    return _dealt(rows, *keys, "session_id").groupBy(*keys, "session_id").agg(*_sums(*sums), F.count(F.lit(1)).alias("event_count"))
+
+
 def rolling(rows: DataFrame, f: QueryFilter, as_of: dt.date, day: str | None = None) -> DataFrame:
     """Tokens and cost of the day, 7 days, 30 days and all time; the filter's dates don't count. rows: events, or a rollup whose date column is `day`."""
     rows = apply_filter(rows, f, dates=False)
@@ -86,7 +101,8 @@ def breakdown(events: DataFrame, f: QueryFilter, dimension: str, limit: int | No
     if dimension not in BREAKDOWNS:
         raise ValueError(f"unknown dimension {dimension!r}")
     key = F.coalesce(F.col(BREAKDOWNS[dimension]).cast("string"), F.lit("(none)")).alias("key")
-    rows = apply_filter(events, f).groupBy(key).agg(*_sums("input_tokens", "output_tokens", "total_tokens", "cost_usd"), F.countDistinct("session_id").alias("sessions"))
+    sums = ("input_tokens", "output_tokens", "total_tokens", "cost_usd")
+    rows = _by_session(apply_filter(events, f).withColumn("key", key), ["key"], *sums).groupBy("key").agg(*_sums(*sums), F.count("session_id").alias("sessions"))
     rows = rows.orderBy(F.desc("total_tokens"), "key")
     return rows if limit is None else rows.limit(limit)
 
@@ -97,7 +113,8 @@ def session_aggregates(events: DataFrame, f: QueryFilter, sessions: DataFrame |
     Events are summed by session and pair first: with names as keys the sums
     are hashed, and distinct models need no second copy of the rows.
     """
-    pairs = apply_filter(events, f).where(F.col("session_id").isNotNull()).groupBy("session_id", "provider", "model").agg(
+    rows = _dealt(apply_filter(events, f).where(F.col("session_id").isNotNull()), "session_id", "provider", "model")
+    pairs = rows.groupBy("session_id", "provider", "model").agg(
         F.min("timestamp").alias("started_at"),
         F.max("timestamp").alias("last_seen_at"),
         *_sums(*SUMS),
@@ -120,7 +137,11 @@ def session_aggregates(events: DataFrame, f: QueryFilter, sessions: DataFrame |
 
 
 def daily_aggregates(events: DataFrame, f: QueryFilter) -> DataFrame:
-    return apply_filter(events, f).groupBy(day_of(F.col("timestamp")).alias("date")).agg(*_sums(*SUMS), F.countDistinct("session_id").alias("session_count"), F.countDistinct("model").alias("model_count"), F.count(F.lit(1)).alias("event_count"))
+    rows = apply_filter(events, f).withColumn("date", day_of(F.col("timestamp")))
+    days = _by_session(rows, ["date"], *SUMS).groupBy("date").agg(*_sums(*SUMS), F.count("session_id").alias("session_count"), F.sum("event_count").alias("event_count"))
+    # Apart, as two distinct counts in one would copy every row.
+    models = rows.groupBy(F.col("date").alias("m_date")).agg(F.countDistinct("model").alias("model_count"))
+    return days.join(models, F.col("date").eqNullSafe(F.col("m_date"))).select("date", *SUMS, "session_count", "model_count", "event_count")
 
 
 def session_list(events: DataFrame, sessions: DataFrame, f: QueryFilter) -> DataFrame:
@@ -159,7 +180,7 @@ def resolved_savings(events: DataFrame, f: QueryFilter, prices: DataFrame, pairs
     """Filtered events with saved: what their cached input saved under resolved prices. pairs: as for pricing.priced."""
     rows = apply_filter(events, f)
     covered = resolve_pairs(rows if pairs is None else pairs, prices).select("provider", "model", F.greatest(F.lit(0.0), F.col("input_price_per_million") - F.col("cache_read_price_per_million")).alias("gap"))
-    return rows.join(covered, ["provider", "model"], "left").withColumn("saved", F.col("cache_read_tokens") * F.coalesce("gap", F.lit(0.0)) / 1e6)
+    return met_by_pair(rows, covered, FRESH).withColumn("saved", F.col("cache_read_tokens") * F.coalesce("gap", F.lit(0.0)) / 1e6)
 
 
 def cache_efficiency(events: DataFrame, f: QueryFilter, prices: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -170,8 +191,8 @@ def cache_efficiency(events: DataFrame, f: QueryFilter, prices: DataFrame, pairs
     """
     rows = resolved_savings(events, f, prices, pairs)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
-    fine = rows.groupBy(day_of(F.col("timestamp")).cast("string").alias("day"), text("provider").alias("provider"), text("model").alias("model"), "session_id")
-    fine = fine.agg(*_sums("cache_read_tokens", "cache_write_tokens", "total_tokens", "cost_usd", "saved"))
+    rows = rows.withColumns({"day": day_of(F.col("timestamp")).cast("string"), "provider": text("provider"), "model": text("model")})
+    fine = _by_session(rows, ["day", "provider", "model"], "cache_read_tokens", "cache_write_tokens", "total_tokens", "cost_usd", "saved")
     each = F.explode(F.array(*[F.struct(F.lit(g).alias("grouping"), F.col(g).alias("key")) for g in ("day", "provider", "model")]))
     fine = fine.withColumn("g", each).select("g.*", "session_id", "cache_read_tokens", "cache_write_tokens", "total_tokens", "cost_usd", "saved")
     found = fine.groupBy("grouping", "key").agg(*_sums("cache_read_tokens", "cache_write_tokens", "total_tokens", "cost_usd"), F.sum("saved").alias("cache_savings_usd"), F.countDistinct("session_id").alias("sessions"))
@@ -188,7 +209,10 @@ def report_totals(events: DataFrame, f: QueryFilter, prices: DataFrame) -> DataF
 def session_utilization(sessions: DataFrame, prices: DataFrame) -> DataFrame:
     """Session aggregates with context_limit and utilization_pct (0 where the limit is unknown)."""
     limits = context_limits(sessions, prices).select(F.col("provider").alias("l_provider"), F.col("model").alias("l_model"), "context_limit")
-    rows = sessions.join(limits, F.col("provider").eqNullSafe(F.col("l_provider")) & (F.col("model") == F.col("l_model")), "left").drop("l_provider", "l_model")
+    # Dealt as in pricing.met_by_pair, whose join takes no null providers.
+    limits = limits.withColumn("l_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    deal = F.pmod(F.xxhash64("session_id"), F.lit(DEALS)) == F.col("l_deal")
+    rows = sessions.join(limits, F.col("provider").eqNullSafe(F.col("l_provider")) & (F.col("model") == F.col("l_model")) & deal, "left").drop("l_provider", "l_model", "l_deal")
     return rows.withColumn("utilization_pct", F.when(F.col("context_limit") > 0, F.greatest(F.col("peak_context_tokens"), F.lit(0)) / F.col("context_limit") * 100).otherwise(0.0))
 
 
