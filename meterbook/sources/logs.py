@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from meterbook.functions.dashboard import CSV_COLUMNS
 from meterbook.functions.normalize import detected_provider, instant, with_hash
-from meterbook.functions.variants import with_parsed
+from meterbook.functions.variants import once, with_parsed
 from meterbook.sources import exports, growing
 
 # The extensions of logs.
@@ -80,9 +80,12 @@ def json_lines(lines: DataFrame) -> DataFrame:
     Objects are parsed by whoever reads their fields, once.
     """
     more = [c for c in lines.columns if c != "value"]
-    rows = lines.select(F.trim("value").alias("value"), *more)
-    arrays = with_parsed(rows.where(F.col("value").startswith("[")), "value", "parsed").select(F.explode(F.try_variant_get("parsed", "$", "array<variant>")).alias("part"), *more)
-    opened = rows.unionByName(arrays.select(F.to_json("part").alias("value"), *more))
+    # The text is computed once, and one scan serves both: only texts that begin as arrays are parsed here.
+    rows = once(lines.select(F.col("value").alias("text"), *more), "value", F.trim("text")).drop("text")
+    array = F.col("value").startswith("[")
+    rows = with_parsed(rows.where(array | F.col("value").startswith("{")).withColumn("array", F.when(array, F.col("value"))), "array", "parsed")
+    parts = F.transform(F.try_variant_get("parsed", "$", "array<variant>"), lambda x: F.to_json(x))
+    opened = rows.select(F.explode(F.when(array, parts).otherwise(F.array("value"))).alias("value"), *more)
     return opened.where(F.col("value").startswith("{") & F.col("value").endswith("}"))
 
 
